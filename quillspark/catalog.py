@@ -1,0 +1,11 @@
+"""The registered queries of the core and their SQL."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
