@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import format_duplicates, leakage
+from quillspark.llm import format_duplicates, leakage, near_duplicates, splitting
 from quillspark.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: TESTDATA.md states problem 1 on runs of three words at a similarity of 0.6.
+P1 = {"width": 3, "threshold": 0.6}
+
+
+def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks that are no dose facts."""
+    return table(spark, sf_dir, "raw_chunks").where("layout_type is null or layout_type <> 'structured_fact'")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: near_duplicates.groups(_prose(s, d), **P1),
+        "p1_classes": lambda s, d: near_duplicates.classes(_prose(s, d), **P1),
+        "p2_found": lambda s, d: splitting.boundary_levels(table(s, d, "raw_chunks")),
+        "p2_pieces": lambda s, d: splitting.pieces_of_table(table(s, d, "raw_chunks")),
         "p5_found": lambda s, d: format_duplicates.copies(table(s, d, "raw_chunks")),
         "p5_records": lambda s, d: format_duplicates.records(table(s, d, "raw_chunks")),
         "p6_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
