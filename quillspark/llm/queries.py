@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import format_duplicates, leakage, near_duplicates, splitting
+from quillspark.llm import format_duplicates, leakage, near_duplicates, neighbours, splitting, truncation
 from quillspark.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,14 @@ def queries() -> dict[str, Query]:
         "p1_classes": lambda s, d: near_duplicates.classes(_prose(s, d), **P1),
         "p2_found": lambda s, d: splitting.boundary_levels(table(s, d, "raw_chunks")),
         "p2_pieces": lambda s, d: splitting.pieces_of_table(table(s, d, "raw_chunks")),
+        "p4_found": lambda s, d: neighbours.neighbour_pairs(table(s, d, "index_docs")),
+        "p4_recall": lambda s, d: neighbours.recall(table(s, d, "index_docs")),
         "p5_found": lambda s, d: format_duplicates.copies(table(s, d, "raw_chunks")),
         "p5_records": lambda s, d: format_duplicates.records(table(s, d, "raw_chunks")),
         "p6_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
         "p6_cleaned": lambda s, d: leakage.decontaminate(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p8_found": lambda s, d: truncation.judged(table(s, d, "documents")).select("doc_id"),
+        "p8_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
     }
 
 
