@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from quillspark.operators import units
+from quillspark.runtime import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "p3_found": lambda s, d: units.common_units(table(s, d, "raw_chunks")),
+    }
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
     return {}
