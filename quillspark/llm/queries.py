@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import format_duplicates, leakage, near_duplicates, neighbours, splitting, truncation
+from quillspark.llm import format_duplicates, leakage, mixing, near_duplicates, neighbours, splitting, truncation
 from quillspark.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,8 @@ def queries() -> dict[str, Query]:
         "p5_records": lambda s, d: format_duplicates.records(table(s, d, "raw_chunks")),
         "p6_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
         "p6_cleaned": lambda s, d: leakage.decontaminate(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p7_mixture": lambda s, d: mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
+        "p7_shares": lambda s, d: mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets"))[1],
         "p8_found": lambda s, d: truncation.judged(table(s, d, "documents")).select("doc_id"),
         "p8_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
     }
