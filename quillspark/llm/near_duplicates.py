@@ -6,8 +6,9 @@
    copies adds no more rows to a bucket than there are tasks.
 3. In every bucket each member is paired with one centre, drawn afresh per bucket; buckets stay
    linear in their members. After the links so found are joined into components, only members of a
-   bucket that still lie in different components are compared further: at once in small buckets,
-   and with one new centre a round in large ones until nothing is left to compare.
+   bucket that still lie in different components are compared further: at once in small buckets;
+   large ones are first split by further hash functions, and what is still large then gets one new
+   centre a round, until nothing is left to compare.
 4. A pair's signatures are compared batch by batch. It is dropped as soon as the posterior
    probability that its similarity reaches the threshold falls below ``miss``; survivors are
    verified exactly on their texts.
@@ -194,20 +195,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
     return pairs.join(ta, "a").join(tb, "b").mapInPandas(run, "a long, b long")
 
 
+def _refined(entries: DataFrame, sigs: DataFrame, small: int) -> DataFrame:
+    """``bucket, k``, where buckets with more than ``small`` members are split into finer ones.
+
+    A finer bucket holds the members that also agree in one of the ``SIGNATURE // 3`` triples of
+    signature bytes, so that two members with a similarity of 0.6 stay together in some finer bucket with
+    a probability of 0.994, and the members of a bucket never meet in all pairs.
+    """
+    counted = entries.groupBy("bucket").agg(F.count("*").alias("n"))
+    large = counted.where(F.col("n") > small).select("bucket")
+    plain = entries.select("bucket", "k").join(counted.where(F.col("n") <= small).select("bucket"), "bucket", "left_semi")
+    members = entries.select("bucket", "k").join(large, "bucket", "left_semi").join(sigs, "k")
+    triple = members.select("bucket", "k", "sig", F.explode(F.sequence(F.lit(0), F.lit(SIGNATURE // 3 - 1))).alias("t"))
+    finer = triple.select(F.xxhash64("bucket", "t", F.expr("substring(sig, 3 * t + 1, 3)")).alias("bucket"), "k")
+    return plain.unionByName(finer)
+
+
 def _cross_pairs(entries: DataFrame, comps: DataFrame, tested: DataFrame, small: int, round_no: int) -> DataFrame:
     """Pairs that share a bucket, lie in different components and were not compared yet.
 
     A bucket with at most ``small`` members gives all such pairs; in a larger one a single centre,
     drawn by ``round_no``, meets the members of other components.
     """
-    named = entries.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")).drop("centre")
+    named = entries.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n"), F.min_by("k", F.xxhash64("k", F.lit(round_no))).alias("centre")).where("r1 <> r2")
     x = named.join(mixed.select("bucket", "n", "centre"), "bucket")
     y = x.select("bucket", F.col("k").alias("k_y"), F.col("root").alias("root_y"))
     near = x.where(F.col("n") <= small).join(y, "bucket").where("root <> root_y and k < k_y")
-    far = x.where(F.col("n") > small).join(y, (x.bucket == y.bucket) & (x.centre == y.k_y)).where("root <> root_y")
-    pairs = near.select(F.col("k").alias("a"), F.col("k_y").alias("b")).unionByName(far.select(F.least("k", "k_y").alias("a"), F.greatest("k", "k_y").alias("b")))
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    far = x.where((F.col("n") > small) & (F.col("k") == F.col("centre"))).join(y, "bucket").where("root <> root_y")
+    met = near.unionByName(far)
+    return met.select(F.least("k", "k_y").alias("a"), F.greatest("k", "k_y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def _both(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.col(a).alias("k")).union(pairs.select(F.col(b).alias("k"))).distinct()
 
 
 def near_duplicate_rows(
@@ -233,17 +254,17 @@ def near_duplicate_rows(
     entries = entries.withColumn("most", F.max("k").over(bucket)).withColumn("least", F.min("k").over(bucket)).where("most <> least").select("bucket", "k", "centre").distinct()
     entries = stage(entries, "p1-buckets")
     pairs = stage(entries.where("k <> centre").select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct(), "p1-pairs")
-    sigs = rows.where("sig is not null").select("k", "sig").dropDuplicates(["k"])
+    sigs = stage(rows.where("sig is not null").groupBy("k").agg(F.first("sig").alias("sig")).join(_both(entries, "k", "centre"), "k", "left_semi"), "p1-signatures")
 
     def links(candidates: DataFrame) -> DataFrame:
         likely = stage(_pruned(candidates, sigs, threshold, miss), "p1-likely")
-        needed = likely.select(F.col("a").alias("k")).union(likely.select(F.col("b").alias("k"))).distinct()
-        ids = per_class.join(needed, "k", "left_semi").select("k", F.col("rep").alias("id"))
+        ids = per_class.join(_both(likely, "a", "b"), "k", "left_semi").select("k", F.col("rep").alias("id"))
         texts = base.select("id", "text").join(ids, "id")
         return stage(_verified(likely, texts, width, threshold), "p1-links")
 
     linked, tested, round_no = links(pairs), pairs, 0
     comps = components(linked)
+    entries = stage(_refined(entries, sigs, small), "p1-buckets")
     while True:
         round_no += 1
         fresh = stage(_cross_pairs(entries, comps, tested, small, round_no), "p1-cross")
