@@ -13,12 +13,14 @@ from quillspark.runtime import stage
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    #: One shuffle serves the aggregation and the join.
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
+    links = links.repartition("a")
     least = links.groupBy("a").agg(F.min("b").alias("m"))
     return links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
 

@@ -33,6 +33,8 @@ from quillspark.runtime import attach_groups, stage
 
 WORD = re.compile(r"[^\W_]+")
 BANDS, ROWS, SIGNATURE, BATCH = 32, 4, 64, 16
+#: A list of ids of up to this length is broadcast; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -250,21 +252,22 @@ def near_duplicate_rows(
     drawn = F.xxhash64("k", "bucket")
     entries = rows.where("bands is not null").select("k", F.explode("bands").alias("bucket"))
     entries = entries.withColumn("centre", F.first("k").over(bucket.orderBy(drawn, "k")))
-    #: Buckets in which only one class was met are of no use.
-    entries = entries.withColumn("most", F.max("k").over(bucket)).withColumn("least", F.min("k").over(bucket)).where("most <> least").select("bucket", "k", "centre").distinct()
+    #: Buckets in which only one class was met are of no use; in those of two the centre meets all others.
+    entries = entries.withColumn("most", F.max("k").over(bucket)).withColumn("least", F.min("k").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("most <> least").select("bucket", "k", "centre", "n")
     entries = stage(entries, "p1-buckets")
     pairs = stage(entries.where("k <> centre").select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct(), "p1-pairs")
     sigs = stage(rows.where("sig is not null").groupBy("k").agg(F.first("sig").alias("sig")).join(_both(entries, "k", "centre"), "k", "left_semi"), "p1-signatures")
 
     def links(candidates: DataFrame) -> DataFrame:
         likely = stage(_pruned(candidates, sigs, threshold, miss), "p1-likely")
-        ids = per_class.join(_both(likely, "a", "b"), "k", "left_semi").select("k", F.col("rep").alias("id"))
-        texts = base.select("id", "text").join(ids, "id")
+        ids = stage(per_class.join(_both(likely, "a", "b"), "k", "left_semi").select("k", F.col("rep").alias("id")), "p1-ids")
+        # The ids of candidates go to the texts by broadcast only up to a checked number.
+        texts = base.select("id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id")
         return stage(_verified(likely, texts, width, threshold), "p1-links")
 
     linked, tested, round_no = links(pairs), pairs, 0
     comps = components(linked)
-    entries = stage(_refined(entries, sigs, small), "p1-buckets")
+    entries = stage(_refined(entries.where("n > 2").select("bucket", "k").distinct(), sigs, small), "p1-buckets")
     while True:
         round_no += 1
         fresh = stage(_cross_pairs(entries, comps, tested, small, round_no), "p1-cross")
