@@ -1,22 +1,624 @@
-"""The registered queries of the core and their SQL."""
+"""The registered queries of the core, each next to the SQL that must give the same rows.
+
+Scores are rounded to six decimals on both sides and counts are 64-bit, so that results compare by value.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quillspark.operators import units
+from quillspark import dims
+from quillspark.functions import html, vectors
+from quillspark.functions import text as T
+from quillspark.operators import assemble, audit, facts, ingest, lexical, names, retrieval, units
+from quillspark.plans import intent, reflect
 from quillspark.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict[str, Query]:
-    return {
-        "p3_found": lambda s, d: units.common_units(table(s, d, "raw_chunks")),
-    }
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# SQL fragments shared by several oracles.
+_TOKENS = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_BM25 = """
+    with d as (select doc_id as id, {tokens} as w from documents),
+    c as (select id, len(w)::bigint as dl, unnest([{terms}]) as term, w from d),
+    f as (select id, dl, term, len(list_filter(w, lambda x: x = term))::bigint as tf from c),
+    s as (select term, count(*) filter (where tf > 0) as df from f group by term),
+    n as (select count(*) as n, avg(len(w)) as avgdl from d)
+    select id, sum(ln(1 + (n.n - s.df + 0.5) / (s.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / n.avgdl))) as score
+    from f join s using (term), n where tf > 0 group by id"""
+_TERMS = ["patients", "enzyme", "reflux", "dose"]
+_BM25_DOCS = _BM25.format(tokens=_TOKENS.format("text"), terms=", ".join(f"'{t}'" for t in _TERMS))
+
+
+def _case(column: str, vocabulary: list[tuple[str, list[str]]], default: str) -> str:
+    arms = " ".join("when " + " or ".join(f"contains(lower({column}), '{w}')" for w in words) + f" then '{label}'" for label, words in vocabulary)
+    return f"case {arms} else {default} end"
+
+
+def _risk(layout: str, boxed: str) -> str:
+    arms = " ".join(f"when '{n}' then {r}::double" for n, r in dims.LAYOUT_RISK)
+    return f"least(1.0::double, (case {layout} {arms} else 0.5::double end) + (case when {boxed} then 0.05::double else 0.0::double end))"
+
+
+# --- lexical and vector retrieval -------------------------------------------------------------
+
+
+@query(f"select id as doc_id, round(score, 6) as score from ({_BM25_DOCS}) order by score desc, id limit 50")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    scored = lexical.bm25(table(spark, d, "documents"), _TERMS, "doc_id", "text")
+    return scored.orderBy(F.desc("score"), "id").limit(50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"select term, count(distinct id)::bigint as df, sum(tf)::bigint as cf from (select id, term, count(*) as tf from (select doc_id as id, unnest({_TOKENS.format('text')}) as term from documents) group by id, term) group by term")
+def term_statistics(spark: SparkSession, d: str) -> DataFrame:
+    postings = lexical.term_counts(table(spark, d, "documents"), "doc_id", "text")
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+_KNN = "select q.vec_id as query_id, e.vec_id as id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, (select * from embeddings where vec_id in (1, 2)) q {where}"
+
+
+@query(f"with s as ({_KNN.format(where='')}) select query_id, id, score from s qualify row_number() over (partition by query_id order by score desc, id) <= 20")
+def knn_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id in (1, 2)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    pairs = e.select(F.col("vec_id").alias("id"), "embedding").join(F.broadcast(asked))
+    scored = pairs.select("query_id", "id", F.round(vectors.dot(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("r", rank).where("r <= 20").drop("r")
+
+
+@query(f"with s as ({_KNN.format(where='where e.label = 3')}) select query_id, id, score from s qualify row_number() over (partition by query_id order by score desc, id) <= 10")
+def filtered_pool_knn(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id in (1, 2)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    pairs = e.where("label = 3").select(F.col("vec_id").alias("id"), "embedding").join(F.broadcast(asked))
+    scored = pairs.select("query_id", "id", F.round(vectors.dot(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("r", rank).where("r <= 10").drop("r")
+
+
+@query("""
+    with q as (select vec_id as qid, embedding::double[] as qv from embeddings where vec_id <= 4),
+    s as (select label, qid, max(list_cosine_similarity(embedding::double[], qv)) as best from embeddings, q group by label, qid)
+    select label::bigint as label, round(avg(best), 6) as maxsim from s group by label""")
+def maxsim_rerank(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id <= 4").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    best = e.join(F.broadcast(q)).groupBy("label", "qid").agg(F.max(vectors.cosine(F.col("embedding"), F.col("qv"))).alias("best"))
+    return best.groupBy(F.col("label").cast("bigint").alias("label")).agg(F.round(F.avg("best"), 6).alias("maxsim"))
+
+
+@query(f"""
+    with b as (select * from ({_BM25_DOCS}) order by score desc, id limit 50),
+    v as (select e.vec_id as id, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, (select * from embeddings where vec_id = 1) q order by score desc, id limit 50)
+    select coalesce(b.id, v.id) as id, round(coalesce(b.score, 0) + coalesce((1 + v.score) / 2, 0), 6) as score from b full join v on b.id = v.id order by coalesce(b.score, 0) + coalesce((1 + v.score) / 2, 0) desc, id limit 50""")
+def hybrid_union_score(spark: SparkSession, d: str) -> DataFrame:
+    text_scores = lexical.bm25(table(spark, d, "documents"), _TERMS, "doc_id", "text").orderBy(F.desc("score"), "id").limit(50)
+    e = table(spark, d, "embeddings")
+    asked = F.broadcast(e.where("vec_id = 1").select(F.col("embedding").alias("qv")))
+    near = e.join(asked).select(F.col("vec_id").alias("id"), vectors.dot(F.col("embedding"), F.col("qv")).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    return retrieval.hybrid(text_scores, near, 50).select("id", F.round("score", 6).alias("score"))
+
+
+@query("""
+    with r as (select urn_id, layout_type, row_id, row_number() over (partition by layout_type order by chunk_confidence desc nulls last, row_id) as rank from raw_chunks where layout_type in ('dosing', 'warning', 'interaction', 'structured_fact')),
+    t as (select *, list_position(['dosing', 'warning', 'interaction', 'structured_fact'], layout_type) as pool from r where rank <= 10)
+    select urn_id, row_id, pool::bigint as pool, rank::bigint as rank from t qualify row_number() over (partition by urn_id order by pool, rank) = 1""")
+def multi_pool_union(spark: SparkSession, d: str) -> DataFrame:
+    pools = ["dosing", "warning", "interaction", "structured_fact"]
+    rows = table(spark, d, "raw_chunks").where(F.col("layout_type").isin(pools)).select("urn_id", "row_id", "layout_type", "chunk_confidence")
+    rank = F.row_number().over(Window.partitionBy("layout_type").orderBy(F.desc_nulls_last("chunk_confidence"), "row_id"))
+    top = rows.withColumn("rank", rank).where("rank <= 10").withColumn("pool", F.array_position(F.array(*map(F.lit, pools)), F.col("layout_type")))
+    return retrieval.union_first(top, "urn_id", ["pool", "rank"]).select("urn_id", "row_id", F.col("pool").cast("bigint").alias("pool"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("select o_orderkey, round(o_totalprice / 1000 + (case when o_orderdate >= date_trunc('year', date '1998-06-01') - interval 1095 day then 0.8 else 0 end), 6) as score from orders")
+def recency_boost(spark: SparkSession, d: str) -> DataFrame:
+    cutoff = retrieval.cutoff_of(F.lit("1998-06-01").cast("date"))
+    return table(spark, d, "orders").select("o_orderkey", F.round(retrieval.recency(F.col("o_totalprice") / 1000, F.col("o_orderdate"), cutoff), 6).alias("score"))
+
+
+@query("select vec_id, ('0x' || substr(sha256(array_to_string(list_transform(embedding[1:4], lambda x: round(x::double * 1000)::bigint::varchar), ',')), 1, 4))::bigint % 8 as bucket from embeddings")
+def fde_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", vectors.quantised_bucket(F.col("embedding")).alias("bucket"))
+
+
+@query("""
+    with b as (select label, ('0x' || substr(sha256(array_to_string(list_transform(embedding[1:4], lambda x: round(x::double * 1000)::bigint::varchar), ',')), 1, 4))::bigint % 8 as bucket, embedding as v from embeddings),
+    e as (select label, bucket, unnest(v)::double as x, generate_subscripts(v, 1) as dim from b)
+    select label::bigint as label, bucket, dim::bigint as dim, round(max(x), 6) as pooled from e group by all""")
+def fde_pool(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").withColumn("bucket", vectors.quantised_bucket(F.col("embedding")))
+    each = e.select(F.col("label").cast("bigint").alias("label"), "bucket", F.posexplode("embedding").alias("p", "x"))
+    return each.groupBy("label", "bucket", (F.col("p") + 1).cast("bigint").alias("dim")).agg(F.round(F.max(F.col("x").cast("double")), 6).alias("pooled"))
+
+
+@query("with n as (select vec_id, embedding[1:16]::double[] as v from embeddings) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as first, round(v[16] / sqrt(list_dot_product(v, v)), 6) as last from n")
+def vector_normalize_truncate(spark: SparkSession, d: str) -> DataFrame:
+    cut = table(spark, d, "embeddings").select("vec_id", vectors.normalised(F.slice("embedding", 1, 16)).alias("v"))
+    return cut.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(15)), 6).alias("last"))
+
+
+# --- text ------------------------------------------------------------------------------------
+
+
+@query("select doc_id, len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))::bigint as n_sentences from documents")
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences"))
+
+
+@query(f"with t as (select doc_id, {_TOKENS.format('text')} as w from documents) select doc_id, len(w)::bigint as n_tokens, len(list_distinct(w))::bigint as n_distinct from t")
+def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("w")).cast("bigint").alias("n_distinct"))
+
+
+@query("select row_id from raw_chunks where verbatim_text is not null qualify row_number() over (partition by lower(set_id), sha256(verbatim_text) order by row_id) = 1")
+def exact_dedupe_first(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_chunks").where("verbatim_text is not null")
+    return rows.groupBy(F.lower("set_id"), F.sha2("verbatim_text", 256)).agg(F.min("row_id").alias("row_id")).select("row_id")
+
+
+@query("""
+    with p as (select doc_id, string_split(text, chr(10)) as parts from documents),
+    l as (select doc_id, unnest(parts) as x, generate_subscripts(parts, 1) as i from p),
+    m as (select *, lag(x) over (partition by doc_id order by i) as before from l)
+    select doc_id, count(*) filter (where before is null or rtrim(before, ' ') not like '%:')::bigint as n_blocks from m group by doc_id""")
+def colon_merge(spark: SparkSession, d: str) -> DataFrame:
+    merged = T.merge_after_colon(F.split("text", "\n"))
+    return table(spark, d, "documents").select("doc_id", F.size(merged).cast("bigint").alias("n_blocks"))
+
+
+@query()
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "chunk"))
+
+
+@query("select layout_type, count(*)::bigint as n, min(length(verbatim_text))::bigint as shortest from raw_chunks where length(verbatim_text) >= 80 group by layout_type")
+def min_length_filter(spark: SparkSession, d: str) -> DataFrame:
+    kept = table(spark, d, "raw_chunks").where(F.length("verbatim_text") >= dims.MIN_CHUNK)
+    return kept.groupBy("layout_type").agg(F.count("*").alias("n"), F.min(F.length("verbatim_text")).cast("bigint").alias("shortest"))
+
+
+@query("select doc_id, substr(sha256(substr(text, 1, 80)), 1, 6) as fp from documents")
+def hash_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fp"))
+
+
+@query("""
+    with s as (select row_id, (row_number() over (partition by set_id order by row_id) - 1)::bigint as seq, regulatory_source as r, rxcui as x, set_id as s, layout_type as l from raw_chunks where set_id is not null and rxcui is not null)
+    select row_id, seq, 'urn:pharma:' || r || ':' || x || ':' || substr(replace(s, '-', ''), 1, 8) || ':' || l || ':' || (case when seq < 10000 then lpad(seq::varchar, 4, '0') else seq::varchar end) as urn from s""")
+def artifact_urn_seq(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_chunks").where("set_id is not null and rxcui is not null").select("row_id", "set_id", "rxcui", "layout_type", "regulatory_source")
+    rows = rows.withColumn("seq", (F.row_number().over(Window.partitionBy("set_id").orderBy("row_id")) - 1).cast("bigint"))
+    return rows.select("row_id", "seq", T.artifact_urn(F.col("regulatory_source"), F.col("rxcui"), F.col("set_id"), F.col("layout_type"), F.col("seq")).alias("urn"))
+
+
+_DOSE_SQL = "(?i)(\\d+\\.?\\d*)\\s*(" + "|".join(dims.DOSE_UNITS) + ")"
+
+
+@query(f"select row_id, try_cast(nullif(regexp_extract(verbatim_text, '{_DOSE_SQL}', 1), '') as double) as value, nullif(lower(regexp_extract(verbatim_text, '{_DOSE_SQL}', 2)), '') as unit from raw_chunks where verbatim_text is not null")
+def numeric_fact_extract(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("verbatim_text")
+    return table(spark, d, "raw_chunks").where("verbatim_text is not null").select("row_id", T.dose_value(t).alias("value"), T.dose_unit(t).alias("unit"))
+
+
+@query()
+def entity_facts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("verbatim_text")
+    rows = table(spark, d, "raw_chunks").where(T.is_dose_sentence(t))
+    return rows.select("row_id", facts.route(t).alias("route"), facts.population(t).alias("population"), facts.dose_values(t).alias("dose_values"), facts.dose_units(t).alias("dose_units"))
+
+
+@query(f"select row_id, {_case('verbatim_text', dims.ROUTES, 'null')} as route, {_case('verbatim_text', dims.POPULATIONS, chr(39) + 'general' + chr(39))} as population from raw_chunks where verbatim_text is not null")
+def keyword_first_match(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("verbatim_text")
+    return table(spark, d, "raw_chunks").where("verbatim_text is not null").select("row_id", T.route_of(t).alias("route"), T.population_of(t).alias("population"))
+
+
+def _signal_sql() -> str:
+    import re
+
+    words = lambda w: " ".join(re.split("[^a-z0-9]+", w))
+    types = " ".join("when " + " or ".join(f"contains(t, ' {words(w)} ')" for w in group) + f" then '{name}'" for name, group in dims.SIGNALS)
+    layouts = ", ".join(f"case when contains(t, ' {p} ') then {i} * 100 + {sorted({x for _, x, _ in dims.CONCEPTS}).index(layout)} end" for i, (p, layout, _) in enumerate(dims.CONCEPTS))
+    names_ = "[" + ", ".join(f"'{x}'" for x in sorted({x for _, x, _ in dims.CONCEPTS})) + "]"
+    return f"""
+        with q as (select item_id, ' ' || array_to_string({_TOKENS.format("text")}, ' ') || ' ' as t from eval_items),
+        c as (select item_id, t, list_filter([{layouts}], lambda x: x is not null) as hits from q),
+        f as (select item_id, t, list_transform(hits, lambda x: x % 100) as l from c)
+        select item_id, case {types} else 'factual' end as query_type,
+               case when len(l) = 0 then 'dosing,warning,indication' else array_to_string(list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: ({names_})[x + 1]), ',') end as layouts from f"""
+
+
+@query(_signal_sql())
+def concept_routing(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("text")
+    return table(spark, d, "eval_items").select("item_id", intent.type_column(q).alias("query_type"), F.array_join(intent.layouts_column(q), ",").alias("layouts"))
+
+
+@query(f"""
+    with n as (select distinct lower(trim(drug_generic)) as name from drug_labels where trim(drug_generic) <> '' and not contains(trim(drug_generic), ' ')),
+    w as (select distinct item_id, unnest({_TOKENS.format("text")}) as name from eval_items)
+    select item_id, name from w join n using (name)""")
+def dictionary_name_extract(spark: SparkSession, d: str) -> DataFrame:
+    dictionary = table(spark, d, "drug_labels").select(F.lower(F.trim("drug_generic")).alias("name")).where("name <> '' and not contains(name, ' ')")
+    return names.names_in_texts(table(spark, d, "eval_items"), dictionary, "item_id", "text")
+
+
+def _abbreviations_sql(column: str) -> str:
+    for short, long in dims.ABBREVIATIONS:
+        column = f"regexp_replace({column}, '(?i)\\b{short}\\b', '{long}', 'g')"
+    return column
+
+
+@query(f"select item_id, sha256({_abbreviations_sql('text')}) as expanded, {_abbreviations_sql('text')} <> text as changed from eval_items")
+def abbrev_expansion(spark: SparkSession, d: str) -> DataFrame:
+    new = T.expand_abbreviations(F.col("text"))
+    return table(spark, d, "eval_items").select("item_id", F.sha2(new, 256).alias("expanded"), (new != F.col("text")).alias("changed"))
+
+
+@query("""
+    with y as (select doc_id, list_transform(regexp_extract_all(text, '\\b(20[0-9]{2})\\b', 1), lambda x: x::int) as y from documents)
+    select doc_id, list_min(y)::bigint as first_year, list_max(y)::bigint as last_year from y where len(y) > 0""")
+def year_window(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "documents").select("doc_id", T.years(F.col("text"), parity=True).alias("y")).where(F.size("y") > 0)
+    return found.select("doc_id", F.array_min("y").cast("bigint").alias("first_year"), F.array_max("y").cast("bigint").alias("last_year"))
+
+
+def _synonyms_sql(column: str) -> str:
+    out = f"lower({column})"
+    for phrase, head in sorted(((p, g[0]) for g in dims.SYNONYMS for p in g[1:]), key=lambda x: (-len(x[0]), x[0])):
+        out = f"regexp_replace({out}, '(^|[^\\p{{L}}\\p{{N}}]){T.quoted(phrase)}([^\\p{{L}}\\p{{N}}]|$)', '\\1{head}\\2', 'g')"
+    return out
+
+
+@query(f"select doc_id, sha256({_synonyms_sql('text')}) as expanded from documents")
+def synonym_expand(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2(lexical.expand_synonyms(F.col("text")), 256).alias("expanded"))
+
+
+@query("""
+    with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ')), lambda x: x <> '') as lines from documents)
+    select doc_id, len(lines)::bigint as n_lines, sha256(array_to_string(lines, chr(10))) as cleaned from l""")
+def clean_lines(spark: SparkSession, d: str) -> DataFrame:
+    t = T.clean_lines(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(F.split(t, "\n")).cast("bigint").alias("n_lines"), F.sha2(t, 256).alias("cleaned"))
+
+
+@query("""
+    select doc_id, case when instr(text, 'patients') > 0 then substr(text, greatest(instr(text, 'patients') - 300, 1), instr(text, 'patients') + 300 - greatest(instr(text, 'patients') - 300, 1)) else '' end as context from documents""")
+def context_window(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.context_window(F.col("text"), F.lit("patients")).alias("context"))
+
+
+@query("""
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
+    select doc_id, count(*) filter (where regexp_matches(line, '^\\s*[*•-]\\s'))::bigint as items from l group by doc_id""")
+def list_items(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\s*[*•-]\s"))
+    return table(spark, d, "documents").select("doc_id", F.size(lines).cast("bigint").alias("items"))
+
+
+_TAGS = "p|div|section|article|header|footer|ul|ol|li|br|hr|h[1-6]"
+
+
+@query(f"""
+    with x as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?i)<li\\b[^>]*>', chr(10) || '* ', 'g'), '(?i)</?({_TAGS})\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') as t from documents),
+    y as (select doc_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') as t from x)
+    select doc_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'), ' ')), lambda s: s <> ''), chr(10)) as plain from y""")
+def html_to_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", html.simple_html_to_text(F.col("text")).alias("plain"))
+
+
+@query()
+def html_render(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", html.html_to_text(F.col("text")).alias("plain"))
+
+
+@query()
+def table_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    pages = [(1, "<table><tr><th>Dose</th><th>Unit</th></tr><tr><td>5</td><td>mg</td></tr></table>"), (2, "<table><tr><td colspan=2>A</td></tr></table>"), (3, "<p>A</p><ul><li>x</li></ul>"), (4, None)]
+    return spark.createDataFrame(pages, "id long, html string").select("id", html.html_to_text(F.col("html")).alias("markdown"))
+
+
+@query("select row_id, replace(replace(replace(replace(replace(verbatim_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') as escaped from raw_chunks")
+def escape_markup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_chunks").select("row_id", T.escape_markup(F.col("verbatim_text")).alias("escaped"))
+
+
+@query(f"""
+    with g as (select item_id, {_TOKENS.format("text")} as w from eval_items), dg as (select doc_id, {_TOKENS.format("text")} as w from documents),
+    a as (select distinct item_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) as gram from g),
+    b as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) as gram from dg),
+    n as (select item_id, count(*) as total from a group by item_id)
+    select doc_id, item_id, count(*)::bigint as shared, round(count(*) / any_value(n.total), 6) as containment from b join a using (gram) join n using (item_id) group by doc_id, item_id having count(*) / any_value(n.total) >= 0.08""")
+def ngram_containment(spark: SparkSession, d: str) -> DataFrame:
+    return names.containment(table(spark, d, "eval_items"), table(spark, d, "documents"), "item_id", "doc_id", "text", 4, dims.MISQUOTE_OVERLAP)
+
+
+# --- ingest ----------------------------------------------------------------------------------
+
+
+@query(f"select row_id, round({_risk('layout_type', 'boxed_warning')}, 6) as risk, {_risk('layout_type', 'boxed_warning')} >= 0.7 as locked from raw_chunks")
+def risk_by_layout(spark: SparkSession, d: str) -> DataFrame:
+    risk = ingest.risk_of(F.col("layout_type"), F.col("boxed_warning"))
+    return table(spark, d, "raw_chunks").select("row_id", F.round(risk, 6).alias("risk"), (risk >= dims.VERBATIM_RISK).alias("locked"))
+
+
+@query("unpivot (select fetched_at, set_id, rxcui, drug_generic, atc_code, source from drug_labels) on rxcui, drug_generic, atc_code, source into name field value content")
+def wide_to_long_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "drug_labels").select("fetched_at", "set_id", "rxcui", "drug_generic", "atc_code", "source")
+    return rows.unpivot(["fetched_at", "set_id"], ["rxcui", "drug_generic", "atc_code", "source"], "field", "content").where("content is not null")
+
+
+@query("select lower(set_id) as set_id, rxcui, label_date, fetched_at from drug_labels qualify row_number() over (partition by lower(set_id) order by label_date desc nulls last, fetched_at desc, rxcui) = 1")
+def latest_per_entity(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "drug_labels").select(F.lower("set_id").alias("set_id"), "rxcui", "label_date", "fetched_at")
+    return ingest.latest_per_key(rows, ["set_id"], [F.desc_nulls_last("label_date"), F.desc("fetched_at"), F.asc_nulls_last("rxcui")])
+
+
+@query("""
+    with c as (select lower(set_id) as set_id, count(*)::bigint as chunks from raw_chunks where set_id is not null group by 1),
+    l as (select lower(set_id) as set_id, min(lower(trim(drug_generic))) as g from drug_labels group by 1),
+    i as (select lower(set_id) as set_id, min(lower(trim(drug_generic))) as g from ingest_log group by 1)
+    select set_id, chunks, coalesce(l.g, i.g, 'unknown') as generic, case when l.g is not null then 'label' when i.g is not null then 'log' else 'none' end as found_in from c left join l using (set_id) left join i using (set_id)""")
+def fallback_lookup(spark: SparkSession, d: str) -> DataFrame:
+    key = F.lower("set_id").alias("set_id")
+    chunks = table(spark, d, "raw_chunks").where("set_id is not null").groupBy(key).agg(F.count("*").alias("chunks"))
+    name = lambda t, c: table(spark, d, t).groupBy(key).agg(F.min(F.lower(F.trim("drug_generic"))).alias(c))
+    both = chunks.join(name("drug_labels", "a"), "set_id", "left").join(name("ingest_log", "b"), "set_id", "left")
+    return both.select("set_id", "chunks", F.coalesce("a", "b", F.lit("unknown")).alias("generic"), F.when(F.col("a").isNotNull(), "label").when(F.col("b").isNotNull(), "log").otherwise("none").alias("found_in"))
+
+
+@query("""
+    select r_name, n_name, count(*)::bigint as customers, round(sum(coalesce(t.total, 0)), 2) as total
+    from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+    left join (select o_custkey, sum(o_totalprice) as total from orders group by 1) t on o_custkey = c_custkey group by 1, 2""")
+def entity_resolution_chain(spark: SparkSession, d: str) -> DataFrame:
+    totals = table(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
+    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    chain = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).join(totals, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return chain.groupBy("r_name", "n_name").agg(F.count("*").alias("customers"), F.round(F.sum(F.coalesce("total", F.lit(0.0))), 2).alias("total"))
+
+
+@query("""
+    with c as (select rxcui, list(distinct atc_code) as found from drug_labels where rxcui is not null and atc_code is not null and atc_code <> 'ZZZZ' group by rxcui), s as (select rxcui, list_sort(found) as codes from c)
+    select distinct l.rxcui, coalesce(nullif(coalesce(list_filter(s.codes, lambda x: length(x) = 5)[1], s.codes[1]), ''), 'ZZZZ') as atc_code from drug_labels l left join s using (rxcui) where l.rxcui is not null""")
+def class_code_pick(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "drug_labels").where("rxcui is not null")
+    codes = rows.groupBy("rxcui").agg(F.array_sort(F.collect_set(F.when(F.col("atc_code") != "ZZZZ", F.col("atc_code")))).alias("codes"))
+    return codes.select("rxcui", ingest.class_code(F.col("codes")).alias("atc_code"))
+
+
+@query("select distinct lower(l.set_id) as set_id from drug_labels l where l.set_id is not null and not exists (select 1 from ingest_log i where lower(i.set_id) = lower(l.set_id))")
+def skip_done_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    key = F.lower("set_id").alias("set_id")
+    return ingest.not_done(table(spark, d, "drug_labels").where("set_id is not null").select(key), table(spark, d, "ingest_log").select(key)).distinct()
+
+
+@query("select count(distinct set_id)::bigint as labels, coalesce(sum(n_docs), 0)::bigint as documents from ingest_log")
+def ingest_totals(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.log_totals(table(spark, d, "ingest_log"))
+
+
+@query("select urn_id, index_id, indexed_at from index_docs where urn_id is not null qualify row_number() over (partition by urn_id order by indexed_at desc nulls last, index_id desc) = 1")
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "index_docs").where("urn_id is not null").select("urn_id", "index_id", "indexed_at")
+    return ingest.upsert(rows.limit(0), rows, "urn_id", [F.desc_nulls_last("indexed_at"), F.desc("index_id")])
+
+
+@query("select row_id, try_strptime(case when length(label_version_date) = 8 then label_version_date else replace(label_version_date, '-', '') end, '%Y%m%d')::date::varchar as label_date from raw_chunks where label_version_date is not null")
+def label_dates(spark: SparkSession, d: str) -> DataFrame:
+    date = F.col("label_version_date")
+    return table(spark, d, "raw_chunks").where("label_version_date is not null").select("row_id", ingest.label_date(date).cast("string").alias("label_date"))
+
+
+@query()
+def ingest_labels(spark: SparkSession, d: str) -> DataFrame:
+    """One label of every drug of ``drug_labels``, its sections made of the chunks of that label, through the whole ingest."""
+    rows = table(spark, d, "raw_chunks").where("set_id is not null and rxcui is not null and layout_type <> 'structured_fact' and verbatim_text is not null")
+    section = {"dosing": "dosage_and_administration", "warning": "warnings", "interaction": "drug_interactions", "indication": "indications_and_usage", "contraindication": "contraindications", "pharmacology": "description", "patient_info": "patient_counseling_information"}
+    parts = [F.array_sort(F.collect_list(F.when(F.col("layout_type") == k, F.struct("row_id", "verbatim_text")))) for k in section]
+    made = rows.groupBy(F.lower("set_id").alias("set_id")).agg(F.min("rxcui").alias("rxcui"), F.min("drug_name_generic").alias("drug_generic"), F.min("atc_code").alias("atc_code"), F.max("boxed_warning").alias("boxed_warning"), *[F.transform(p, lambda x: x["verbatim_text"]).alias(v) for p, v in zip(parts, section.values())])
+    labels = made.select(
+        "set_id", "rxcui", "drug_generic", F.array().cast("array<string>").alias("drug_brand"), "atc_code", F.lit("2025-01-01").cast("date").alias("label_date"), F.lit("2025-01-01").cast("date").alias("published"),
+        "boxed_warning", F.lit("fda_us").alias("source"), F.struct(*section.values()).alias("result"),
+    )
+    return ingest.sparse(ingest.artifacts(labels))
+
+
+@query("select event_id, (props::json->>'k')::bigint as k from events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+# --- aggregates, gate and assembly -----------------------------------------------------------
+
+
+@query("select lower(trim(drug_name_generic)) as name, count(*)::bigint as n from raw_chunks where length(lower(trim(drug_name_generic))) between 1 and 256 group by 1 order by n desc, name limit 1000")
+def terms_aggregation(spark: SparkSession, d: str) -> DataFrame:
+    return intent.top_terms(table(spark, d, "raw_chunks").select(F.lower(F.trim("drug_name_generic")).alias("name")))
+
+
+@query("select name, count(*)::bigint as n from (select lower(trim(unnest(drug_name_brand))) as name from raw_chunks) where length(name) between 1 and 256 group by 1 order by n desc, name limit 1000")
+def brand_aggregation(spark: SparkSession, d: str) -> DataFrame:
+    return intent.top_terms(table(spark, d, "raw_chunks").select(F.explode("drug_name_brand").alias("b")).select(F.lower(F.trim("b")).alias("name")))
+
+
+@query("select coalesce(layout_type, 'unknown') as layout, count(*)::bigint as n, max(try_cast(substr(label_version_date, 1, 4) as int))::bigint as newest, count(*) filter (where len(dose_values) > 0)::bigint as with_doses from raw_chunks group by 1")
+def layout_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return (
+        table(spark, d, "raw_chunks").groupBy(F.coalesce("layout_type", F.lit("unknown")).alias("layout"))
+        .agg(F.count("*").alias("n"), F.max(F.substring("label_version_date", 1, 4).try_cast("int")).cast("bigint").alias("newest"), F.count_if(F.size("dose_values") > 0).alias("with_doses"))
+    )
+
+
+@query("""
+    with f as (select lower(set_id) as set_id, count(*) as hits, max(coalesce(chunk_confidence, 0)) as top, count(*) filter (where layout_type in ('dosing', 'structured_fact')) as dosing,
+        count(*) filter (where len(dose_values) > 0) as doses, count(*) filter (where layout_type = 'interaction') as inter, max(try_cast(substr(label_version_date, 1, 4) as int)) as newest from raw_chunks where set_id is not null group by 1)
+    select set_id, array_to_string(list_filter([case when hits < 3 then 'F1' end, case when hits > 0 and top < 0.38 then 'F2' end, case when dosing = 0 then 'F3' end, case when doses < 2 then 'F6' end, case when hits <= 1 then 'F4' end, case when inter = 0 then 'F5' end, case when newest is not null and 2026 - newest > 3 then 'F7' end], lambda x: x is not null), ',') as failures from f""")
+def sufficiency_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The gate over the chunks of every label, as if each label answered a causal dosing question about renal impairment."""
+    asked = intent.Intent("", query_type="causal", layouts=("dosing", "interaction"), population="renal_impairment", wants_interaction=True, wants_dosing=True)
+    layout = F.coalesce("layout_type", F.lit("unknown"))
+    rows = table(spark, d, "raw_chunks").where("set_id is not null").select(F.lower("set_id").alias("set_id"), layout.alias("layout"), "chunk_confidence", "label_version_date", (F.size("dose_values") > 0).alias("dosed"))
+    counts = rows.groupBy("set_id", "layout").agg(F.count("*").alias("n"), F.max("chunk_confidence").alias("top"), F.max(F.substring("label_version_date", 1, 4).try_cast("int")).alias("year"), F.count_if("dosed").alias("doses"))
+    facts_ = counts.groupBy("set_id").agg(F.sum("n").alias("hits"), F.coalesce(F.max("top"), F.lit(0.0)).alias("top"), F.max("year").alias("newest"), F.sum("doses").alias("doses"), F.map_from_entries(F.collect_list(F.struct("layout", "n"))).alias("coverage"))
+    return facts_.select("set_id", F.array_join(reflect.failures(asked, 2026), ",").alias("failures"))
+
+
+@query("""
+    with h as (select parent_urn, row_number() over (order by chunk_confidence desc nulls last, row_id) as rank from raw_chunks where parent_urn is not null and parent_urn <> ''),
+    p as (select parent_urn as urn_id, min(rank)::bigint as rank from h group by 1 order by rank, urn_id limit 5)
+    select urn_id, row_id, rank from p join raw_chunks using (urn_id)""")
+def parent_pivot(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_chunks").select("row_id", "urn_id", "parent_urn", "chunk_confidence")
+    hits = rows.where("parent_urn is not null and parent_urn <> ''").withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("chunk_confidence"), "row_id")).cast("bigint"))
+    return assemble.parents(hits, rows.select("row_id", "urn_id")).select("urn_id", "row_id", "rank")
+
+
+@query("""
+    with c as (select parent_urn as urn_id, count(*)::bigint as children from raw_chunks where parent_urn is not null group by 1)
+    select r.row_id, r.urn_id, c.children from raw_chunks r join c using (urn_id)""")
+def parent_children(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_chunks")
+    counts = rows.where("parent_urn is not null").groupBy(F.col("parent_urn").alias("urn_id")).agg(F.count("*").alias("children"))
+    return rows.select("row_id", "urn_id").join(counts, "urn_id").select("row_id", "urn_id", "children")
+
+
+@query("""
+    select row_id, atc_code from raw_chunks where layout_type = 'dosing' and substr(atc_code, 1, 4) in (select distinct substr(atc_code, 1, 4) from drug_labels where length(atc_code) >= 4 and boxed_warning)""")
+def prefix_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    boxed = table(spark, d, "drug_labels").where("boxed_warning")
+    return assemble.class_neighbours(table(spark, d, "raw_chunks").select("row_id", "atc_code", "layout_type"), boxed, "dosing").select("row_id", "atc_code")
+
+
+@query("""
+    with f as (select rxcui, urn_id from raw_chunks where layout_type in ('dosing', 'structured_fact') and chunk_confidence >= 0.9 and rxcui is not null and len(dose_values) > 0
+               qualify row_number() over (partition by rxcui order by chunk_confidence desc, urn_id desc) = 1)
+    select r.row_id, case when coalesce(r.chunk_confidence, 1.0) >= 0.6 then 'trusted' when f.urn_id is not null then 'verified' else 'unverified' end as calibration,
+           case when coalesce(r.chunk_confidence, 1.0) < 0.6 then f.urn_id end as fact_urn from raw_chunks r left join f on f.rxcui = r.rxcui""")
+def calibration_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_chunks").select("row_id", "urn_id", "rxcui", "layout_type", "chunk_confidence", "dose_values")
+    low = rows.withColumn("chunk_confidence", F.coalesce("chunk_confidence", F.lit(1.0)))
+    return assemble.calibrated(low, rows).select("row_id", "calibration", "fact_urn")
+
+
+@query("select distinct r.row_id, r.urn_id from raw_chunks r where r.urn_id in (select parent_urn from raw_chunks where parent_urn is not null and parent_urn <> '')")
+def reference_expansion(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_chunks")
+    refs = rows.select(F.array("parent_urn").alias("table_ref"))
+    return assemble.expansion(refs, rows.select("row_id", "urn_id"), ["table_ref"], limit=None).select("row_id", "urn_id")
+
+
+_CONFLICT = "count(*) as nodes, min(v) as least, max(v) as most"
+
+
+@query("""
+    with g as (select l_partkey, l_returnflag, l_linestatus, count(*)::bigint as nodes, min(l_quantity) as least, max(l_quantity) as most from lineitem group by 1, 2, 3)
+    select l_partkey, l_returnflag, l_linestatus, nodes, round((most - least) / least, 6) as pct_diff from g where nodes >= 2 and least <> 0 and (most - least) / least > 0.15""")
+def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").withColumn("urn", F.concat_ws(":", "l_orderkey", "l_linenumber"))
+    found = assemble.conflicts(rows, ["l_partkey", "l_returnflag", "l_linestatus"], "l_quantity", "urn")
+    return found.select("l_partkey", "l_returnflag", "l_linestatus", "nodes", F.round("pct_diff", 6).alias("pct_diff"))
+
+
+@query("""
+    with r as (select row_id, urn_id, drug_name_generic as drug, coalesce(nullif(dose_route, ''), 'any') as route, coalesce(nullif(patient_population, ''), 'general') as population, array_to_string(coalesce(dose_units, []::varchar[]), ',') as units, list_filter(dose_values, lambda x: x is not null) as v from raw_chunks where layout_type in ('dosing', 'structured_fact')),
+    g as (select drug, route, population, units, count(*)::bigint as nodes, count(distinct urn_id)::bigint as urns, min(list_min(v)) as least, max(list_max(v)) as most from r where len(v) > 0 group by 1, 2, 3, 4)
+    select drug, route, population, units, nodes, urns, round((most - least) / least, 6) as pct_diff from g where nodes >= 2 and least <> 0 and (most - least) / least > 0.15""")
+def dose_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    found = assemble.dose_conflicts(table(spark, d, "raw_chunks"))
+    return found.select("drug", "route", "population", "units", "nodes", F.size("urns").cast("bigint").alias("urns"), F.round("pct_diff", 6).alias("pct_diff"))
+
+
+@query("select case when coalesce(raglens_risk, 0) >= 0.7 then 'verbatim' else 'paraphrase' end as section, count(*)::bigint as nodes from raw_chunks group by 1")
+def section_split_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = assemble.locked(assemble.nodes(table(spark, d, "raw_chunks").select("row_id", "raglens_risk")))
+    return assemble.summary(rows.withColumn("section", F.when(F.col("verbatim_locked"), "verbatim").otherwise("paraphrase")))
+
+
+@query("""
+    with k as (select distinct lower(set_id) as s, urn_id as u from raw_chunks where set_id is not null and urn_id is not null), c as (select distinct lower(set_id) as s, urn_id as u from index_docs where set_id is not null and urn_id is not null)
+    select coalesce(k.s, c.s) as set_id, count(*) filter (where k.u is not null and c.u is not null)::bigint as verified, count(*) filter (where k.u is null)::bigint as hallucinated, count(*) filter (where c.u is null)::bigint as missing from k full join c on k.s = c.s and k.u = c.u group by 1""")
+def citation_sets(spark: SparkSession, d: str) -> DataFrame:
+    both = lambda t, mark: table(spark, d, t).where("set_id is not null and urn_id is not null").select(F.lower("set_id").alias("set_id"), "urn_id").distinct().withColumn(mark, F.lit(1))
+    joined = both("raw_chunks", "known").join(both("index_docs", "cited"), ["set_id", "urn_id"], "full")
+    return joined.groupBy("set_id").agg(F.count_if(F.expr("known = 1 and cited = 1")).alias("verified"), F.count_if(F.col("known").isNull()).alias("hallucinated"), F.count_if(F.col("cited").isNull()).alias("missing"))
+
+
+@query()
+def orphan_numbers(spark: SparkSession, d: str) -> DataFrame:
+    found = audit.orphans(table(spark, d, "documents"), "doc_id", "text")
+    return found.select(F.col("answer_id").alias("doc_id"), F.size("orphaned").cast("bigint").alias("orphans"))
+
+
+@query()
+def prompt_render(spark: SparkSession, d: str) -> DataFrame:
+    """A prompt from the ten best chunks for a question."""
+    top = bm25_of_chunks(spark, d, ["dose", "renal", "patients"], 10)
+    return assemble.prompt(top, "What is the dose for patients with renal disease?", drugs=["any"])
+
+
+def bm25_of_chunks(spark: SparkSession, d: str, terms: list[str], k: int) -> DataFrame:
+    rows = table(spark, d, "raw_chunks")
+    best = lexical.bm25(rows, terms, "row_id", "verbatim_text").orderBy(F.desc("score"), "id").limit(k)
+    hits = assemble.locked(assemble.nodes(rows.join(F.broadcast(best.withColumnRenamed("id", "row_id")), "row_id")))
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "row_id"))
+    return hits.withColumn("rank", rank).withColumn("section", F.when(F.col("verbatim_locked"), "verbatim").otherwise("paraphrase"))
+
+
+@query("select event_type, count(*)::bigint as n, round(sum(value), 6) as total from (select * from events qualify row_number() over (partition by event_id order by ts desc) = 1) group by 1")
+def streaming_ingest_once(spark: SparkSession, d: str) -> DataFrame:
+    from quillspark.streaming.ingest import ingest_once
+
+    got = ingest_once(spark, f"{d}/events.parquet", "event_id", [F.desc("ts")])
+    return got.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query()
+def reflective_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline for one question, with vectors of all chunks made by the default embedder."""
+    from quillspark.plans.engine import Engine
+    from quillspark.runtime import stage
+
+    chunks = table(spark, d, "raw_chunks").where("urn_id is not null and layout_type is not null")
+    latest = ingest.latest_per_key(chunks, ["urn_id"], [F.desc_nulls_last("ingested_at"), F.desc("row_id")])
+    index = stage(latest.withColumn("r", vectors.represent()(F.col("verbatim_text"))).select("*", "r.*").drop("r"), "index")
+    evidence, _, _ = Engine(spark, index, year=2026, min_score=0.1).ask("What is the recommended dose in renal impairment?")
+    return evidence.select("section", "urn_id", "layout_type", "rank", "maxsim", "calibration")
+
+
+# --- amounts ---------------------------------------------------------------------------------
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.common_units(table(spark, d, "raw_chunks"))
