@@ -8,8 +8,8 @@ partitions, in which all members are ranked by exact cosine. Vectors travel as 1
 A partition larger than ``capacity`` is split into blocks, and each pair of blocks is one bounded
 task, so no partition, however hot, is held by one task, and none of its members is left out.
 
-Only the fitting uses a sample: at most ``sample`` vectors per field (default 12,000). All vectors are
-indexed and all are queries.
+Only the fitting uses a sample: about 16 vectors per partition, ``sample`` (2,000) at least and ``most_sample``
+(50,000) at most, drawn by a hash of the id. All vectors are indexed and all are queries.
 
 Defined results: of each ``urn_id`` the row with the latest ``indexed_at`` counts, the greater id on
 ties; a row with a null ``urn_id`` stands for itself. Vectors that are null, of another length, all
@@ -48,8 +48,7 @@ def unit_vectors(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarra
     ids, lists = np.asarray(batch.column(0)), batch.column(1)
     flat = lists.flatten()
     values = flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-    with np.errstate(over="ignore", invalid="ignore"):
-        norm = np.sqrt((values.astype(np.float64) ** 2).sum(1))
+    norm = np.sqrt(np.einsum("ij,ij->i", values, values, dtype=np.float64))
     good = np.isfinite(norm) & (norm > 0)
     return ids[good], (values[good] / norm[good, None]).astype(np.float32)
 
@@ -148,20 +147,20 @@ def _vectors(df: DataFrame, id_col: str, field: str, dim: int) -> DataFrame:
 
 
 def _fit(vectors: DataFrame, dim: int, count: int, parts: int, sample: int, seed: int) -> Router:
-    share = max(1, count // sample)
-    taken = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0).orderBy(F.xxhash64("id", F.lit(seed))).limit(sample)
-    batches = [unit_vectors(b, dim)[1] for b in taken.toArrow().combine_chunks().to_batches()]
+    taken = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, count))) < sample)
+    batches = [unit_vectors(b, dim)[1] for b in taken.toArrow().to_batches()]
     return Router(np.concatenate(batches) if batches else np.zeros((0, dim), np.float32), parts, seed=seed)
 
 
 def top_neighbours(
-    df: DataFrame, field: str, dim: int, id_col: str = "index_id", k: int = 5, probes: int = 2, part_rows: int = 1000, capacity: int = 8000, sample: int = 12_000, seed: int = 1
+    df: DataFrame, field: str, dim: int, id_col: str = "index_id", k: int = 5, probes: int = 2, part_rows: int = 2000, capacity: int = 8000, sample: int = 2_000, most_sample: int = 50_000, seed: int = 1
 ) -> DataFrame:
     """``id, neighbour, similarity`` of (about) the ``k`` most similar others of every usable vector of ``df``."""
     spark, vectors = df.sparkSession, _vectors(df, id_col, field, dim)
     count = vectors.select("id").count()
     parts = 1 << max(0, math.ceil(math.log2(max(1, count) / part_rows)))
-    #: The classifier needs some sampled vectors of every partition.
+    # The classifier needs some sampled vectors of every partition.
+    sample = min(most_sample, max(sample, 16 * parts))
     parts = min(parts, max(1, 1 << int(math.log2(max(1, min(sample, count) // 8)))))
     router = spark.sparkContext.broadcast(_fit(vectors, dim, count, parts, sample, seed) if count else None)
     probes = min(probes, parts)
