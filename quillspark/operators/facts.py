@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark import dims
 from quillspark.functions.text import quoted
 
-_TRIGGER = r"(?:\b(?:no|not|never|without|denies|denied|negative for|history of|previous|avoid)\b)(?:[^.;:!?]*?\b){0,1}(?:[^\s.;:!?]+\s+){0,5}$"
+_TRIGGER = r"\b(?:no|not|never|without|denies|denied|negative for|history of|previous)\b\s+(?:[^\s.;:!?]+\s+){0,5}$"
 
 
 def last_label(text: Column, vocabulary: list[tuple[str, list[str]]], default: str) -> Column:
