@@ -132,5 +132,5 @@ def mixed(
     base = spark.createDataFrame([(s, w, m, have.get(s, (0, 0))[0], have.get(s, (0, 0))[1]) for s, w, m in wanted], "source string, target_share double, max_repeats int, available_tokens long, available_records long")
     all_used = F.sum("used_tokens").over(Window.partitionBy(F.lit(0)))
     report = base.join(F.broadcast(used), "source", "left").na.fill(0, ["used_tokens", "used_records", "most_repeats"])
-    report = report.withColumn("reached_share", F.coalesce(F.round(F.col("used_tokens") / all_used, 6), F.lit(0.0)))
+    report = report.withColumn("reached_share", F.coalesce(F.round(F.try_divide(F.col("used_tokens"), all_used), 6), F.lit(0.0)))
     return mixture, report.withColumn("at_limit", F.col("used_tokens") >= F.col("available_tokens") * F.col("max_repeats"))
