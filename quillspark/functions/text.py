@@ -95,7 +95,10 @@ def population_asked(question: Column, parity: bool = False) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Runs of ``n`` words joined by spaces; empty when there are fewer words."""
+    """Runs of ``n`` words joined by spaces; empty when there are fewer words.
+
+    ``words`` should be a column, not an expression: it is read once per run.
+    """
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 

@@ -36,9 +36,9 @@ def audit(answers: DataFrame, nodes: DataFrame, id_col: str = "answer_id", text_
     c = cited(answers, id_col, text_col).withColumn("is_cited", F.lit(True))
     k = nodes.select("answer_id", "urn_id", "verbatim_text", "verbatim_locked").withColumn("known", F.lit(True))
     both = c.join(k, ["answer_id", "urn_id"], "full").join(base, "answer_id", "left")
-    near = T.tokens_by_space(F.lower(T.context_window(F.col("answer"), F.col("urn_id"))))
-    node = T.ngrams(T.tokens_by_space(F.lower(F.coalesce("verbatim_text", F.lit("")))), 4)
-    overlap = F.size(F.array_intersect(F.array_distinct(node), T.ngrams(near, 4))) / F.greatest(F.size(F.array_distinct(node)), F.lit(1))
+    both = both.withColumns({"near": T.tokens_by_space(F.lower(T.context_window(F.col("answer"), F.col("urn_id")))), "node": T.tokens_by_space(F.lower(F.coalesce("verbatim_text", F.lit(""))))})
+    both = both.withColumns({"near": T.ngrams(F.col("near"), 4), "node": F.array_distinct(T.ngrams(F.col("node"), 4))})
+    overlap = F.size(F.array_intersect("node", "near")) / F.greatest(F.size("node"), F.lit(1))
     both = both.withColumn("wrong", F.col("is_cited") & F.col("known") & F.coalesce("verbatim_locked", F.lit(False)) & (overlap < dims.MISQUOTE_OVERLAP))
     pick = lambda cond, name: F.array_sort(F.collect_set(F.when(F.expr(cond), F.col("urn_id")))).alias(name)
     sets = both.groupBy("answer_id").agg(

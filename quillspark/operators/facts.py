@@ -12,19 +12,20 @@ from pyspark.sql import functions as F
 from quillspark import dims
 from quillspark.functions.text import quoted
 
-_TRIGGER = r"\b(?:no|not|never|without|denies|denied|negative for|history of|previous)\b\s+(?:[^\s.;:!?]+\s+){0,5}$"
+_TRIGGER = r"(?<![\p{L}\p{N}])(?:no|not|never|without|denies|denied|negative for|history of|previous)\s+"
 
 
 def last_label(text: Column, vocabulary: list[tuple[str, list[str]]], default: str) -> Column:
-    """The label of the last mention that is not negated."""
-    low, found = F.lower(text), []
-    for label, words in vocabulary:
-        for w in words:
-            at = F.length(text) - F.length(F.substring_index(low, w.strip(), -1))
-            before = F.substring(low, F.lit(1), at - len(w.strip()))
-            ok = low.rlike(rf"(?<![\p{{L}}\p{{N}}]){quoted(w.strip())}") & ~before.rlike(_TRIGGER)
-            found.append(F.when(ok, F.struct(at.alias("at"), F.lit(label).alias("label"))))
-    return F.coalesce(F.array_max(F.array_compact(F.array(*found)))["label"], F.lit(default))
+    """The label of the last mention that is not negated.
+
+    One expression cuts negated mentions out, a second finds the last keyword that is left.
+    """
+    label = {w.strip(): name for name, words in vocabulary for w in words}
+    either = "|".join(quoted(w) for w in sorted(label, key=lambda w: (-len(w), w)))
+    positive = F.regexp_replace(F.lower(text), rf"{_TRIGGER}(?:[^\s.;:!?]+\s+){{0,5}}(?:{either})", " ")
+    last = F.regexp_extract(positive, rf"(?s)^.*(?<![\p{{L}}\p{{N}}])({either})", 1)
+    named = F.create_map(*[F.lit(x) for pair in label.items() for x in pair])
+    return F.coalesce(F.try_element_at(named, last), F.lit(default))
 
 
 _UNITS = "mg/kg|mg/m2|mg/m²|mcg/kg|mcg/day|mcg/ml|mg/day|mg/ml|units/kg|unit/kg|mg|mcg|g|meq|ml|units|iu"

@@ -19,7 +19,12 @@ def containment(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str, te
 
     The grams of the items filter those of the documents before anything is shuffled by document.
     """
-    grams = lambda df, key: df.select(F.col(key), F.explode(F.array_distinct(T.ngrams(T.tokens(F.col(text_col)), n))).alias("gram"))
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        # Tokens are a column of their own: inside the n-gram lambda they would be cut anew for every n-gram.
+        words = df.select(F.col(key), T.tokens(F.col(text_col)).alias("w"))
+        return words.select(key, F.explode(F.array_distinct(T.ngrams(F.col("w"), n))).alias("gram"))
+
     wanted = grams(items, item_id)
     total = wanted.groupBy(item_id).agg(F.count("*").alias("total"))
     shared = grams(docs, doc_id).join(wanted, "gram").groupBy(doc_id, item_id).agg(F.count("*").alias("shared"))
