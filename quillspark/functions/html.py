@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 # Tags that end a line.
 BREAKS = frozenset("p div section article header footer ul ol li br hr h1 h2 h3 h4 h5 h6".split())
-_PIECE = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<![^>]*>|([^<]+|<)", re.S)
+_PIECE = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<![^>]*>|([^<]+|<)", re.S)
 _SKIPPED = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _SPAN = re.compile(r"colspan\s*=\s*[\"']?\s*(\d+)", re.I)
 

@@ -43,7 +43,7 @@ KINDS = [("mcg", "", "mcg"), ("mcg", "kg", "mcg/kg"), ("mcg", "m2", "mcg/m2"), (
 FORMS = "tablet capsule puff spray sachet drop lozenge patch suppository vial ampoule pill caplet inhalation actuation pessary spoonful".split()
 
 _SPACE = r"[\s\u00a0\u202f]"
-_NUMBER = r"(?:\d{1,3}(?:[,.\u00a0\u202f'’]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?|[.,]\d+)(?![\d]|[.,]\d)"
+_NUMBER = r"(?:\d{1,3}(?:[,.\u00a0\u202f'’]\d{3}){1,8}(?:[.,]\d+)?|\d+(?:[.,]\d+)?|[.,]\d+)(?![\d]|[.,]\d)"
 _FREE = r"(?<![\p{L}\p{N}])(?<!\p{N}[.,])"
 
 
