@@ -16,18 +16,17 @@ from pyspark.sql import functions as F
 
 from quillspark.runtime import attach_groups, first_value, stage
 
-#: Everything that is no word: a point or comma counts as part of a number only between two digits.
-BETWEEN_WORDS = r"(?:[^\p{L}\p{N}.,]|(?<!\p{Nd})[.,]|[.,](?!\p{Nd}))+"
+#: Everything that is no word: a point or comma counts as part of a number only between two digits. Only
+#: single characters and character classes repeat, so that runs of any length need no recursion.
+BETWEEN_WORDS = r"[^\p{L}\p{N}.,]+|(?<!\p{Nd})[.,]|[.,](?!\p{Nd})"
 #: A segment that is a name of one to three words, a colon and a value.
 FIELD = r"(?s)^[^\p{L}\p{N}:]*[\p{L}\p{N}]+(?:[^\p{L}\p{N}:]+[\p{L}\p{N}]+){0,2}[^\p{L}\p{N}:]*:.*[\p{L}\p{N}]"
 SEGMENTS = r"[;|\r\n]+"
-#: Only texts with at least three colons and two separators can be lists of fields.
-MAYBE_FIELDS = r"(?s):.*[;|\r\n].*:.*[;|\r\n].*:"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text in order, joined by single spaces."""
-    return F.trim(F.regexp_replace(F.lower(text), BETWEEN_WORDS, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), BETWEEN_WORDS, " "), " {2,}", " "))
 
 
 def fields_of(text: Column) -> Column:
@@ -35,7 +34,10 @@ def fields_of(text: Column) -> Column:
     segments = F.filter(F.split(text, SEGMENTS), lambda s: s.rlike(r"[\p{L}\p{N}]"))
     is_list = (F.size(segments) >= 3) & F.forall(segments, lambda s: s.rlike(FIELD))
     canonical = F.array_join(F.array_sort(F.transform(segments, words_of)), "\u0001")
-    return F.when(text.rlike(MAYBE_FIELDS), F.when(is_list, canonical))
+    # Cheap counts first: a list of fields has at least three colons and two separators.
+    colons = F.length(text) - F.length(F.translate(text, ":", ""))
+    cuts = F.length(text) - F.length(F.translate(text, ";|\r\n", ""))
+    return F.when((colons >= 3) & (cuts >= 2), F.when(is_list, canonical))
 
 
 def hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from quillspark.runtime import stage
 
-AFTER = re.compile(r"(?:\s|</?[A-Za-z][^<>]*>|<[^<>\n]{0,20}$|…|�|\.{2,}|[\[(](?:\.{2,}|…)[\])])+$")
-MARKED = re.compile(r"…|�|\.\.|<[^<>\n]*$")
+#: What may follow a cut, besides white space: closing mark-up (also broken), an ellipsis, dots, a replacement character.
+AFTER = re.compile(r"(?:</?[A-Za-z][^<>]*>|<[^<>\n]{0,20}|…|\ufffd|\.{2,}|[\[(](?:\.{2,}|…)[\])])$")
+MARKED = re.compile(r"…|\ufffd|\.\.|<[^<>\n]*$")
 CLOSED = re.compile(r"[.!?][\")\]»”’'*_]*$")
 CLOSE_INSIDE = re.compile(r"[.!?][\")\]»”’']*\s+(?=\S)")
 ITEM = re.compile(r"^\s*(?:[*•‣▪◦–-]|\d+[.)])\s+")
@@ -46,8 +47,14 @@ ENOUGH = 5
 
 def core_of(text: str) -> tuple[str, bool]:
     """The text without what may follow a cut, and whether a marker of a cut was among that."""
-    m = AFTER.search(text)
-    return (text[: m.start()], bool(MARKED.search(m.group()))) if m else (text, False)
+    marked = False
+    while True:
+        text = text.rstrip()
+        m = AFTER.search(text, max(0, len(text) - 100))
+        if not m:
+            return text, marked
+        marked = marked or MARKED.search(m.group()) is not None
+        text = text[: m.start()]
 
 
 def templated(words: list[str], common: set[str]) -> list[str]:

@@ -32,6 +32,7 @@ def test_cases(spark, texts, pairs):
 
 def test_very_long_text(spark):
     assert found(spark, ["word " * 300_000, "WORD\n" * 300_000]) == [(0, 1)]
+    assert found(spark, ["a" + "-.,;" * 100_000 + "b", "a b", "a: b " * 100_000, "a; b " * 100_000]) == [(0, 1), (2, 3)]
 
 
 def brute(texts):

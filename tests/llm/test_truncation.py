@@ -13,6 +13,11 @@ def test_core(text, core, marked):
     assert T.core_of(text) == (core, marked)
 
 
+def test_core_of_long_runs():
+    assert T.core_of("a" + " " * 500_000 + "b") == ("a" + " " * 500_000 + "b", False)
+    assert T.core_of("abc" + "." * 50_000 + " \n" * 50_000) == ("abc", True)
+
+
 def corpus():
     docs = []
     for i in range(120):
