@@ -8,7 +8,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,11 +55,11 @@ def exact_bucket(v: np.ndarray, buckets: int = BUCKETS) -> int:
     return int.from_bytes(hashlib.sha256(np.asarray(v[:4], np.float32).tobytes()).digest()[:2], "big") % buckets
 
 
-def pooled_encoding(vectors: np.ndarray) -> np.ndarray:
+def pooled_encoding(vectors: np.ndarray, bucket: np.ndarray | None = None) -> np.ndarray:
     """Fixed-dimensional encoding: vectors max-pooled by bucket, blocks and whole normalised; zeros for no vectors."""
     blocks = np.zeros((BUCKETS, TOKEN_DIM), np.float32)
     if len(vectors):
-        bucket = np.array([exact_bucket(v) for v in vectors])
+        bucket = np.array([exact_bucket(v) for v in vectors]) if bucket is None else bucket
         for b in np.unique(bucket):
             top = vectors[bucket == b].max(0)
             blocks[b] = top / (np.linalg.norm(top) or 1.0)
@@ -98,6 +98,12 @@ class HashedEmbedder:
 Embedder = Callable[[list[str]], np.ndarray]
 
 
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as Arrow lists, without a Python object per number."""
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values, np.float32).ravel(), pa.float32()))
+
+
 def represent(embedder: Callable[[], Embedder] = HashedEmbedder, batch: int = 64) -> Callable[[Column], Column]:
     """A function of a text column to ``struct<content_vector, token_vecs, fde>``.
 
@@ -105,20 +111,24 @@ def represent(embedder: Callable[[], Embedder] = HashedEmbedder, batch: int = 64
     components and normalised. A null text has no words.
     """
 
-    @F.pandas_udf("content_vector array<float>, token_vecs array<array<float>>, fde array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<content_vector: array<float>, token_vecs: array<array<float>>, fde: array<float>>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = embedder()
         for texts in parts:
-            out = []
-            values = [t or "" for t in texts]
-            for lo in range(0, len(values), batch):
-                some = values[lo : lo + batch]
-                for text, whole in zip(some, embed(some)):
-                    words = text.split()[:MAX_TOKENS]
-                    tokens = embed(words)[:, :TOKEN_DIM] if words else np.zeros((0, TOKEN_DIM), np.float32)
-                    size = np.linalg.norm(tokens, axis=1, keepdims=True)
-                    tokens = tokens / np.where(size == 0, 1, size)
-                    out.append((whole.tolist(), tokens.tolist(), pooled_encoding(tokens).tolist()))
-            yield pd.DataFrame(out, columns=["content_vector", "token_vecs", "fde"])
+            values = [t or "" for t in texts.to_pylist()]
+            whole = [embed(values[lo : lo + batch]) for lo in range(0, len(values), batch)]
+            words = [t.split()[:MAX_TOKENS] for t in values]
+            vocabulary = sorted({w for ws in words for w in ws})
+            known = np.concatenate([embed(vocabulary[lo : lo + batch])[:, :TOKEN_DIM] for lo in range(0, len(vocabulary), batch)]) if vocabulary else np.zeros((0, TOKEN_DIM), np.float32)
+            size = np.linalg.norm(known, axis=1, keepdims=True)
+            known = known / np.where(size == 0, 1, size)
+            place = {w: i for i, w in enumerate(vocabulary)}
+            rows = [np.array([place[w] for w in ws], np.int64) for ws in words]
+            starts = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+            tokens = pa.ListArray.from_arrays(starts, _lists(known[np.concatenate([np.zeros(0, np.int64), *rows])]))
+            bucket = np.array([exact_bucket(v) for v in known], np.int64)
+            fde = np.stack([pooled_encoding(known[r], bucket[r]) for r in rows]) if rows else np.zeros((0, FDE_DIM), np.float32)
+            content = np.concatenate(whole) if whole else np.zeros((0, DIM), np.float32)
+            yield pa.StructArray.from_arrays([_lists(content), tokens, _lists(fde)], ["content_vector", "token_vecs", "fde"])
 
     return run
