@@ -183,15 +183,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
         for batch in batches:
-            keep = []
+            keep = np.zeros(len(batch), bool)
             for lo in range(0, len(batch), 2000):
                 part = batch.iloc[lo : lo + 2000]
-                (ra, ia), (rb, ib) = shingle(part["ta"].tolist()), shingle(part["tb"].tolist())
-                for i in range(len(part)):
-                    x, y = ra[ia[i] : ia[i + 1]], rb[ib[i] : ib[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            yield batch[np.array(keep, bool)][["a", "b"]]
+                # A text of several pairs is cut into words once.
+                at, texts = pd.factorize(np.concatenate([part["ta"].to_numpy(), part["tb"].to_numpy()]))
+                runs, starts = shingle(texts.tolist())
+                for i, (a, b) in enumerate(zip(at[: len(part)], at[len(part) :])):
+                    x, y = runs[starts[a] : starts[a + 1]], runs[starts[b] : starts[b + 1]]
+                    z = np.concatenate((x, y))
+                    z.sort()
+                    both = int((z[1:] == z[:-1]).sum())
+                    keep[lo + i] = both >= threshold * (len(x) + len(y) - both) - 1e-9
+            yield batch[keep][["a", "b"]]
 
     ta, tb = texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), texts.select(F.col("k").alias("b"), F.col("text").alias("tb"))
     return pairs.join(ta, "a").join(tb, "b").mapInPandas(run, "a long, b long")
@@ -268,16 +272,21 @@ def near_duplicate_rows(
     linked, tested, round_no = links(pairs), pairs, 0
     comps = components(linked)
     entries = stage(_refined(entries.where("n > 2").select("bucket", "k").distinct(), sigs, small), "p1-buckets")
+    # Small buckets are done after one round; only what is large even then needs more.
+    large = stage(entries.join(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > small).select("bucket"), "bucket", "left_semi"), "p1-large")
+    rest = entries
     while True:
         round_no += 1
-        fresh = stage(_cross_pairs(entries, comps, tested, small, round_no), "p1-cross")
+        fresh = stage(_cross_pairs(rest, comps, tested, small, round_no), "p1-cross")
         if fresh.isEmpty():
             break
         more = links(fresh)
-        tested = tested.unionByName(fresh)
+        tested, rest = tested.unionByName(fresh), large
         if not more.isEmpty():
             linked = stage(linked.unionByName(more), "p1-all-links")
             comps = components(linked)
+        if large.isEmpty():
+            break
 
     named = per_class.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     grouped = named.groupBy("root").agg(F.min("rep").alias("group_row_id"), F.sum("n").alias("members"), F.min("s1").alias("s1"), F.max("s2").alias("s2"))
