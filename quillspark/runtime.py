@@ -3,21 +3,45 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 _STAGED: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
 
 #: Groups holding more than this share of the rows are "hot"; there can be at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers, once per application, by way of the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    here, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    folder = f"{scratch_dir(spark)}/quillspark/lib-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{here.name}.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    _STAGED.append((spark, folder))
+    context.addPyFile(f"{folder}/{here.name}.zip")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
