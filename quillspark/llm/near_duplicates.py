@@ -7,8 +7,8 @@
 3. In every bucket each member is paired with one centre, drawn afresh per bucket; buckets stay
    linear in their members. After the links so found are joined into components, only members of a
    bucket that still lie in different components are compared further: at once in small buckets;
-   large ones are first split by further hash functions, and what is still large then gets one new
-   centre a round, until nothing is left to compare.
+   large ones are first split by further hash functions, and of what is still large then each member
+   is a centre once, twice as many in every round, until nothing is left to compare.
 4. A pair's signatures are compared batch by batch. It is dropped as soon as the posterior
    probability that its similarity reaches the threshold falls below ``miss``; survivors are
    verified exactly on their texts.
@@ -35,6 +35,8 @@ WORD = re.compile(r"[^\W_]+")
 BANDS, ROWS, SIGNATURE, BATCH = 32, 4, 64, 16
 #: A list of ids of up to this length is broadcast; a longer one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of a large bucket that one task joins with its centres, and the most new centres a round.
+BLOCK = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,20 +219,39 @@ def _refined(entries: DataFrame, sigs: DataFrame, small: int) -> DataFrame:
     return plain.unionByName(finer)
 
 
-def _cross_pairs(entries: DataFrame, comps: DataFrame, tested: DataFrame, small: int, round_no: int) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and were not compared yet.
+def _rooted(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    return entries.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
 
-    A bucket with at most ``small`` members gives all such pairs; in a larger one a single centre,
-    drawn by ``round_no``, meets the members of other components.
-    """
-    named = entries.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n"), F.min_by("k", F.xxhash64("k", F.lit(round_no))).alias("centre")).where("r1 <> r2")
-    x = named.join(mixed.select("bucket", "n", "centre"), "bucket")
+
+def _cross_pairs(entries: DataFrame, comps: DataFrame, small: int) -> DataFrame:
+    """Pairs that share a bucket of at most ``small`` members and lie in different components."""
+    named = _rooted(entries, comps)
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2")
+    x = named.join(mixed.where(F.col("n") <= small).select("bucket"), "bucket")
     y = x.select("bucket", F.col("k").alias("k_y"), F.col("root").alias("root_y"))
-    near = x.where(F.col("n") <= small).join(y, "bucket").where("root <> root_y and k < k_y")
-    far = x.where((F.col("n") > small) & (F.col("k") == F.col("centre"))).join(y, "bucket").where("root <> root_y")
-    met = near.unionByName(far)
-    return met.select(F.least("k", "k_y").alias("a"), F.greatest("k", "k_y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    return x.join(y, "bucket").where("root <> root_y and k < k_y").select(F.col("k").alias("a"), F.col("k_y").alias("b"))
+
+
+def _turns(entries: DataFrame, small: int) -> DataFrame:
+    """``bucket, k, n, turn``: buckets of more than ``small`` members, which are centres one after the other, each once."""
+    large = entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > small)
+    drawn = Window.partitionBy("bucket").orderBy(F.xxhash64("k", "bucket"), "k")
+    return entries.join(large, "bucket").withColumn("turn", F.row_number().over(drawn))
+
+
+def _centre_pairs(large: DataFrame, comps: DataFrame, done: int, last: int) -> DataFrame:
+    """The members of turns ``done + 1`` to ``last`` with those of later turns in other components.
+
+    Members of earlier turns have met the whole bucket. A bucket is joined in blocks of ``BLOCK`` members.
+    """
+    named = _rooted(large.where(F.col("n") > done + 1).where(F.col("turn") > done), comps)
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
+    named = named.join(mixed, "bucket", "left_semi")
+    block = lambda c: F.floor((F.col(c) - 1) / BLOCK)
+    x = named.where(F.col("turn") <= last).withColumn("block", F.explode(F.sequence(block("turn"), block("n"))))
+    y = named.select("bucket", block("turn").alias("block"), F.col("k").alias("k_y"), F.col("root").alias("root_y"), F.col("turn").alias("turn_y"))
+    met = x.join(y, ["bucket", "block"]).where("turn < turn_y and root <> root_y")
+    return met.select(F.least("k", "k_y").alias("a"), F.greatest("k", "k_y").alias("b"))
 
 
 def _both(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -269,24 +290,27 @@ def near_duplicate_rows(
         texts = base.select("id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id")
         return stage(_verified(likely, texts, width, threshold), "p1-links")
 
-    linked, tested, round_no = links(pairs), pairs, 0
+    linked, tested = links(pairs), pairs
     comps = components(linked)
     entries = stage(_refined(entries.where("n > 2").select("bucket", "k").distinct(), sigs, small), "p1-buckets")
-    # Small buckets are done after one round; only what is large even then needs more.
-    large = stage(entries.join(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > small).select("bucket"), "bucket", "left_semi"), "p1-large")
-    rest = entries
+    # Small buckets are done after one round; only what is large even then needs more. A bucket of n is
+    # done when n - 1 members were its centre, however many rounds before that bring no new pair.
+    large = stage(_turns(entries, small), "p1-large")
+    most = large.agg(F.max("n")).first()[0] or 0
+    done, last = 0, 1
     while True:
-        round_no += 1
-        fresh = stage(_cross_pairs(rest, comps, tested, small, round_no), "p1-cross")
-        if fresh.isEmpty():
-            break
-        more = links(fresh)
-        tested, rest = tested.unionByName(fresh), large
-        if not more.isEmpty():
-            linked = stage(linked.unionByName(more), "p1-all-links")
-            comps = components(linked)
-        if large.isEmpty():
+        met = _centre_pairs(large, comps, done, last)
+        met = met if done else met.unionByName(_cross_pairs(entries, comps, small))
+        fresh = stage(met.distinct().join(tested, ["a", "b"], "left_anti"), "p1-cross")
+        if not fresh.isEmpty():
+            more = links(fresh)
+            tested = tested.unionByName(fresh)
+            if not more.isEmpty():
+                linked = stage(linked.unionByName(more), "p1-all-links")
+                comps = components(linked)
+        if last >= most - 1:
             break
+        done, last = last, last + min(2 * (last - done), BLOCK)
 
     named = per_class.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     grouped = named.groupBy("root").agg(F.min("rep").alias("group_row_id"), F.sum("n").alias("members"), F.min("s1").alias("s1"), F.max("s2").alias("s2"))

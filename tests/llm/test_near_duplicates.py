@@ -67,6 +67,38 @@ def test_large_buckets_are_split_and_finished(spark):
     assert few == many
 
 
+def hot(n, seed):
+    """Variants of one text, too unlike to be linked; every tenth has a near copy."""
+    r = random.Random(seed)
+    base, rows = [f"t{i}" for i in range(100)], []
+    for i in range(n):
+        w = list(base)
+        for j in r.sample(range(100), 3):
+            w[j] = f"x{i}_{j}"
+        rows.append((2 * i, "a", " ".join(w)))
+        if i % 10 == 0:
+            w[r.randrange(100)] = f"y{i}"
+            rows.append((2 * i + 1, "b", " ".join(w)))
+    return rows
+
+
+def test_large_buckets_of_many_components_are_finished(spark):
+    """A round without a new pair doesn't end the search."""
+    rows = hot(150, 4)
+    df = spark.createDataFrame([(*x, 1) for x in rows], SCHEMA)
+    assert sorted(map(tuple, N.groups(df, width=3, threshold=0.9, small=2).collect())) == brute(rows, 3, 0.9)
+
+
+def test_every_member_of_a_large_bucket_is_a_centre(spark):
+    entries = spark.createDataFrame([(b, k) for b in (1, 2) for k in range(40)], "bucket long, k long")
+    comps = spark.createDataFrame([(39, 38)], "node long, root long")
+    large, done, last, met = N._turns(entries, 32), 0, 1, set()
+    while done < 39:
+        met |= set(map(tuple, N._centre_pairs(large, comps, done, last).collect()))
+        done, last = last, 3 * last
+    assert met == {(a, b) for a in range(40) for b in range(a + 1, 40)} - {(38, 39)}
+
+
 def test_equal_texts_and_empty_table(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], "same words in every one of these texts here", 1) for i in range(50)], SCHEMA)
     assert sorted(map(tuple, N.groups(df).collect())) == [(0, i) for i in range(1, 50)]
