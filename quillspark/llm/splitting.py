@@ -6,7 +6,8 @@ Per range only a boundary summary leaves the worker (first and last boundary, lo
 number of characters); the summaries are stitched with window functions over the ranges of a text,
 whose prefix-summed lengths give the offset of every range. The stitched table yields the level of
 the text and one forced cut per range, after which each range emits its pieces by offset, on its
-own. No worker ever holds a whole giant text. A text of at most one range needs no stitching, so it
+own. A run of white space that crosses into a range is where that range begins, so that no segment
+goes on past it. No worker ever holds a whole giant text. A text of at most one range needs no stitching, so it
 is cut in one pass without a shuffle.
 
 Files go the same way: byte ranges are read with seeks and aligned to character starts.
@@ -135,8 +136,10 @@ def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k in (1, 2, 3):
                 own = [(a - base, b - base) for a, b, level in found if level >= k]
                 inner = max((b[0] - a[1] for a, b in zip(own, own[1:])), default=0)
-                stop = next((x for x in own if x[0] >= 0), (None, None))
-                row += [own[0][0] if own else None, own[-1][1] if own else None, inner, *stop]
+                # A range begins after the first cut that ends in it. A run that fills the head may be a
+                # cut for the range before; no piece reaches across it, so it is one here at any level.
+                begin = next(((a - base, b - base) for a, b, level in found if b <= base + n and (level >= k or (base and a == 0))), (None, None))
+                row += [own[0][0] if own else None, own[-1][1] if own else None, inner, *begin]
             out.append(row)
         yield pd.DataFrame(out, columns=["id", "part", "parts", "n", *names]).astype({x: "Int64" for x in names})
 
@@ -200,6 +203,9 @@ def _segment_pieces(limit: int, overlap: int):
                     begin = ends[0]
                 if not r.tail and ends and ends[-1] == len(window):
                     stop = min(stop, starts[-1])
+                if r.level:  # the next range may see only the end of the run at which this one stops
+                    i = bisect_left(ends, stop)
+                    stop = min(stop, starts[i]) if i < len(ends) else stop
                 for i, (a, b, level) in enumerate(cut(begin, stop, r.part == 0, starts, ends, levels, limit, overlap)):
                     out.append((r.id, r.part, i, r.base + a - h, r.base + b - h, LEVELS[level], window[a:b]))
             yield pd.DataFrame(out, columns=["id", "part", "piece", "start", "stop", "boundary", "text"])
@@ -216,7 +222,7 @@ def _numbered(pieces: DataFrame) -> DataFrame:
 
 def _long_pieces(windows: DataFrame, limit: int, overlap: int) -> DataFrame:
     kind = dict(windows.dtypes)["id"]
-    joined = windows.join(_stitched(windows, limit).drop("parts", "size", "level"), ["id", "part"])
+    joined = windows.join(_stitched(windows, limit).drop("parts", "size"), ["id", "part"])
     return _numbered(stage(joined.mapInPandas(_segment_pieces(limit, overlap), PIECES.format(id=kind)), "p2-pieces"))
 
 

@@ -67,6 +67,21 @@ def test_pieces_of_ranges_and_of_whole_texts(spark):
         check(text, [(r.start, r.stop, 0) for r in got], 60, 10)
 
 
+@pytest.mark.parametrize("run", [" " * 300, "\n\n" + " " * 900, " " * 900 + "\n\n", " " * 2500, " " * 100 + "\n" * 30])
+def test_long_white_space_across_a_range_boundary(spark, run):
+    """Runs shorter and longer than the halo and than a range: no unit is left out."""
+    texts = {}
+    for i, lead in enumerate((0, 1, 380, 440, 470, 490, 499)):
+        text = (document(i, 600)[:lead].rstrip() + "x." if lead else "") + run + "after " * 9 + "\n\n" + document(i + 50, 1500)
+        texts[i] = text + run * (i % 2)
+    df = spark.createDataFrame(list(texts.items()), "row_id long, verbatim_text string")
+    got = S.pieces_of_table(df, limit=60, overlap=10, range_chars=500, halo=200).orderBy("row_id", "piece").collect()
+    for i, text in texts.items():
+        own = [r for r in got if r.row_id == i]
+        assert [r.piece for r in own] == list(range(len(own))) and all(r.text == text[r.start : r.stop] and r.text.strip() for r in own)
+        check(text, [(r.start, r.stop, 0) for r in own], 60, 10)
+
+
 def test_one_endless_word(spark):
     df = spark.createDataFrame([(1, "é" * 5000)], "row_id long, verbatim_text string")
     assert S.boundary_levels(df).first().boundary == "character"
