@@ -93,6 +93,15 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("r", rank).where("r <= 20").drop("r")
 
 
+@query("""
+    with s as (select q.vec_id as query_id, e.vec_id as id, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 100 = 0)
+    select query_id, id, round(score, 6) as score from s qualify row_number() over (partition by query_id order by score desc, id) <= 20""")
+def knn_batch_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.knn_batch(e, asked, 20, "vec_id", "embedding").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query(f"with s as ({_KNN.format(where='where e.label = 3')}) select query_id, id, score from s qualify row_number() over (partition by query_id order by score desc, id) <= 10")
 def filtered_pool_knn(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")

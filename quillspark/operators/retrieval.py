@@ -25,12 +25,17 @@ def knn(df: DataFrame, query: list[float], k: int, id_col: str, vector_col: str,
     return scored.where("score is not null and not isnan(score)").orderBy(F.desc("score"), "id").limit(k)
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """``query_id, id, score, rank`` for a small table ``query_id, query_vector`` (sent to all executors)."""
-    pairs = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(queries))
-    scored = pairs.select("query_id", "id", V.dot(F.col("v"), F.col("query_vector")).alias("score")).where("score is not null")
+def knn_batch(df: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, block: int = 1000) -> DataFrame:
+    """``query_id, id, score, rank`` for a table ``query_id, query_vector``, sent to all executors in blocks of about ``block`` rows."""
+    blocks = max(1, -(-queries.count() // block))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def best(asked: DataFrame) -> DataFrame:
+        scored = rows.join(F.broadcast(asked)).select("query_id", "id", V.dot(F.col("v"), F.col("query_vector")).alias("score"))
+        return scored.where("score is not null and not isnan(score)").withColumn("rank", rank).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [best(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)])
 
 
 def recency(score: Column, date: Column, cutoff: Column, boost: float = dims.RECENCY_BOOST, neutral: float = 0.0) -> Column:

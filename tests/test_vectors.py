@@ -33,6 +33,15 @@ def test_knn_breaks_ties_by_id_and_skips_bad_vectors(spark):
     assert [r.id for r in retrieval.knn(df, [1.0, 0.0], 5, "id", "v").collect()] == [1, 2]
 
 
+def test_knn_batch_in_blocks(spark):
+    vectors = [(i, [float(i % 7), float(i % 5)]) for i in range(30)]
+    df = spark.createDataFrame([*vectors, (30, None), (31, [float("nan"), 0.0])], "id int, v array<float>")
+    asked = df.where("id < 12").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    expected = {(q, r + 1): i for q, x in vectors[:12] for r, (_, i) in enumerate(sorted((-np.dot(x, y), i) for i, y in vectors)[:3])}
+    for block in (4, 1000):
+        assert {(r.query_id, r["rank"]): r.id for r in retrieval.knn_batch(df, asked, 3, "id", "v", block).collect()} == expected
+
+
 def test_cutoff(spark):
     assert str(spark.range(1).select(retrieval.cutoff_of(F.lit("2026-11-26").cast("date")).alias("d")).first().d) == "2023-01-02"
 
