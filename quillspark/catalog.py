@@ -452,11 +452,11 @@ def label_dates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ingest_labels(spark: SparkSession, d: str) -> DataFrame:
     """One label of every drug of ``drug_labels``, its sections made of the chunks of that label, through the whole ingest."""
-    rows = table(spark, d, "raw_chunks").where("set_id is not null and rxcui is not null and layout_type <> 'structured_fact' and verbatim_text is not null")
+    rows = table(spark, d, "raw_chunks").where("set_id is not null and layout_type <> 'structured_fact' and verbatim_text is not null")
     section = {"dosing": "dosage_and_administration", "warning": "warnings", "interaction": "drug_interactions", "indication": "indications_and_usage", "contraindication": "contraindications", "pharmacology": "description", "patient_info": "patient_counseling_information"}
     parts = [F.array_sort(F.collect_list(F.when(F.col("layout_type") == k, F.struct("row_id", "verbatim_text")))) for k in section]
     made = rows.groupBy(F.lower("set_id").alias("set_id")).agg(F.min("rxcui").alias("rxcui"), F.min("drug_name_generic").alias("drug_generic"), F.min("atc_code").alias("atc_code"), F.max("boxed_warning").alias("boxed_warning"), *[F.transform(p, lambda x: x["verbatim_text"]).alias(v) for p, v in zip(parts, section.values())])
-    labels = made.select(
+    labels = made.where("rxcui is not null").select(
         "set_id", "rxcui", "drug_generic", F.array().cast("array<string>").alias("drug_brand"), "atc_code", F.lit("2025-01-01").cast("date").alias("label_date"), F.lit("2025-01-01").cast("date").alias("published"),
         "boxed_warning", F.lit("fda_us").alias("source"), F.struct(*section.values()).alias("result"),
     )

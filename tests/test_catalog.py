@@ -48,6 +48,17 @@ def test_runs(spark, data, name):
     assert df.columns and df.count() >= 0
 
 
+def test_chunks_without_rxcui_stay_with_their_label(spark, tmp_path):
+    columns = "row_id long, set_id string, rxcui string, layout_type string, verbatim_text string, drug_name_generic string, atc_code string, boxed_warning boolean"
+    text = "Take one tablet of {0} in the morning with a full glass of water, and never more than two in a day. " * 2
+    made = []
+    for name, second in (("whole", "77"), ("part", None)):
+        own = [(1, "A", "77", "dosing", text.format("x"), "x", "C10", False), (2, "a", second, "warning", text.format("y"), "x", "C10", False), (3, "b", None, "dosing", text.format("z"), "z", "C10", False)]
+        spark.createDataFrame(own, columns).write.parquet(f"{tmp_path}/{name}/raw_chunks.parquet")
+        made.append(sorted(map(str, catalog.queries()["ingest_labels"](spark, f"{tmp_path}/{name}").collect())))
+    assert made[0] == made[1] and "tablet of y" in str(made[1]) and "tablet of z" not in str(made[1])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
