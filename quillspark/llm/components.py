@@ -13,14 +13,13 @@ from quillspark.runtime import stage
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    #: One shuffle serves the aggregation and the join.
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
+    #: No partitioning is prescribed, so that adaptive execution may split the join of a hub.
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    links = links.repartition("a")
     least = links.groupBy("a").agg(F.min("b").alias("m"))
     return links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
 
@@ -37,6 +36,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     ordered = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") > F.col("b")))
     now = stage(ordered.distinct(), "links")
     state = _state(now)
+    if not state[0]:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(max_rounds):
         now = stage(_small_star(_large_star(now)), "links")
         before, state = state, _state(now)

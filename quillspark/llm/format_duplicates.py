@@ -5,6 +5,10 @@ Every text is reduced to its words (and, for lists of fields, to the sorted mult
 partial aggregation. A further 32-bit hash of the canonical text is part of the grouping key, so that
 two texts which collide in the 128 bits still form two groups; ``collisions`` counts such cases.
 
+One word sequence may stand for several lists of fields (where the separators differ) and one list
+for several sequences, so sequences and lists that share a text are joined by components; only lists
+met under a sequence with another list take part in that.
+
 Defined results: a null, empty or word-less text belongs to no group. Equal rows are copies of each
 other; the smallest ``row_id`` is kept. Extra columns are ignored.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.components import components
 from quillspark.runtime import attach_groups, first_value, stage
 
 #: Everything that is no word: a point or comma counts as part of a number only between two digits. Only
@@ -29,11 +34,17 @@ def words_of(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), BETWEEN_WORDS, " "), " {2,}", " "))
 
 
+def field_of(segment: Column) -> Column:
+    """The words of a field's name and those of its value, kept apart."""
+    name = F.substring_index(segment, ":", 1)
+    return F.concat(words_of(name), F.lit("\u0002"), words_of(F.substring(segment, F.length(name) + 2, F.length(segment))))
+
+
 def fields_of(text: Column) -> Column:
     """The sorted fields of a text that is a list of at least three fields, joined; otherwise null."""
     segments = F.filter(F.split(text, SEGMENTS), lambda s: s.rlike(r"[\p{L}\p{N}]"))
     is_list = (F.size(segments) >= 3) & F.forall(segments, lambda s: s.rlike(FIELD))
-    canonical = F.array_join(F.array_sort(F.transform(segments, words_of)), "\u0001")
+    canonical = F.array_join(F.array_sort(F.transform(segments, field_of)), "\u0001")
     # Cheap counts first: a list of fields has at least three colons and two separators.
     colons = F.length(text) - F.length(F.translate(text, ":", ""))
     cuts = F.length(text) - F.length(F.translate(text, ";|\r\n", ""))
@@ -61,25 +72,21 @@ def collapse(df: DataFrame, id_col: str = "row_id", text_col: str = "verbatim_te
     Returns the hashed rows, the groups (``h1, h2, check`` of each word sequence with ``keep`` = the
     smallest id of its group and ``copies`` = the group's size), and the number of hashed rows.
 
-    Texts with the same word sequence are one group, and so are lists with the same fields; a word
-    sequence that also occurs as a list of fields takes the group of that list.
+    Texts with the same word sequence are one group, and so are lists with the same fields.
     """
     rows = stage(hashed(df, id_col, text_col), "p5-hashed")
-    sequences = rows.groupBy("h1", "h2", "check").agg(
-        F.min("id").alias("first"), F.count("*").alias("n"), F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.min("f3").alias("f3")
-    )
-    own = sequences.select(
-        "h1", "h2", "check", "first", "n",
-        F.coalesce("f1", "h1").alias("g1"), F.coalesce("f2", "h2").alias("g2"), F.coalesce("f3", "check").alias("g3"),
-        F.col("f1").isNotNull().alias("is_list"),
-    )
-    own = stage(own, "p5-sequences")
+    key, field = ["h1", "h2", "check"], F.concat_ws("-", "f1", "f2", "f3")
+    own = stage(rows.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max(F.col("f1").isNotNull().cast("int")).alias("is_list")), "p5-sequences")
+    lists = stage(rows.where("f1 is not null").select(*key, field.alias("f")).distinct(), "p5-lists")
+    #: Of a sequence with several lists, all are linked with the least.
+    least = lists.groupBy(*key).agg(F.min("f").alias("g"))
+    roots = components(lists.join(least, key).select(F.col("f").alias("a"), F.col("g").alias("b")).where("a <> b"))
+    rooted = own.where("is_list = 1").join(least, key).join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
+    merged = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("copies"))
     #: Only lists can share a group across word sequences, so the rest needs no second shuffle.
-    lists = own.where("is_list")
-    merged = lists.groupBy("g1", "g2", "g3").agg(F.min("first").alias("keep"), F.sum("n").alias("copies"))
     groups = (
-        own.where("not is_list").select("h1", "h2", "check", F.col("first").alias("keep"), F.col("n").alias("copies"), "n")
-        .unionByName(lists.join(merged, ["g1", "g2", "g3"]).select("h1", "h2", "check", "keep", "copies", "n"))
+        own.where("is_list = 0").select(*key, F.col("first").alias("keep"), F.col("n").alias("copies"), "n")
+        .unionByName(rooted.join(merged, "root").select(*key, "keep", "copies", "n"))
     )
     return rows, groups, first_value(own, F.coalesce(F.sum("n"), F.lit(0)))
 
@@ -98,7 +105,7 @@ def records(df: DataFrame, id_col: str = "row_id", text_col: str = "verbatim_tex
 
 
 def collisions(df: DataFrame, id_col: str = "row_id", text_col: str = "verbatim_text") -> DataFrame:
-    """``n_collisions``: 128-bit hashes that stand for more than one canonical text (told apart by the check hash)."""
+    """``n_collisions``: 128-bit hashes of word sequences that stand for more than one (told apart by the check hash)."""
     rows = hashed(df, id_col, text_col)
     return (
         rows.groupBy("h1", "h2").agg(F.min("check").alias("a"), F.max("check").alias("b"))

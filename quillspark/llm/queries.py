@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
         "p4_recall": lambda s, d: neighbours.recall(table(s, d, "index_docs")),
         "p5_found": lambda s, d: format_duplicates.copies(table(s, d, "raw_chunks")),
         "p5_records": lambda s, d: format_duplicates.records(table(s, d, "raw_chunks")),
+        "p5_collisions": lambda s, d: format_duplicates.collisions(table(s, d, "raw_chunks")),
         "p6_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
         "p6_cleaned": lambda s, d: leakage.decontaminate(table(s, d, "documents"), table(s, d, "eval_items")),
         "p7_mixture": lambda s, d: mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets"))[0],

@@ -24,6 +24,10 @@ def found(spark, texts):
         ([None, "", "  ", "...", None], []),
         ([], []),
         (["x y"] * 3, [(0, 1), (0, 2)]),
+        (["A B: 1; C: 2; D: 3", "C: 2; A: B 1; D: 3"], []),
+        (["A: B 1; C: 2; D: 3", "C: 2; A: B 1; D: 3"], [(0, 1)]),
+        (["A: 1; B: 2; C: 3; D: 4", "A: 1; B: 2 C: 3; D: 4", "D: 4; C: 3; B: 2; A: 1", "D: 4; B: 2 C: 3; A: 1"], [(0, 1), (0, 2), (0, 3)]),
+        (["D: 4; B: 2 C: 3; A: 1", "D: 4; C: 3; B: 2; A: 1"], []),
     ],
 )
 def test_cases(spark, texts, pairs):
@@ -64,8 +68,8 @@ def test_against_brute_force(spark):
     r = random.Random(3)
     texts = []
     for _ in range(400):
-        fields = [f"{r.choice(['Dose', 'Route of use', 'Form'])}: {r.choice(['2.5 mg', '25 mg', 'oral'])}" for _ in range(r.randint(1, 4))]
-        t = r.choice(["; ", " | ", "\n"]).join(fields)
+        fields = [f"{r.choice(['Dose', 'Route of use', 'Form', 'Form oral'])}: {r.choice(['2.5 mg', '25 mg', 'oral', 'oral 25 mg'])}" for _ in range(r.randint(1, 4))]
+        t = "".join(f + r.choice(["; ", " | ", "\n", ", "]) for f in fields)
         texts.append(r.choice([str.upper, str.lower, lambda x: x.replace(" ", "  "), lambda x: x + "."])(t))
     assert found(spark, texts) == brute(texts)
 
