@@ -5,9 +5,10 @@ is normalised by joins with two alias tables, and the unit is the first there is
 unit field's and (if given) the source's default; then ``amount = value * factor + offset``.
 
 The text's unit of a number is, in this order, the one next to it, the one at the end of the range
-or enumeration it starts, or one announced before (``in mg``, ``(mg)``). A number counted in forms
-(tablets, puffs) has a unit that converts to nothing. Numbers are read with decimal points or commas and
-grouped thousands; where both readings are possible, either may match the recorded value.
+or enumeration it belongs to (however long), or the last one announced before it (``in mg``, ``(mg)``). A number counted
+in forms (tablets, puffs) has a unit that converts to nothing. Numbers are read with decimal points or commas and
+grouped thousands; ``1.500`` may match 1.5 or 1500, but ``1,500`` is 1500. Values take the mentions with a unit in the
+order of the text: each the first of its number after the one before it took, or else the first of its number.
 
 Defined results: null and NaN entries, null arrays, entries too large for a bigint, and entries without a unit or with an unknown one give
 no row. Null or empty texts leave the unit field. Repeated rows give repeated results.
@@ -56,12 +57,12 @@ _AMOUNT = rf"(?:{_either([b for b, _, _ in BASES])})(?:(?:{_SPACE}*/{_SPACE}*|{_
 _END = rf"(?![\p{{L}}\p{{N}}²])(?!{_SPACE}*/|{_SPACE}+per{_SPACE}+(?:dl|l|decilit|lit))"
 _UNIT = rf"(?:{_AMOUNT}|(?:{'|'.join(FORMS)})(?:e?s)?|suppositories|pessaries){_END}"
 _NEXT = rf"(?:{_SPACE}*-?{_SPACE}*({_UNIT}))"
-_ON = rf"(?:{_SPACE}*(?:[-–—,/]|to|and|or){_SPACE}*{_NUMBER}){{1,4}}"
-#: A number; its own unit; the unit at the end of what it starts.
-MENTION = rf"(?iu){_FREE}({_NUMBER})(?={_NEXT})?(?={_ON}{_NEXT})?"
-ANNOUNCED = rf"(?isu)(?:\bin{_SPACE}+|\({_SPACE}*)({_AMOUNT}{_END})(.*)"
+_ON = rf"({_SPACE}*(?:[-–—/,]|,?{_SPACE}*(?:to|and|or)){_SPACE}*{_NUMBER})"
+#: An announced unit; or a number, its own unit, and what links it to the next number.
+MENTION = rf"(?iu)(?:\bin{_SPACE}+|\({_SPACE}*)({_AMOUNT}{_END})|{_FREE}({_NUMBER})(?={_NEXT})?(?={_ON})?"
 _POINT = r"^(\\d{1,3}([,\\u00a0\\u202f\'’]\\d{3})*(\\.\\d+)?|\\d+(\\.\\d+)?|\\.\\d+)$"
-_COMMA = r"^(\\d{1,3}([.\\u00a0\\u202f\'’]\\d{3})*(,\\d+)?|\\d+(,\\d+)?|,\\d+)$"
+#: With exactly three digits behind it, a comma groups thousands.
+_COMMA = r"(?!^[1-9]\\d{0,2},\\d{3}$)^(\\d{1,3}([.\\u00a0\\u202f\'’]\\d{3})*(,\\d+)?|\\d+(,\\d+)?|,\\d+)$"
 
 
 def alias_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -91,19 +92,28 @@ def common_units(
         F.col(id_col).alias("row_id"), F.col(values_col).alias("vals"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), source.alias("source"),
         F.when(F.size(units_col) == 1, F.get(units_col, F.lit(0))).alias("field_unit"),
     )
-    found = [F.regexp_extract_all("text", F.lit(MENTION), F.lit(k)) for k in (1, 2, 3)]
-    rows = rows.withColumns({"numbers": found[0], "own": found[1], "later": found[2], "said": F.regexp_extract("text", ANNOUNCED, 1), "rest": F.regexp_extract("text", ANNOUNCED, 2)})
-    rows = rows.withColumn("before", F.size("numbers") - F.size(F.regexp_extract_all("rest", F.lit(rf"(?iu){_FREE}({_NUMBER})"), F.lit(1))))
-    mentions = rf"""
-        transform(numbers, (n, i) -> named_struct(
+    found = [F.regexp_extract_all("text", F.lit(MENTION), F.lit(k)) for k in (1, 2, 3, 4)]
+    rows = rows.withColumns(dict(zip(("said", "numbers", "own", "link"), found)))
+    readings = rf"""
+        transform(numbers, n -> named_struct(
             'point', if(n rlike '{_POINT}', try_cast(regexp_replace(n, '[^0-9.]', '') as double), null),
-            'comma', if(n rlike '{_COMMA}', try_cast(replace(regexp_replace(n, '[^0-9,]', ''), ',', '.') as double), null),
-            'at', i,
-            'unit', coalesce(nullif(own[i], ''), nullif(later[i], '')),
-            'told', if(said <> '' and i >= before, said, null)))"""
-    each = rows.withColumn("mentions", F.expr(mentions)).selectExpr("row_id", "field_unit", "source", "mentions", "posexplode(vals) as (pos, value)").where("value is not null and not isnan(value)")
-    same = each.withColumn("same", F.expr("filter(mentions, m -> (m.unit is not null or m.told is not null) and (abs(m.point - value) <= 1e-9 * abs(value) or abs(m.comma - value) <= 1e-9 * abs(value)))"))
-    text_unit = "array_min(transform(same, m -> named_struct('later', m.unit is null, 'at', m.at, 'unit', coalesce(m.unit, m.told)))).unit"
+            'comma', if(n rlike '{_COMMA}', try_cast(replace(regexp_replace(n, '[^0-9,]', ''), ',', '.') as double), null)))"""
+    # A run of linked numbers ends with the first that has a unit, and all of it takes that; an announcement holds up to the
+    # next one. Both are cut out of one joined string, so that the work is linear in the number of mentions.
+    runs = r"split(array_join(transform(own, (u, i) -> concat(u, if(u <> '' or link[i] = '', '\u0002', '\u0001'))), ''), '\u0002')"
+    listed = rf"flatten(transform({runs}, r -> array_repeat(substring_index(r, '\u0001', -1), length(r) - length(replace(r, '\u0001', '')) + 1)))"
+    parts = r"split(array_join(transform(said, u -> if(u <> '', concat('\u0002', u, '\u0001'), '\u0001')), ''), '\u0002')"
+    told = rf"flatten(transform({parts}, r -> array_repeat(substring_index(r, '\u0001', 1), length(r) - length(replace(r, '\u0001', '')))))"
+    places = "transform(vals, v -> filter(sequence(0, size(numbers) - 1), i -> units[i] <> '' and (abs(readings[i].point - v) <= 1e-9 * abs(v) or abs(readings[i].comma - v) <= 1e-9 * abs(v))))"
+    with_units = "transform(places, p -> transform(p, i -> named_struct('at', i, 'unit', units[i])))"
+    step = "(s, c) -> named_struct('at', coalesce(get(filter(c, m -> m.at > s.at), 0).at, get(c, 0).at, s.at), 'units', array_append(s.units, coalesce(get(filter(c, m -> m.at > s.at), 0).unit, get(c, 0).unit)))"
+    rows = rows.withColumns({"readings": F.expr(readings), "listed": F.expr(listed), "told": F.expr(told)})
+    rows = rows.withColumn("units", F.expr("transform(said, (x, i) -> coalesce(nullif(listed[i], ''), told[i]))"))
+    rows = rows.withColumn("places", F.when(F.size("numbers") > 0, F.expr(places)))
+    rows = rows.withColumn("mentioned", F.expr(with_units))
+    rows = rows.withColumn("text_units", F.expr(f"aggregate(mentioned, named_struct('at', -1, 'units', cast(array() as array<string>)), {step}).units"))
+    each = rows.selectExpr("field_unit", "source", "row_id", "text_units", "posexplode(vals) as (pos, value)").where("value is not null and not isnan(value)")
+    same, text_unit = each, "get(text_units, pos)"
     default = "cast(null as string)"
     if defaults:
         same = same.join(F.broadcast(spark.createDataFrame(sorted(defaults.items()), "source string, default_unit string")), "source", "left")

@@ -26,6 +26,17 @@ def convert(spark, text, values, units=None, **options):
         ("give 1.2 million IU", [1.2], None, {0: ("unit", 1_200_000_000)}),
         ("give 100 ΜG PER SQUARE METRE", [100.0], None, {0: ("mcg/m2", 100_000)}),
         ("glucose above 76 mg/dL", [76.0], ["mg", "g"], {}),
+        ("Doses of 1, 2, 3, 4, 5 and 6 mg", [1.0, 6.0], None, {0: ("mcg", 1_000_000), 1: ("mcg", 6_000_000)}),
+        ("Doses of 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, or 12 mg", [1.0, 7.0], ["ml"], {0: ("mcg", 1_000_000), 1: ("mcg", 7_000_000)}),
+        ("Doses in mg: 5 and 6. Volumes in ml: 7 and 8.", [5.0, 6.0, 7.0, 8.0], None, {0: ("mcg", 5_000_000), 1: ("mcg", 6_000_000), 2: ("ml", 7000), 3: ("ml", 8000)}),
+        ("5 mg first, then 5 ml", [5.0, 5.0], None, {0: ("mcg", 5_000_000), 1: ("ml", 5000)}),
+        ("10 ml of water with 5 mg, then 10 mg", [5.0, 10.0], None, {0: ("mcg", 5_000_000), 1: ("mcg", 10_000_000)}),
+        ("10 mg with 5 ml", [5.0, 10.0], None, {0: ("ml", 5000), 1: ("mcg", 10_000_000)}),
+        ("Take 1,250 mg", [1.25], ["grams"], {0: ("mcg", 1_250_000_000)}),
+        ("Take 0,125 mg", [0.125], None, {0: ("mcg", 125_000)}),
+        ("Take 1.250 mg", [1.25], None, {0: ("mcg", 1_250_000)}),
+        ("1, 2 tablets and 3 mg", [1.0, 3.0], ["mg"], {1: ("mcg", 3_000_000)}),
+        ("no numbers", [1.0], ["mg"], {0: ("mcg", 1_000_000)}),
         (None, [5.0], ["cc"], {0: ("ml", 5000)}),
         ("", [5.0, None], ["MEQ"], {0: ("meq", 5000)}),
         ("5 mg", [None, float("nan")], ["mg"], {}),
@@ -52,3 +63,4 @@ def test_empty_table_and_repeated_rows(spark):
 
 def test_very_long_text(spark):
     assert convert(spark, "word " * 200_000 + "5 mg", [5.0]) == {0: ("mcg", 5_000_000)}
+    assert convert(spark, "7, " * 100_000 + "5 mg", [5.0, 7.0]) == {0: ("mcg", 5_000_000), 1: ("mcg", 7_000_000)}
