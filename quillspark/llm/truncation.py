@@ -1,22 +1,26 @@
 """Problem 8: texts that were cut off.
 
 A cut text ends in a fragment, and the fragment is a strict prefix of longer copies elsewhere: not of
-whole texts (a cut text and its source rarely both survive) but of the same sentence, list item or
-line as other texts hold it. So the last segment of every text without a proper end is joined, by
-hashes of fixed-length prefixes, with the segments of the whole corpus. Segments are compared as
-templates, in which numbers are ``#`` and words that few texts use are ``~``:
-
-1. by the first three, two or one tokens: do the longer copies end with a full stop, or openly, as
-   list items, headings, source lines and sign-offs do? An open copy of a closed segment is cut;
-2. by all tokens, the last two, or the last: do copies in open segments of the same kind end there or go on?
-3. by the last word: is it unknown and a strict prefix of a longer word, or one that always goes on?
-
-Table rows are compared with the row before, or with the usual number of cells.
-
-Defined results: null texts and texts without letters or digits are not cut. Markers of a cut (dots, an ellipsis,
-a replacement character), white space and closing mark-up after the end are ignored. Repeated texts
-are each reported. Nothing is sampled; the common words (used by at least one in a hundred texts) are
-the only corpus statistic that reaches the driver, at most a hundred times the mean number of distinct words.
+whole texts (a cut text and its source rarely both survive) but of the same sentence, list item, table
+row or line as other texts hold it. So the last segment of every text that does not end with a full
+stop is joined, by hashes of fixed-length prefixes, with the segments of the whole corpus. Segments are
+compared as templates, in which numbers are ``#`` and words that few texts use are ``~``. What decides:
+
+1. ``word``: the last word occurs nowhere else and is a strict prefix of a longer word;
+2. a text whose whole last segment is found elsewhere as a whole is not cut, unless nearly all copies go on;
+3. ``sentence``: copies of the longest prefix that enough others share end with a full stop, so an open copy is cut;
+4. ``goes on``: of the open lines that begin like the whole segment, or of the items and rows that hold its last two tokens
+   (or its last), nearly all go on there;
+5. ``word``: the last word was never met behind the one before it, but a longer one was.
+
+``copy_id`` is a text that holds the longer copy. A marker of a cut (dots, an ellipsis, a replacement
+character, a broken tag) is part of the ending: only copies that end with one too speak against a cut.
+
+Defined results: null texts and texts without letters or digits are not cut. White space and closing
+mark-up after the end are ignored. Repeated texts are each reported. Nothing is sampled and no text or
+segment is shortened; the common words (used by at least one in a hundred texts) are the only corpus
+statistic that reaches the driver, at most a hundred times the mean number of distinct words. A text
+of whose ending the corpus holds no copy at all is cut only if it has a marker.
 """
 
 from __future__ import annotations
@@ -26,23 +30,28 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from xxhash import xxh3_64_intdigest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.runtime import stage
+from quillspark.runtime import attach_groups, stage
 
-#: What may follow a cut, besides white space: closing mark-up (also broken), an ellipsis, dots, a replacement character.
-AFTER = re.compile(r"(?:</?[A-Za-z][^<>]*>|<[^<>\n]{0,20}|…|\ufffd|\.{2,}|[\[(](?:\.{2,}|…)[\])])$")
-MARKED = re.compile(r"…|\ufffd|\.\.|<[^<>\n]*$")
+#: Mark-up at the end, whole or broken.
+TAG, BROKEN = re.compile(r"</?[A-Za-z][^<>]*>"), re.compile(r"</?(?:[A-Za-z][A-Za-z0-9]*(?:\s+[\w-]+\s*=[^<>]*)?)?$")
 CLOSED = re.compile(r"[.!?][\")\]»”’'*_]*$")
 CLOSE_INSIDE = re.compile(r"[.!?][\")\]»”’']*\s+(?=\S)")
 ITEM = re.compile(r"^\s*(?:[*•‣▪◦–-]|\d+[.)])\s+")
 TOKEN = re.compile(r"\d(?:[\d.,/]*\d)?|[^\W\d_]+|[^\w\s]")
 COMMON_SHARE = 0.01
-#: Open segments of up to this many tokens are also compared word by word.
-WHOLE = 16
-#: A pair or last word must have been seen this often elsewhere to speak against an ending.
-ENOUGH = 5
+#: Prefix lengths in tokens; longer ones follow by doubling.
+LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+#: Other texts that must share a prefix or a whole line for it to decide, segments that must share the last tokens, and the
+#: share of copies up to which an ending counts as none.
+COPIES, ENOUGH, ENDS = 3, 5, 0.1
+#: A list of ids of up to this length is broadcast; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: What a key stands for.
+START, WHOLE, OPEN, PAIR, TAIL, WORD, NEXT = range(7)
 
 
 def core_of(text: str) -> tuple[str, bool]:
@@ -50,11 +59,29 @@ def core_of(text: str) -> tuple[str, bool]:
     marked = False
     while True:
         text = text.rstrip()
-        m = AFTER.search(text, max(0, len(text) - 100))
-        if not m:
+        last, at = text[-1:], None
+        if last == ">":
+            tag = text.rfind("<")
+            if tag < 0 or not TAG.match(text, tag):
+                return text, marked
+            text = text[:tag]
+            continue
+        if last == "." and text.endswith(".."):
+            at = len(text.rstrip("."))
+        elif last and last in "…\ufffd":
+            at = len(text) - 1
+        elif last and last in ")]":
+            inner = text[:-1].rstrip(".…")
+            dots = text[len(inner) : -1]
+            if inner[-1:] in ("[", "(") and ("…" in dots or len(dots) > 1):
+                at = len(inner) - 1
+        else:
+            tag = text.rfind("<")
+            if tag >= 0 and BROKEN.match(text, tag):
+                at = tag
+        if at is None:
             return text, marked
-        marked = marked or MARKED.search(m.group()) is not None
-        text = text[: m.start()]
+        text, marked = text[:at], True
 
 
 def templated(words: list[str], common: set[str]) -> list[str]:
@@ -62,121 +89,131 @@ def templated(words: list[str], common: set[str]) -> list[str]:
 
 
 def kind_of(line: str) -> str:
-    return "row" if line.lstrip().startswith("|") else "item" if ITEM.match(line) else "line"
+    return "row" if line.startswith("|") else "item" if ITEM.match(line) else "line"
 
 
-def _tokens(segment: str) -> list[str]:
-    return TOKEN.findall(segment.lower())
+def parts_of(line: str) -> tuple[str, list[str]]:
+    """The kind of a line and its segments: the sentences of a plain line, an item or row as a whole."""
+    kind = kind_of(line)
+    return kind, CLOSE_INSIDE.split(line) if kind == "line" else [ITEM.sub("", line) if kind == "item" else line]
 
 
-def _starts(tokens: list[str]) -> list[str]:
-    return [f"{min(n, 3)} " + " ".join(tokens[:n]) for n in (3, 2, 1) if len(tokens) >= n]
+def lengths(n: int) -> Iterator[int]:
+    at = LENGTHS[-1]
+    yield from (k for k in LENGTHS if k <= n)
+    while (at := at * 2) <= n:
+        yield at
 
 
-def _whole(kind: str, words: list[str]) -> str:
-    return f"{kind} " + " ".join("#" if w[0].isdigit() else w for w in words)
+def hashed(what: int, kind: str, template: list[str]) -> int:
+    h = xxh3_64_intdigest(f"{what} {kind} {' '.join(template)}")
+    return h - (1 << 64) if h >> 63 else h
 
 
-ENDINGS = "doc_id long, kind string, why string, marked boolean, word string, rare boolean, pair string, tail string, whole string, before string, s3 string, s2 string, s1 string, cells int, cells_before int"
+ENDINGS = "doc_id long, kind string, marked boolean, word string, rare boolean, before string, deepest int, keys array<struct<what: int, level: int, h: long>>"
 
 
 def _endings(common: set[str]):
-    """One row for every text that does not end in a closed segment; ``why`` where that is already decided."""
+    """One row for every text that does not end with a full stop, with the keys that its ending is looked up by."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in ENDINGS.split(", ")]
+        names = [x.split()[0] for x in ENDINGS.split(", ")[:7]] + ["keys"]
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 core, marked = core_of(text or "")
                 if not re.search(r"\w", core) or CLOSED.search(core):
                     continue
-                lines = core.split("\n")
-                line, kind = lines[-1], kind_of(lines[-1])
-                body = ITEM.sub("", line) if kind == "item" else line
-                row = dict.fromkeys(names) | {"doc_id": doc, "kind": kind}
-                row["marked"] = marked
-                if kind == "row":
-                    row["cells"] = line.count("|") if line.rstrip().endswith("|") else 0
-                    if len(lines) > 1 and lines[-2].lstrip().startswith("|"):
-                        row["cells_before"] = lines[-2].count("|")
-                elif kind == "line" and CLOSE_INSIDE.search(body):
-                    row["why"] = "open sentence"
+                kind, parts = parts_of(core[core.rfind("\n") + 1 :].strip())
+                words = TOKEN.findall(parts[-1].lower())
+                if not words:
+                    continue
+                t = templated(words, common)
+                before = f"{kind} {t[-2] if len(t) > 1 else '^'}"
+                keys = [(PAIR, 2, hashed(PAIR, before, t[-1:]))]
+                if kind == "line":
+                    keys += [(k, len(t), hashed(k, kind, t)) for k in (WHOLE, OPEN)]
+                    keys += [(START, n, hashed(START, kind, t[:n])) for n in lengths(len(t))]
                 else:
-                    words = _tokens(body)
-                    if not words:
-                        continue
-                    t = templated(words, common)
-                    row |= {"word": words[-1], "rare": t[-1] == "~", "before": f"{kind} {t[-2] if len(t) > 1 else '^'}"}
-                    row |= {"pair": f"{row['before']} {t[-1]}", "tail": f"{kind} {t[-1]}", "whole": _whole(kind, words)}
-                    if kind == "line":
-                        row |= {f"s{s[0]}": s for s in _starts(t)}
-                out.append(row)
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"cells": "Int32", "cells_before": "Int32", "rare": "boolean", "marked": "boolean"})
+                    keys.append((TAIL, 1, hashed(TAIL, kind, t[-1:])))
+                out.append((doc, kind, marked, words[-1], t[-1] == "~", before, max(lengths(len(t))), keys))
+            yield pd.DataFrame(out, columns=names)
 
     return run
 
 
-STATISTICS = "what string, key string, a long, b long"
+STATISTICS = "what int, h long, w string, a long, b long, m long, copy long"
 
 
 def _statistics(common: set[str]):
-    """Of the distinct texts, per batch, summed: ``start`` (closed, open) by first tokens; ``pair`` and ``tail`` (seen, ended) in
-    open segments by the last two tokens and the last; ``next`` and ``whole`` likewise with the actual
-    words, of two tokens and of all up to there; ``word`` (seen, ended) of rare words; ``cells`` of table rows. The last segment of a text counts only for ``start`` and, in
-    lines, for ``pair``, ``tail`` and ``whole``."""
+    """What the segments of the distinct texts say, summed per batch: how many copies went on (``a``), ended (``b``) and ended with
+    a marker (``m``), and a text in which one went on. For ``START`` (prefixes of lines) going on means up to a full
+    stop. Of segments without one, ``WHOLE`` holds whole lines, ``OPEN`` all their shorter prefixes, ``PAIR`` two tokens and ``TAIL``
+    one (of items and rows). ``WORD`` holds rare words, ``NEXT`` common words with the token before. The last segment of a text may be cut itself, so it counts for lines only,
+    which have endings that occur nowhere else (sources, sign-offs)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            a, b = Counter(), Counter()
-            for text in batch["text"]:
-                core, _ = core_of(text or "")
+            counts = Counter(), Counter(), Counter()
+            on, over, cut = counts
+            copy: dict[tuple, int] = {}
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                core, marked = core_of(text or "")
                 lines = core.split("\n")
                 for at, line in enumerate(lines):
-                    last, line = at == len(lines) - 1, line.strip()
+                    final, line = at == len(lines) - 1, line.strip()
                     if not line:
                         continue
-                    kind = kind_of(line)
-                    if kind == "row":
-                        if not last:
-                            a["cells", str(line.count("|"))] += 1
-                        body = line
-                    else:
-                        body = ITEM.sub("", line) if kind == "item" else line
-                    parts = CLOSE_INSIDE.split(body) if kind == "line" else [body]
+                    kind, parts = parts_of(line)
                     for n, part in enumerate(parts):
-                        final = last and n == len(parts) - 1
-                        closed = n < len(parts) - 1 or bool(CLOSED.search(part))
-                        words = _tokens(part)
+                        last = final and n == len(parts) - 1
+                        closed = n < len(parts) - 1 or CLOSED.search(part) is not None
+                        words = TOKEN.findall(part.lower())
                         if not words:
                             continue
                         t = templated(words, common)
+                        ended = cut if last and marked else over
                         if kind == "line":
-                            for s in _starts(t):
-                                (a if closed else b)["start", s] += 1
+                            for k in lengths(len(t)):
+                                key = START, " ".join(t[:k])
+                                if closed:
+                                    on[key] += 1
+                                    copy[key] = doc
+                                else:
+                                    ended[key] += 1
+                            if not closed:
+                                ended[WHOLE, " ".join(t)] += 1
+                                for k in range(1, len(t)):
+                                    key = OPEN, " ".join(t[:k])
+                                    on[key] += 1
+                                    copy[key] = doc
                         for i, w in enumerate(words):
-                            if t[i] == "~" and not (final and i == len(words) - 1):
-                                a["word", w] += 1
-                                if i == len(words) - 1 or not words[i + 1][0].isalnum():
-                                    b["word", w] += 1
-                        if kind != "row" and not closed and not (kind == "item" and final):
-                            for i, x in enumerate(t):
-                                before = f"{kind} {t[i - 1] if i else '^'}"
-                                a["pair", f"{before} {x}"] += 1
-                                a["tail", f"{kind} {x}"] += 1
-                                if i == len(t) - 1:
-                                    b["pair", f"{before} {x}"] += 1
-                                    b["tail", f"{kind} {x}"] += 1
-                                if i < WHOLE:
-                                    stem = _whole(kind, words[: i + 1])
-                                    a["whole", stem] += 1
-                                    if i == len(t) - 1:
-                                        b["whole", stem] += 1
-                                if x != "~" and x[0].isalpha() and not (final and i == len(t) - 1):
-                                    a["next", f"{before} {x}"] += 1
-            keys = list(a.keys() | b.keys())
-            yield pd.DataFrame({"what": [k[0] for k in keys], "key": [k[1] for k in keys], "a": [a[k] for k in keys], "b": [b[k] for k in keys]})
+                            if t[i] == "~" and not (last and i == len(words) - 1):
+                                key = WORD, w
+                                copy[key] = doc
+                                (over if i == len(words) - 1 or not words[i + 1][0].isalnum() else on)[key] += 1
+                        if closed or (last and kind != "line"):
+                            continue
+                        for i, x in enumerate(t):
+                            before = f"{kind} {t[i - 1] if i else '^'}"
+                            final_token = i == len(t) - 1
+                            for key in ((PAIR, f"{before} {x}"), (TAIL, f"{kind} {x}"))[: 1 if kind == "line" else 2]:
+                                if final_token:
+                                    ended[key] += 1
+                                else:
+                                    on[key] += 1
+                                    copy[key] = doc
+                            if x != "~" and x[0].isalpha() and not (last and final_token):
+                                key = NEXT, f"{before} {x}"
+                                on[key] += 1
+                                copy[key] = doc
+            keys = list(on.keys() | over.keys() | cut.keys())
+            signed = [h - (1 << 64) if h >> 63 else h for h in (xxh3_64_intdigest(f"{k[0]} line {k[1]}" if k[0] < PAIR else f"{k[0]} {k[1]}") for k in keys)]
+            frame = pd.DataFrame({"what": [k[0] for k in keys], "h": signed, "w": [k[1] if k[0] >= WORD else None for k in keys]})
+            for name, c in zip("abm", counts):
+                frame[name] = [c[k] for k in keys]
+            frame["copy"] = pd.array([copy.get(k) for k in keys], "Int64")
+            yield frame
 
     return run
 
@@ -188,57 +225,74 @@ def common_words(docs: DataFrame) -> set[str]:
     return {r.w for r in used.where(F.col("n") >= least).select("w").toLocalIterator()}
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """One row per text: the ids of repeated texts are found by hash, so that the texts themselves stay where they are."""
+    ids = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    first = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    repeated = stage(ids.select("doc_id").join(first.select("doc_id"), "doc_id", "left_anti"), "p8-repeated")
+    return docs.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated, "doc_id", "left_anti")
+
+
 def _strict_prefixes(key: Column) -> Column:
     return F.explode(F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda n: F.substring(key, F.lit(1), n)))
 
 
+def _longer(stats: DataFrame, stubs: DataFrame) -> DataFrame:
+    """``w, copy_id``: of the distinct ``stubs``, those that are strict prefixes of a corpus word."""
+    words = stats.where("length(w) > 1").select(_strict_prefixes(F.col("w")).alias("w"), "copy")
+    return words.join(stubs, "w", "left_semi").groupBy("w").agg(F.max("copy").alias("copy_id"))
+
+
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, why`` of every cut text."""
+    """``doc_id, why, copy_id`` of every cut text."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     common = docs.sparkSession.sparkContext.broadcast(common_words(docs)).value
     ends = stage(docs.mapInPandas(_endings(common), ENDINGS), "p8-endings")
-    stats = stage(docs.select("text", F.xxhash64("text").alias("h")).dropDuplicates(["h"]).select("text").mapInPandas(_statistics(common), STATISTICS).groupBy("what", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "p8-statistics")
-
-    def of(what: str, key: str) -> DataFrame:
-        return stats.where(F.col("what") == what).select(F.col("key").alias(key), F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))
-
-    usual = stats.where("what = 'cells'").groupBy().agg(F.max_by(F.col("key").cast("int"), "a").alias("usual"))
-    settled = ends.where("why is not null or kind = 'row'")
-    rows = settled.crossJoin(F.broadcast(usual))
-    decided = rows.withColumn("why", F.coalesce("why", F.when(F.col("cells") < F.coalesce("cells_before", "usual", F.lit(0)), "open row").when(F.col("marked"), "marker"))).select("doc_id", "why")
-
-    asked = ends.where("why is null and kind <> 'row'")
-    for key in ("s3", "s2", "s1"):
-        asked = asked.join(of("start", key), key, "left")
-    for key in ("pair", "tail", "whole", "word"):
-        asked = asked.join(of(key, key), key, "left")
-    # A text's own ending is among the open starts, and among the pairs of lines.
-    closed = F.lit(None).cast("boolean")
-    for key in ("s1", "s2", "s3"):
-        others = F.coalesce(f"{key}_a", F.lit(0)) + F.coalesce(f"{key}_b", F.lit(0)) - 1
-        closed = F.when(others > 0, F.col(f"{key}_a") > (F.col(f"{key}_b") - 1)).otherwise(closed)
+    counts = distinct_texts(docs).mapInPandas(_statistics(common), STATISTICS)
+    stats = stage(counts.groupBy("what", "h", "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("m").alias("m"), F.max("copy").alias("copy")), "p8-statistics")
+
+    keys = ends.select("doc_id", "kind", "marked", "deepest", F.explode("keys").alias("k")).select("doc_id", "kind", "marked", "deepest", "k.*")
+    asked_for = keys.groupBy("h").agg(F.count("*").alias("n"))
+    known = stats.where(F.col("what") < WORD).select("h", "a", "b", "m", "copy").join(asked_for, "h")
+    found = attach_groups(keys, known, ["h"], "n", keys.count())
+    # A line's own ending is among the counts, those of items and rows are not.
     own = F.when(F.col("kind") == "line", 1).otherwise(0)
-    asked = asked.withColumn("closed", closed)
-    for key in ("pair", "tail", "whole"):
-        asked = asked.withColumn(f"{key}_seen", F.coalesce(f"{key}_a", F.lit(0)) - own).withColumn(f"{key}_ended", F.coalesce(f"{key}_b", F.lit(0)) - own)
-    goes_on = F.when(F.col("pair_seen") >= ENOUGH, F.col("pair_ended") < 0.1 * F.col("pair_seen")).when(F.col("tail_seen") >= ENOUGH, F.col("tail_ended") < 0.1 * F.col("tail_seen")).otherwise(F.lit(False))
-
-    unknown = asked.where("rare and word_a is null").select("word").distinct()
-    words = stats.where("what = 'word'").select("key").union(docs.sparkSession.createDataFrame([(w,) for w in sorted(common)], "key string"))
-    longer = words.select(_strict_prefixes(F.col("key")).alias("word")).join(unknown, "word", "left_semi").distinct().withColumn("longer", F.lit(True))
-    stray = asked.where("pair_seen <= 0").select(F.concat_ws(" ", "before", "word").alias("stub")).distinct()
-    follow = stats.where("what = 'next'").select(_strict_prefixes(F.col("key")).alias("stub")).join(stray, "stub", "left_semi").distinct().withColumn("grows", F.lit(True))
-    asked = asked.join(longer, "word", "left").withColumn("stub", F.concat_ws(" ", "before", "word")).join(follow, "stub", "left")
-    why = (
-        F.when((F.col("whole_ended") >= 2) & (F.col("whole_ended") >= 0.3 * F.col("whole_seen")), None)
-        .when(F.col("marked"), "marker")
-        .when(F.col("longer"), "word")
-        .when((F.col("kind") == "line") & F.coalesce("closed", F.col("word_a").isNull() & F.col("rare")), "open sentence")
-        .when(goes_on, "goes on")
-        .when((F.col("pair_seen") <= 0) & F.col("grows"), "word")
-        .when(F.col("rare") & (F.col("word_a") >= 2) & (F.coalesce("word_b", F.lit(0)) == 0), "goes on")
+    found = found.withColumn("ended", F.when(F.col("marked"), F.col("m")).otherwise(F.col("b")) - own).withColumn("seen", F.col("a") + F.col("b") + F.col("m") - own)
+    of = lambda what, cond, *cols: F.max(F.when((F.col("what") == what) & cond, F.struct(*cols)))
+    yes, enough = F.lit(True), F.col("seen") >= COPIES
+    evidence = found.groupBy("doc_id").agg(
+        of(WHOLE, yes, "ended").alias("whole"), of(OPEN, yes, "a", "copy").alias("open"), of(PAIR, yes, "seen", "ended", "copy").alias("pair"), of(TAIL, yes, "seen", "ended", "copy").alias("tail"),
+        of(START, enough, "level", "a", "seen", "copy").alias("start"), of(START, F.col("seen") > 0, "level", "a", "seen", "copy").alias("rare_start"), of(START, F.col("level") == F.col("deepest"), "seen").alias("deep"),
+    )
+    asked = ends.drop("keys", "deepest").join(evidence, "doc_id", "left")
+    words = stats.where(F.col("what") == WORD).select(F.col("w").alias("word"), (F.col("a") + F.col("b")).alias("word_seen"))
+    asked = asked.join(words, "word", "left").withColumn("pair_seen", F.coalesce("pair.seen", F.lit(0)))
+    unknown = asked.where("rare and word_seen is null").select(F.col("word").alias("w")).distinct()
+    common_rows = docs.sparkSession.createDataFrame([(w, None) for w in sorted(common)], "w string, copy long")
+    longer = _longer(stats.where(F.col("what") == WORD).select("w", "copy").unionByName(common_rows), unknown).select(F.col("w").alias("word"), F.col("copy_id").alias("longer_id"), F.lit(True).alias("longer"))
+    stub = F.concat_ws(" ", "before", "word")
+    grows = _longer(stats.where(F.col("what") == NEXT), asked.where("pair_seen <= 0").select(stub.alias("w")).distinct())
+    asked = asked.join(longer, "word", "left").withColumn("stub", stub).join(grows.select(F.col("w").alias("stub"), F.col("copy_id").alias("grows_id")), "stub", "left")
+
+    start = F.coalesce("start", "rare_start")
+    is_line, nearly_none = F.col("kind") == "line", lambda x: F.col(f"{x}.ended") < ENDS * F.col(f"{x}.seen")
+    whole = is_line & (F.col("whole.ended") >= COPIES) & (F.col("whole.ended") >= ENDS * F.coalesce("deep.seen", F.lit(0)))
+    decided = lambda why, copy: F.struct(F.lit(why).alias("why"), copy.cast("long").alias("copy_id"))
+    verdict = (
+        F.when(F.col("rare") & F.col("word_seen").isNull() & F.col("longer"), decided("word", F.col("longer_id")))
+        .when(whole, None)
+        .when(is_line & (start["a"] > start["seen"] - start["a"]), decided("sentence", start["copy"]))
+        .when(is_line & (F.col("open.a") >= ENOUGH) & (F.coalesce("whole.ended", F.lit(0)) < ENDS * F.col("open.a")), decided("goes on", F.col("open.copy")))
+        .when(~is_line & enough_of("pair") & nearly_none("pair"), decided("goes on", F.col("pair.copy")))
+        .when(~enough_of("pair") & enough_of("tail") & nearly_none("tail"), decided("goes on", F.col("tail.copy")))
+        .when((F.col("pair_seen") <= 0) & F.col("grows_id").isNotNull(), decided("word", F.col("grows_id")))
+        .when(F.col("marked") & ~enough_of("pair") & ~enough_of("tail"), decided("marker", F.lit(None)))
     )
-    return decided.unionByName(asked.select("doc_id", why.alias("why"))).where("why is not null")
+    return asked.select("doc_id", verdict.alias("v")).where("v is not null").select("doc_id", "v.*")
+
+
+def enough_of(what: str) -> Column:
+    return F.coalesce(F.col(f"{what}.seen"), F.lit(0)) >= ENOUGH
 
 
 def source_name(source: Column) -> Column:

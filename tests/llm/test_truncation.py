@@ -7,7 +7,7 @@ WHOLE = ["Take the tablet with a glass of water every morning.", "The trial clos
 
 @pytest.mark.parametrize(
     ("text", "core", "marked"),
-    [("abc...", "abc", True), ("abc [...] ", "abc", True), ("abc�</div>\n", "abc", True), ("abc.", "abc.", False), ("abc <", "abc", True), ("done.</p>", "done.", False), ("a…", "a", True)],
+    [("abc...", "abc", True), ("abc [...] ", "abc", True), ("abc�</div>\n", "abc", True), ("abc.", "abc.", False), ("abc <", "abc", True), ("done.</p>", "done.", False), ("a…", "a", True), ("a" + "<b x='" + "y" * 300 + "'>", "a", False), ("a <i class='" + "y" * 300, "a", True), ("a > b", "a > b", False)],
 )
 def test_core(text, core, marked):
     assert T.core_of(text) == (core, marked)
@@ -39,6 +39,21 @@ def test_cut_texts_are_found(spark):
     assert got == {"a_b": (80 + 12, 6), None: (40, 0)}
 
 
+def test_longer_copies_are_named(spark):
+    docs = corpus() + [[i, t, "a_b", 0] for i, t in (CUT | FINE).items()]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, word int")
+    got, texts = T.judged(df).collect(), {d[0]: d[1] for d in docs}
+    assert all(texts[r.copy_id] for r in got if r.copy_id is not None) and sum(r.copy_id is not None for r in got) >= 5
+    assert "morning" in texts[next(r.copy_id for r in got if r.doc_id == 1000)]
+
+
+def test_complete_endings_of_any_kind(spark):
+    """Endings that occur nowhere but at ends of texts: known as wholes, or by prefixes that only they have."""
+    docs = [*corpus(), *[[4000 + i, f"{WHOLE[i % 3]}\n\nTown{'abcdefgh'[i]} sheet {i}, on {'abcdefgh'[i]}xx palsy", "a", 0] for i in range(8)], *[[5000 + i, WHOLE[i % 3] + "\nRev. 04/2025", "a", 0] for i in range(8)]]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, word int")
+    assert T.judged(df).collect() == []
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert T.judged(df).collect() == [] and T.rates(df).collect() == []
