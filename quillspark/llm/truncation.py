@@ -13,7 +13,7 @@ compared as templates, in which numbers are ``#`` and words that few texts use a
    (or its last), nearly all go on there;
 5. ``word``: the last word was never met behind the one before it, but a longer one was.
 
-``copy_id`` is a text that holds the longer copy. A marker of a cut (dots, an ellipsis, a replacement
+``copy_id`` is a text that holds the longer copy (null for a marker alone, and for a longer word that is common). A marker of a cut (dots, an ellipsis, a replacement
 character, a broken tag) is part of the ending: only copies that end with one too speak against a cut.
 
 Defined results: null texts and texts without letters or digits are not cut. White space and closing
