@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,13 +51,20 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.TemporaryDirectory(prefix="quillspark-"))
     return "file://" + _LOCAL[0].name
 
 
+def scratch_file(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{scratch_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -64,9 +72,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     driver ends, because lazily evaluated results may still read it until then.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    path = scratch_file(spark, name)
     df.write.parquet(path)
-    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,13 +5,12 @@ The stream's checkpoint takes the place of a log of what is done; row-local oper
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from quillspark.operators.ingest import latest_per_key
-from quillspark.runtime import scratch_dir
+from quillspark.runtime import scratch_file
 
 
 def ingest_stream(
@@ -31,6 +30,6 @@ def ingest_stream(
 
 def ingest_once(spark: SparkSession, source: str, key: str, newest_first: list[Column]) -> DataFrame:
     """The latest row per key of all files of ``source``, taken in by one stream run into scratch tables."""
-    place = f"{scratch_dir(spark)}/quillspark/stream-{uuid.uuid4().hex}"
+    place = scratch_file(spark, "stream")
     ingest_stream(spark, source, f"{place}/table", f"{place}/checkpoint")
     return latest_per_key(spark.read.parquet(f"{place}/table"), [key], newest_first)
