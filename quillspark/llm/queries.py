@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "p1_classes": lambda s, d: near_duplicates.classes(_prose(s, d), **P1),
         "p2_found": lambda s, d: splitting.boundary_levels(table(s, d, "raw_chunks")),
         "p2_pieces": lambda s, d: splitting.pieces_of_table(table(s, d, "raw_chunks")),
+        "p2_files": lambda s, d: splitting.pieces_of_files(s, splitting.files_of_table(table(s, d, "raw_chunks"))).drop("path"),
         "p4_found": lambda s, d: neighbours.neighbour_pairs(table(s, d, "index_docs")),
         "p4_recall": lambda s, d: neighbours.recall(table(s, d, "index_docs")),
         "p5_found": lambda s, d: format_duplicates.copies(table(s, d, "raw_chunks")),
