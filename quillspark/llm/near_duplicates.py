@@ -1,18 +1,20 @@
 """Problem 1: near-duplicate records, by sequential Bayesian verification of banded candidates.
 
-1. Python workers turn each text into its set of hashed word runs, a 64-bit class id of that set,
+1. Python workers turn each text into its set of hashed word runs, a 128-bit id of that set,
    MinHash bands, and a signature of one byte per further, independent hash function.
-2. Texts with equal sets form one class. A class sends its bands once per task, so a hot group of
-   copies adds no more rows to a bucket than there are tasks.
-3. In every bucket each member is paired with one centre, drawn afresh per bucket; buckets stay
-   linear in their members. After the links so found are joined into components, only members of a
-   bucket that still lie in different components are compared further: at once in small buckets;
-   large ones are first split by further hash functions, and of what is still large then each member
-   is a centre once, twice as many in every round, until nothing is left to compare.
-4. A pair's signatures are compared batch by batch. It is dropped as soon as the posterior
+2. Texts with equal sets form one class, named by its smallest row id from there on. Classes are what
+   meets in buckets, so a hot group of copies is one member.
+3. In every bucket each member is paired with one centre, drawn afresh per bucket by a minimum that
+   combines on the map side; no bucket is ever held by one task.
+4. After the links so found are joined into components, all members of a bucket that still lie in
+   different components are compared, once: buckets of up to ``small`` members by a join of the bucket
+   with itself; larger ones are first split by ``TRIPLES`` triples of signature bytes, two members at the
+   threshold meeting again with a probability above 0.9999; what is larger than ``small`` even then is
+   compared in blocks of ``BLOCK`` members, each pair of blocks one task that gives only what passes.
+5. A pair's signatures are compared batch by batch. It is dropped as soon as the posterior
    probability that its similarity reaches the threshold falls below ``miss``; survivors are
-   verified exactly on their texts.
-5. Links are joined into components without leaving the executors.
+   verified exactly on their texts. Two rounds do it, whatever the sizes of buckets.
+6. Links are joined into components without leaving the executors.
 
 Defined results: texts that are null or shorter than ``width`` words take no part. Repeated rows and
 equal texts are in one group. Set ids compare without regard to case; a null set id is no set id.
@@ -22,21 +24,26 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.runtime import attach_groups, stage
+from quillspark.runtime import attach_groups, first_value, stage
 
 WORD = re.compile(r"[^\W_]+")
-BANDS, ROWS, SIGNATURE, BATCH = 32, 4, 64, 16
+BANDS, ROWS, SIGNATURE, BATCH = 48, 4, 64, 16
+#: Triples of signature bytes that split large buckets: the bytes in order, and again in steps of 5.
+_ORDERS = (list(range(SIGNATURE)), [i * 5 % SIGNATURE for i in range(SIGNATURE)])
+TRIPLES = [o[i : i + 3] for o in _ORDERS for i in range(0, SIGNATURE - 2, 3)]
 #: A list of ids of up to this length is broadcast; a longer one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a large bucket that one task joins with its centres, and the most new centres a round.
-BLOCK = 1024
+#: Members of a bucket that one task holds on either side.
+BLOCK = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,21 +98,21 @@ class Shingler:
 
 def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(seed)
-    return r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, np.uint64)
+    return r.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, n, np.uint32)
 
 
 def minhashes(runs: np.ndarray, starts: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     """The least 32-bit hash of every text (rows) under every function (columns)."""
-    out = np.empty((len(starts) - 1, len(factors)), np.uint32)
-    with np.errstate(over="ignore"):
-        for k in range(len(factors)):
-            h = ((runs * factors[k] + shifts[k]) >> np.uint64(32)).astype(np.uint32)
-            out[:, k] = np.minimum.reduceat(h, starts[:-1])
+    out, short, h = np.empty((len(starts) - 1, len(factors)), np.uint32), (runs >> np.uint64(24)).astype(np.uint32), np.empty(len(runs), np.uint32)
+    for k in range(len(factors)):
+        np.multiply(short, factors[k], out=h)
+        np.add(h, shifts[k], out=h)
+        out[:, k] = np.minimum.reduceat(h, starts[:-1])
     return out
 
 
 def signatures(df: DataFrame, width: int, seed: int) -> DataFrame:
-    """``id, set_id, k, k2, bands, sig`` of every text that takes part; bands and sig once per class and task."""
+    """``id, set_hash (0 for none), k, k2, bands, sig`` of every text that takes part; bands and sig once per class and task."""
     factors, shifts = _functions(BANDS * ROWS + SIGNATURE, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +130,7 @@ def signatures(df: DataFrame, width: int, seed: int) -> DataFrame:
                     k2 = np.bitwise_xor.reduceat(_mix(runs * _MIX), starts[:-1])
                 k, k2 = k.view(np.int64), k2.view(np.int64)
                 new = np.zeros(len(part), bool)
-                for i, x in enumerate(k.tolist()):
+                for i, x in enumerate(zip(k.tolist(), k2.tolist())):
                     if x not in seen:
                         new[i] = True
                         seen.add(x)
@@ -139,12 +146,12 @@ def signatures(df: DataFrame, width: int, seed: int) -> DataFrame:
                         band = np.zeros((len(at), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
                         for r in range(ROWS):
                             band = _mix(band * _MIX + low[:, r : BANDS * ROWS : ROWS] + np.uint64(1))
-                    sig = (low[:, BANDS * ROWS :] & np.uint32(255)).astype(np.uint8)
+                        sig = (low[:, BANDS * ROWS :] * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
                     for i, j in enumerate(at):
                         bands[j], sigs[j] = band[i].view(np.int64), sig[i].tobytes()
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "set_id": part["set_id"].to_numpy(), "k": k, "k2": k2, "bands": bands, "sig": sigs})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "set_hash": part["set_hash"].to_numpy(), "k": k, "k2": k2, "bands": bands, "sig": sigs})
 
-    return df.mapInPandas(run, "id long, set_id string, k long, k2 long, bands array<long>, sig binary")
+    return df.mapInPandas(run, "id long, set_hash long, k long, k2 long, bands array<long>, sig binary")
 
 
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -162,20 +169,27 @@ def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     return out
 
 
+def _matrix(sigs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, SIGNATURE)
+
+
+def _alive(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """The rows at which two matrices of signatures stay probable, batch by batch."""
+    alive, same, done = np.arange(len(a)), np.zeros(len(a), int), 0
+    for n, m in bounds:
+        same = same + (a[alive, done:n] == b[alive, done:n]).sum(1)
+        keep = same >= m
+        alive, same, done = alive[keep], same[keep], n
+    return alive
+
+
 def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
     bounds = least_matches(threshold, miss)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SIGNATURE) for c in ("sa", "sb"))
-            alive, same, done = np.arange(len(batch)), np.zeros(len(batch), int), 0
-            for n, m in bounds:
-                same = same + (a[alive, done:n] == b[alive, done:n]).sum(1)
-                keep = same >= m
-                alive, same, done = alive[keep], same[keep], n
-            yield batch.iloc[alive][["a", "b"]]
+            if len(batch):
+                yield batch.iloc[_alive(_matrix(batch["sa"]), _matrix(batch["sb"]), bounds)][["a", "b"]]
 
     sa, sb = sigs.select(F.col("k").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("k").alias("b"), F.col("sig").alias("sb"))
     return pairs.join(sa, "a").join(sb, "b").mapInPandas(run, "a long, b long")
@@ -203,55 +217,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
     return pairs.join(ta, "a").join(tb, "b").mapInPandas(run, "a long, b long")
 
 
-def _refined(entries: DataFrame, sigs: DataFrame, small: int) -> DataFrame:
-    """``bucket, k``, where buckets with more than ``small`` members are split into finer ones.
+def _named(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    return entries.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+
 
-    A finer bucket holds the members that also agree in one of the ``SIGNATURE // 3`` triples of
-    signature bytes, so that two members with a similarity of 0.6 stay together in some finer bucket with
-    a probability of 0.994, and the members of a bucket never meet in all pairs.
-    """
-    counted = entries.groupBy("bucket").agg(F.count("*").alias("n"))
-    large = counted.where(F.col("n") > small).select("bucket")
-    plain = entries.select("bucket", "k").join(counted.where(F.col("n") <= small).select("bucket"), "bucket", "left_semi")
-    members = entries.select("bucket", "k").join(large, "bucket", "left_semi").join(sigs, "k")
-    triple = members.select("bucket", "k", "sig", F.explode(F.sequence(F.lit(0), F.lit(SIGNATURE // 3 - 1))).alias("t"))
-    finer = triple.select(F.xxhash64("bucket", "t", F.expr("substring(sig, 3 * t + 1, 3)")).alias("bucket"), "k")
-    return plain.unionByName(finer)
+def _mixed(named: DataFrame) -> DataFrame:
+    """``bucket, n`` of the buckets that hold several components."""
+    held = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n"))
+    return held.where("r1 <> r2").select("bucket", "n")
 
 
-def _rooted(entries: DataFrame, comps: DataFrame) -> DataFrame:
-    return entries.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+def _finer(large: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``bucket, k, root``: a finer bucket for every triple of signature bytes of the members of large buckets."""
+    members = large.join(sigs, "k")
+    keys = F.array(*[F.xxhash64(F.col("bucket"), F.lit(t), *[F.substring("sig", i + 1, 1) for i in places]) for t, places in enumerate(TRIPLES)])
+    return members.select("k", "root", F.explode(keys).alias("bucket"))
 
 
-def _cross_pairs(entries: DataFrame, comps: DataFrame, small: int) -> DataFrame:
-    """Pairs that share a bucket of at most ``small`` members and lie in different components."""
-    named = _rooted(entries, comps)
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2")
-    x = named.join(mixed.where(F.col("n") <= small).select("bucket"), "bucket")
+def _joined_pairs(named: DataFrame, sizes: DataFrame, small: int) -> DataFrame:
+    """Pairs of different components in buckets of at most ``small`` members."""
+    x = named.join(sizes.where(F.col("n") <= small).select("bucket"), "bucket")
     y = x.select("bucket", F.col("k").alias("k_y"), F.col("root").alias("root_y"))
     return x.join(y, "bucket").where("root <> root_y and k < k_y").select(F.col("k").alias("a"), F.col("k_y").alias("b"))
 
 
-def _turns(entries: DataFrame, small: int) -> DataFrame:
-    """``bucket, k, n, turn``: buckets of more than ``small`` members, which are centres one after the other, each once."""
-    large = entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > small)
-    drawn = Window.partitionBy("bucket").orderBy(F.xxhash64("k", "bucket"), "k")
-    return entries.join(large, "bucket").withColumn("turn", F.row_number().over(drawn))
-
-
-def _centre_pairs(large: DataFrame, comps: DataFrame, done: int, last: int) -> DataFrame:
-    """The members of turns ``done + 1`` to ``last`` with those of later turns in other components.
+def _block_pairs(named: DataFrame, sizes: DataFrame, sigs: DataFrame, small: int, threshold: float, miss: float, block: int) -> DataFrame:
+    """Pairs of different components in larger buckets whose signatures pass, compared block by block.
 
-    Members of earlier turns have met the whole bucket. A bucket is joined in blocks of ``BLOCK`` members.
+    Every member goes to each pair of blocks that has its own; nothing but the pairs that pass leaves a task.
     """
-    named = _rooted(large.where(F.col("n") > done + 1).where(F.col("turn") > done), comps)
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
-    named = named.join(mixed, "bucket", "left_semi")
-    block = lambda c: F.floor((F.col(c) - 1) / BLOCK)
-    x = named.where(F.col("turn") <= last).withColumn("block", F.explode(F.sequence(block("turn"), block("n"))))
-    y = named.select("bucket", block("turn").alias("block"), F.col("k").alias("k_y"), F.col("root").alias("root_y"), F.col("turn").alias("turn_y"))
-    met = x.join(y, ["bucket", "block"]).where("turn < turn_y and root <> root_y")
-    return met.select(F.least("k", "k_y").alias("a"), F.greatest("k", "k_y").alias("b"))
+    bounds = least_matches(threshold, miss)
+    large = sizes.where(F.col("n") > small).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    x = named.join(large, "bucket").join(sigs, "k").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), "blocks").cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "root", "sig")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        left, right = (group[group["own"] == n] for n in (i, j))
+        out = []
+        if len(left) and len(right):
+            (a, b), (first, least) = (_matrix(left["sig"]), _matrix(right["sig"])), bounds[0]
+            ka, kb, ra, rb = left["k"].to_numpy(), right["k"].to_numpy(), left["root"].to_numpy(), right["root"].to_numpy()
+            for lo in range(0, len(a), 64):
+                part = slice(lo, lo + 64)
+                same = np.zeros((len(a[part]), len(b)), np.uint8)
+                for c in range(first):
+                    same += a[part, c, None] == b[None, :, c]
+                apart = ra[part, None] != rb[None, :]
+                at, to = np.nonzero((same >= least) & apart & (ka[part, None] < kb[None, :] if i == j else True))
+                alive = _alive(a[part][at], b[to], bounds)
+                out.append(np.stack([ka[part][at[alive]], kb[to[alive]]], 1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
+
+    return x.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _both(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -260,77 +280,146 @@ def _both(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def near_duplicate_rows(
     df: DataFrame, id_col: str = "row_id", set_col: str = "set_id", text_col: str = "verbatim_text",
-    width: int = 5, threshold: float = 0.8, miss: float = 1e-3, small: int = 32, seed: int = 1,
+    width: int = 5, threshold: float = 0.8, miss: float = 1e-3, small: int = 32, block: int = BLOCK, seed: int = 1,
 ) -> tuple[DataFrame, DataFrame, int]:
-    """Rows with their class ``k``; classes with their group (``group_row_id, n_sets, n`` ...); the number of rows."""
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.lower(set_col).alias("set_id"), F.col(text_col).alias("text"))
+    """Rows with their class ``k, k2``; classes with their group (``group_row_id, n_sets, n`` ...); the number of rows."""
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(set_col).isNotNull(), F.xxhash64(F.lower(set_col))).otherwise(0).alias("set_hash"), F.col(text_col).alias("text"))
     rows = stage(signatures(base, width, seed), "p1-signatures")
+    known = F.when(F.col("set_hash") != 0, F.col("set_hash"))
     per_class = stage(
-        rows.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("set_id").alias("s1"), F.max("set_id").alias("s2"), F.min("k2").alias("a"), F.max("k2").alias("b")),
+        rows.groupBy("k", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min(known).alias("s1"), F.max(known).alias("s2"), F.first("bands", True).alias("bands"), F.first("sig", True).alias("sig")),
         "p1-classes",
     )
-    total, collided = per_class.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("a") != F.col("b")).cast("int")), F.lit(0))).first()
-    if collided:
-        raise RuntimeError(f"{collided} class ids stand for different texts; choose another seed")
-
-    bucket = Window.partitionBy("bucket")
-    drawn = F.xxhash64("k", "bucket")
-    entries = rows.where("bands is not null").select("k", F.explode("bands").alias("bucket"))
-    entries = entries.withColumn("centre", F.first("k").over(bucket.orderBy(drawn, "k")))
-    #: Buckets in which only one class was met are of no use; in those of two the centre meets all others.
-    entries = entries.withColumn("most", F.max("k").over(bucket)).withColumn("least", F.min("k").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("most <> least").select("bucket", "k", "centre", "n")
-    entries = stage(entries, "p1-buckets")
-    pairs = stage(entries.where("k <> centre").select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct(), "p1-pairs")
-    sigs = stage(rows.where("sig is not null").groupBy("k").agg(F.first("sig").alias("sig")).join(_both(entries, "k", "centre"), "k", "left_semi"), "p1-signatures")
-
-    def links(candidates: DataFrame) -> DataFrame:
-        likely = stage(_pruned(candidates, sigs, threshold, miss), "p1-likely")
-        ids = stage(per_class.join(_both(likely, "a", "b"), "k", "left_semi").select("k", F.col("rep").alias("id")), "p1-ids")
+    total = first_value(per_class, F.coalesce(F.sum("n"), F.lit(0)))
+    sigs = per_class.select(F.col("id").alias("k"), "sig")
+
+    entries = per_class.select(F.col("id").alias("k"), F.explode("bands").alias("bucket"))
+    # The centre is the member whose id gives the least value when mixed with the bucket, which can be undone.
+    met = entries.groupBy("bucket").agg(F.min(F.col("k").bitwiseXOR(F.col("bucket"))).alias("c"), F.count("*").alias("n")).where("n > 1")
+    entries = stage(entries.join(met, "bucket").select("bucket", "k", F.col("c").bitwiseXOR(F.col("bucket")).alias("centre"), "n"), "p1-buckets")
+    pairs = entries.where("k <> centre").select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct()
+
+    def links(likely: DataFrame) -> DataFrame:
+        ids = stage(_both(likely, "a", "b").withColumnRenamed("k", "id"), "p1-ids")
         # The ids of candidates go to the texts by broadcast only up to a checked number.
-        texts = base.select("id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id")
-        return stage(_verified(likely, texts, width, threshold), "p1-links")
+        texts = base.select("id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id").dropDuplicates(["id"])
+        return stage(_verified(likely, texts.withColumnRenamed("id", "k"), width, threshold), "p1-links")
 
-    linked, tested = links(pairs), pairs
+    tested = stage(_pruned(pairs, sigs, threshold, miss), "p1-likely")
+    linked = links(tested)
     comps = components(linked)
-    entries = stage(_refined(entries.where("n > 2").select("bucket", "k").distinct(), sigs, small), "p1-buckets")
-    # Small buckets are done after one round; only what is large even then needs more. A bucket of n is
-    # done when n - 1 members were its centre, however many rounds before that bring no new pair.
-    large = stage(_turns(entries, small), "p1-large")
-    most = large.agg(F.max("n")).first()[0] or 0
-    done, last = 0, 1
-    while True:
-        met = _centre_pairs(large, comps, done, last)
-        met = met if done else met.unionByName(_cross_pairs(entries, comps, small))
-        fresh = stage(met.distinct().join(tested, ["a", "b"], "left_anti"), "p1-cross")
-        if not fresh.isEmpty():
-            more = links(fresh)
-            tested = tested.unionByName(fresh)
-            if not more.isEmpty():
-                linked = stage(linked.unionByName(more), "p1-all-links")
-                comps = components(linked)
-        if last >= most - 1:
-            break
-        done, last = last, last + min(2 * (last - done), BLOCK)
-
-    named = per_class.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    grouped = named.groupBy("root").agg(F.min("rep").alias("group_row_id"), F.sum("n").alias("members"), F.min("s1").alias("s1"), F.max("s2").alias("s2"))
-    degree = linked.select(F.col("a").alias("k")).union(linked.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("links"))
+
+    named = _named(entries.where("n > 2").select("bucket", "k"), comps)
+    named = stage(named.join(_mixed(named), "bucket"), "p1-mixed")
+    sizes = named.select("bucket", "n").distinct()
+    finer = stage(_finer(named.where(F.col("n") > small).select("bucket", "k", "root"), sigs), "p1-finer")
+    fine_sizes = _mixed(finer)
+    close = _joined_pairs(named, sizes, small).unionByName(_joined_pairs(finer, fine_sizes, small)).distinct()
+    likely = _pruned(close, sigs, threshold, miss).unionByName(_block_pairs(finer, fine_sizes, sigs, small, threshold, miss, block)).distinct()
+    likely = stage(likely.join(tested, ["a", "b"], "left_anti"), "p1-likely")
+    if not likely.isEmpty():
+        more = links(likely)
+        if not more.isEmpty():
+            linked = stage(linked.unionByName(more), "p1-all-links")
+            comps = components(linked)
+
+    classes_ = per_class.drop("bands", "sig").withColumnRenamed("id", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    grouped = classes_.groupBy("root").agg(F.min("rep").alias("group_row_id"), F.sum("n").alias("members"), F.min("s1").alias("s1"), F.max("s2").alias("s2"))
+    degree = linked.select(F.col("a").alias("rep")).union(linked.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     groups = (
-        named.select("k", "root", "n").join(grouped, "root").join(degree, "k", "left")
-        .select("k", "n", "group_row_id", "members", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("s1") != F.col("s2"), F.lit(False)).alias("several_sets"))
+        classes_.select("k", "k2", "rep", "root", "n").join(grouped, "root").join(degree, "rep", "left")
+        .select("k", "k2", "n", "group_row_id", "members", F.coalesce("links", F.lit(0)).alias("verified_links"), F.coalesce(F.col("s1") != F.col("s2"), F.lit(False)).alias("several_sets"))
     )
-    return rows.select("id", "k"), groups, total
+    return rows.select("id", "k", "k2"), groups, total
 
 
 def groups(df: DataFrame, **options: object) -> DataFrame:
     """``group_row_id, row_id`` of all rows but the first of every group with at least two different set ids."""
     rows, by_class, total = near_duplicate_rows(df, **options)
-    found = attach_groups(rows, by_class.where("several_sets").select("k", "n", "group_row_id"), ["k"], "n", total)
+    found = attach_groups(rows, by_class.where("several_sets").select("k", "k2", "n", "group_row_id"), ["k", "k2"], "n", total)
     return found.where("id <> group_row_id").select("group_row_id", F.col("id").alias("row_id"))
 
 
 def classes(df: DataFrame, **options: object) -> DataFrame:
-    """``row_id, group_row_id, members, links``: every row that takes part, with its group and the links found for its text."""
+    """``row_id, group_row_id, members, verified_links``: every row that takes part, with its group and how many links of its text
+    were verified to find that (members of one component are not compared further)."""
     rows, by_class, total = near_duplicate_rows(df, **options)
-    found = attach_groups(rows, by_class.select("k", "n", "group_row_id", "members", "links"), ["k"], "n", total)
-    return found.select(F.col("id").alias("row_id"), "group_row_id", "members", "links")
+    found = attach_groups(rows, by_class.select("k", "k2", "n", "group_row_id", "members", "verified_links"), ["k", "k2"], "n", total)
+    return found.select(F.col("id").alias("row_id"), "group_row_id", "members", "verified_links")
+
+
+class Prefixes:
+    """An exact similarity search over a block of sets, by prefix filter.
+
+    All sets are ordered by how many sets of the block hold an element, rarest first. Two sets with a similarity of
+    ``t`` share an element among the first ``n - ceil(t n) + 1`` of each.
+    """
+
+    def __init__(self, ids: np.ndarray, runs: np.ndarray, starts: np.ndarray, t: float) -> None:
+        self.ids, self.runs, self.starts, self.t = ids, runs, starts, t
+        self.elements, counts = np.unique(runs, return_counts=True)
+        self.order = np.empty(len(counts), np.int64)
+        self.order[np.lexsort((self.elements, counts))] = np.arange(len(counts))
+        pairs = [(x, i) for i in range(len(ids)) for x in self._prefix(np.sort(self.order[np.searchsorted(self.elements, runs[starts[i] : starts[i + 1]])]), starts[i + 1] - starts[i])]
+        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.keys, first = np.unique(table[:, 0], return_index=True)
+        self.first, self.owners = np.append(first, len(table)), table[:, 1]
+
+    def _prefix(self, ranked: np.ndarray, size: int) -> np.ndarray:
+        """Of the ranks of the known elements: those in the prefix. Unknown elements are rarer than all known ones."""
+        room = int(size - np.ceil(self.t * size - 1e-9) + 1) - int(size - len(ranked))
+        return ranked[: max(0, room)]
+
+    def matches(self, own: np.ndarray) -> list[int]:
+        """The places of the sets that are similar to one given as sorted, distinct elements."""
+        at = np.searchsorted(self.elements, own)
+        at = at[(at < len(self.elements)) & (self.elements[np.minimum(at, len(self.elements) - 1)] == own)]
+        prefix = self._prefix(np.sort(self.order[at]), len(own))
+        k = np.searchsorted(self.keys, prefix)
+        k = k[(k < len(self.keys)) & (self.keys[np.minimum(k, len(self.keys) - 1)] == prefix)] if len(self.keys) else k[:0]
+        found = []
+        for i in {int(i) for x in k for i in self.owners[self.first[x] : self.first[x + 1]]}:
+            other = self.runs[self.starts[i] : self.starts[i + 1]]
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            if both >= self.t * (len(own) + len(other) - both) - 1e-9:
+                found.append(i)
+        return found
+
+
+def exact_links(df: DataFrame, id_col: str, text_col: str, width: int, threshold: float, every: int = 100, block: int = 5_000) -> DataFrame:
+    """``a, b``: every row whose id is divisible by ``every``, with each other row that is similar to it, by exact search.
+
+    The rows asked for go out in blocks of about ``block`` texts, each compared with all rows.
+    """
+    spark, base = df.sparkSession, df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    asked = base.where(F.col("id") % every == 0)
+    slices, parts = max(1, -(-asked.count() // block)), []
+    for n in range(slices):
+        got = asked.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == n).toPandas()
+        runs, starts = Shingler(width)(got["text"].tolist())
+        full = np.diff(starts) > 0
+        if not full.any():
+            continue
+        sent = spark.sparkContext.broadcast(Prefixes(got["id"].to_numpy()[full], runs, np.append(starts[:-1][full], len(runs)), threshold))
+
+        def search(batches: Iterator[pd.DataFrame], sent: Broadcast = sent) -> Iterator[pd.DataFrame]:
+            index, shingle = sent.value, Shingler(width)
+            for batch in batches:
+                for lo in range(0, len(batch), 2000):
+                    part = batch.iloc[lo : lo + 2000]
+                    runs, starts = shingle(part["text"].tolist())
+                    out = [(int(index.ids[i]), int(b)) for k, b in enumerate(part["id"]) if starts[k + 1] > starts[k] for i in index.matches(runs[starts[k] : starts[k + 1]]) if index.ids[i] != b]
+                    yield pd.DataFrame(out, columns=["a", "b"])
+
+        parts.append(base.mapInPandas(search, "a long, b long"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "a long, b long")
+
+
+def recall(df: DataFrame, id_col: str = "row_id", text_col: str = "verbatim_text", width: int = 5, threshold: float = 0.8, every: int = 100, **options: object) -> DataFrame:
+    """``asked, found, recall``: the links of every hundredth row by exact search, and how many lie within one group."""
+    group = classes(df, id_col=id_col, text_col=text_col, width=width, threshold=threshold, **options).select("row_id", "group_row_id")
+    group = stage(group, "p1-groups")
+    true = stage(exact_links(df, id_col, text_col, width, threshold, every), "p1-exact")
+    side = lambda c: group.select(F.col("row_id").alias(c), F.col("group_row_id").alias(f"{c}_group"))
+    both = true.join(side("a"), "a").join(side("b"), "b")
+    return both.agg(F.count("*").alias("asked"), F.count_if(F.col("a_group") == F.col("b_group")).alias("found")).withColumn("recall", F.coalesce(F.round(F.try_divide("found", "asked"), 6), F.lit(1.0)))

@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: near_duplicates.groups(_prose(s, d), **P1),
         "p1_classes": lambda s, d: near_duplicates.classes(_prose(s, d), **P1),
+        "p1_recall": lambda s, d: near_duplicates.recall(_prose(s, d), **P1),
         "p2_found": lambda s, d: splitting.boundary_levels(table(s, d, "raw_chunks")),
         "p2_pieces": lambda s, d: splitting.pieces_of_table(table(s, d, "raw_chunks")),
         "p2_files": lambda s, d: splitting.pieces_of_files(s, splitting.files_of_table(table(s, d, "raw_chunks"))).drop("path"),

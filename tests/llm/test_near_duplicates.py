@@ -60,10 +60,10 @@ def test_against_brute_force(spark):
 
 
 def test_large_buckets_are_split_and_finished(spark):
-    """With a tiny bucket limit the same links are found, in more rounds."""
+    """With a tiny bucket limit and tiny blocks the same links are found."""
     rows = corpus(150, 2)
     df = spark.createDataFrame([(*x, 1) for x in rows], SCHEMA)
-    few, many = (sorted(map(tuple, N.groups(df, width=3, threshold=0.6, small=s).collect())) for s in (3, 64))
+    few, many = (sorted(map(tuple, N.groups(df, width=3, threshold=0.6, small=s, block=4).collect())) for s in (2, 64))
     assert few == many
 
 
@@ -83,20 +83,42 @@ def hot(n, seed):
 
 
 def test_large_buckets_of_many_components_are_finished(spark):
-    """A round without a new pair doesn't end the search."""
     rows = hot(150, 4)
     df = spark.createDataFrame([(*x, 1) for x in rows], SCHEMA)
-    assert sorted(map(tuple, N.groups(df, width=3, threshold=0.9, small=2).collect())) == brute(rows, 3, 0.9)
+    assert sorted(map(tuple, N.groups(df, width=3, threshold=0.9, small=2, block=64).collect())) == brute(rows, 3, 0.9)
 
 
-def test_every_member_of_a_large_bucket_is_a_centre(spark):
-    entries = spark.createDataFrame([(b, k) for b in (1, 2) for k in range(40)], "bucket long, k long")
-    comps = spark.createDataFrame([(39, 38)], "node long, root long")
-    large, done, last, met = N._turns(entries, 32), 0, 1, set()
-    while done < 39:
-        met |= set(map(tuple, N._centre_pairs(large, comps, done, last).collect()))
-        done, last = last, 3 * last
-    assert met == {(a, b) for a in range(40) for b in range(a + 1, 40)} - {(38, 39)}
+def test_blocks_compare_every_pair_of_different_components(spark):
+    """Equal signatures in one bucket: all pairs but those of one component, whatever the size of blocks."""
+    named = spark.createDataFrame([(1, k, 38 if k == 39 else k) for k in range(40)], "bucket long, k long, root long")
+    sigs = spark.createDataFrame([(k, bytes(range(64))) for k in range(40)], "k long, sig binary")
+    for block in (1, 7, 4096):
+        got = N._block_pairs(named, named.groupBy("bucket").count().withColumnRenamed("count", "n"), sigs, 32, 0.6, 1e-3, block).collect()
+        assert len(got) == len(set(got)) and set(map(tuple, got)) == {(a, b) for a in range(40) for b in range(a + 1, 40)} - {(38, 39)}
+
+
+def test_triples_split_few_pairs():
+    """The loss from splitting a large bucket is far below the miss probability of the verification."""
+    assert len(N.TRIPLES) == 42 and all(len(set(t)) == 3 for t in N.TRIPLES)
+    assert (1 - 0.6**3) ** len(N.TRIPLES) < 1e-4
+
+
+def test_recall_and_exact_links(spark):
+    rows = [(10 * i, s, t) for i, s, t in corpus(300, 7)] + [(5, "a", None), (7, "b", "")]
+    df = spark.createDataFrame([(*x, 1) for x in rows], SCHEMA)
+    sets = {i: x for i, _, t in rows if (x := shingles(t, 3))}
+    true = {(a, b) for a in sets for b in sets if a % 20 == 0 and a != b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    for block in (7, 5000):
+        assert set(map(tuple, N.exact_links(df, "row_id", "verbatim_text", 3, 0.6, every=20, block=block).collect())) == true
+    r = N.recall(df, width=3, threshold=0.6, every=20).first()
+    assert r.asked == len(true) and r.found >= 0.99 * r.asked
+    assert N.recall(df.limit(0)).first().recall == 1.0
+
+
+def test_a_hub_keeps_all_its_links(spark):
+    links = spark.range(1, 20_000).selectExpr("0L as a", "id as b").unionByName(spark.range(20_000, 20_010).selectExpr("id as a", "id - 19990 as b"))
+    got = C.components(links)
+    assert got.count() == 20_009 and got.where("root <> 0").count() == 0
 
 
 def test_equal_texts_and_empty_table(spark):
