@@ -43,6 +43,24 @@ def test_longest_run_and_removal(spark):
     assert "P3" not in got[1].text and got[1].text.startswith("Before, ") and "After it" in got[1].text and got[1].removed_words == 15
 
 
+def test_removal_with_several_automata(spark):
+    """Spans of several blocks of items are cut out together, as with one block."""
+    a, b = (" ".join(f"{x}{i}" for i in range(14)) for x in "pq")
+    docs = [(1, f"one {a} two {b} three " + "y " * 60, 0), (2, f"{b} " + "z " * 40, 0), (3, "nothing here", 0), (1, f"one {a} two {b} three " + "y " * 60, 0)]
+    d, e = tables(spark, docs[:3], [(7, a, "e"), (8, b, "e")])
+    one, two = (sorted(map(tuple, L.decontaminate(d, e, block_words=n).collect())) for n in (10_000, 14))
+    assert one == two and [x[2] for x in one] == [28, 14] and one[0][1].split()[:3] == ["one", "two", "three"]
+
+
+def test_size_of_an_automaton():
+    """Flat arrays: a bounded number of bytes for every word of the items."""
+    r = random.Random(2)
+    items = [(i, [f"w{r.randrange(3000)}" for _ in range(200)]) for i in range(100)]
+    a = L.SuffixAutomaton(items, 13)
+    held = sum(x.itemsize * len(x) for x in (a.first, a.symbols, a.targets, a.link, a.length, a.suffix))
+    assert held <= 56 * 20_000
+
+
 def test_empty_tables(spark):
     d, e = tables(spark, [], [])
     assert L.leaks(d, e).collect() == [] and L.decontaminate(d, e).collect() == []
