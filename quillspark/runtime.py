@@ -74,20 +74,40 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_file(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(staged: DataFrame) -> None:
+    """Remove a table written by ``stage`` that nothing reads any more."""
+    _delete(staged.sparkSession, staged._staged_at)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _STAGED:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch space
             break
 
 
+def hot_values(df: DataFrame, column: str, share: float = HOT_SHARE) -> list:
+    """The values of a column that hold more than ``share`` of all rows (at most ``1 / share``), by a mergeable sketch in one pass.
+
+    The sketch's error is a fraction of ``share``, so a value just below it may be among them.
+    """
+    most = int(1 / share)
+    row = df.select(F.count("*").alias("n"), F.expr(f"approx_top_k({column}, {most}, {20 * most})").alias("top")).first()
+    return [x["item"] for x in row.top or [] if x["count"] > share * row.n and x["item"] is not None]
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one-row-per-group ``groups`` that does not suffer from hot groups.
 

@@ -41,3 +41,13 @@ def test_setting(monkeypatch):
     assert setting("quill_x") == "up"
     monkeypatch.setenv("quill_x", "low")
     assert setting("quill_x") == "low" and setting("quill_y", "d") == "d"
+
+
+def test_hot_values_and_release(spark):
+    from quillspark import runtime
+
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, -1, id) as k", "cast(null as string) as s")
+    assert runtime.hot_values(df, "k") == [-1] and runtime.hot_values(df, "s") == [] and runtime.hot_values(df.limit(0), "k") == []
+    staged = runtime.stage(df, "x")
+    runtime.release(staged)
+    assert not spark.sparkContext._jvm.java.io.File(staged._staged_at.removeprefix("file://")).exists()
