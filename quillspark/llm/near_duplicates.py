@@ -4,8 +4,8 @@
    MinHash bands, and a signature of one byte per further, independent hash function.
 2. Texts with equal sets form one class, named by its smallest row id from there on. Classes are what
    meets in buckets, so a hot group of copies is one member.
-3. In every bucket each member is paired with one centre, drawn afresh per bucket by a minimum that
-   combines on the map side; no bucket is ever held by one task.
+3. In every bucket each member is paired with one centre, drawn afresh per bucket. Hot buckets are found
+   by a sketch and salted, so none is ever held by one task.
 4. After the links so found are joined into components, all members of a bucket that still lie in
    different components are compared, once: buckets of up to ``small`` members by a join of the bucket
    with itself; larger ones are first split by ``TRIPLES`` triples of signature bytes, two members at the
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.runtime import attach_groups, first_value, stage
+from quillspark.runtime import attach_groups, first_value, hot_values, release, stage
 
 WORD = re.compile(r"[^\W_]+")
 BANDS, ROWS, SIGNATURE, BATCH = 48, 4, 64, 16
@@ -42,8 +42,8 @@ _ORDERS = (list(range(SIGNATURE)), [i * 5 % SIGNATURE for i in range(SIGNATURE)]
 TRIPLES = [o[i : i + 3] for o in _ORDERS for i in range(0, SIGNATURE - 2, 3)]
 #: A list of ids of up to this length is broadcast; a longer one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket that one task holds on either side.
-BLOCK = 4096
+#: Members of a bucket that one task holds on either side, and the parts of a hot bucket.
+BLOCK, SALTS = 4096, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,6 +217,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
     return pairs.join(ta, "a").join(tb, "b").mapInPandas(run, "a long, b long")
 
 
+def _met(entries: DataFrame) -> DataFrame:
+    """``bucket, k, centre, n`` of the buckets with several members.
+
+    The centre is the member whose id gives the least value when mixed with the bucket, which can be undone.
+    Members are shuffled once, those of hot buckets by a salt too; such buckets take the least over their salts.
+    """
+    hot = hot_values(entries, "bucket")
+    is_hot = F.col("bucket").isin(hot) if hot else F.lit(False)
+    spread = entries.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0)).repartition("bucket", "salt")
+    least = spread.groupBy("bucket", "salt").agg(F.min(F.col("k").bitwiseXOR(F.col("bucket"))).alias("c"), F.count("*").alias("n"))
+    met = spread.join(least, ["bucket", "salt"])
+    if hot:
+        whole = least.where(is_hot).groupBy("bucket").agg(F.min("c").alias("c_all"), F.sum("n").alias("n_all"))
+        met = met.join(F.broadcast(whole), "bucket", "left").withColumns({"c": F.coalesce("c_all", "c"), "n": F.coalesce("n_all", "n")})
+    return met.where("n > 1").select("bucket", "k", F.col("c").bitwiseXOR(F.col("bucket")).alias("centre"), "n")
+
+
 def _named(entries: DataFrame, comps: DataFrame) -> DataFrame:
     return entries.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
 
@@ -284,19 +301,18 @@ def near_duplicate_rows(
 ) -> tuple[DataFrame, DataFrame, int]:
     """Rows with their class ``k, k2``; classes with their group (``group_row_id, n_sets, n`` ...); the number of rows."""
     base = df.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(set_col).isNotNull(), F.xxhash64(F.lower(set_col))).otherwise(0).alias("set_hash"), F.col(text_col).alias("text"))
-    rows = stage(signatures(base, width, seed), "p1-signatures")
+    signed = stage(signatures(base, width, seed), "p1-signatures")
     known = F.when(F.col("set_hash") != 0, F.col("set_hash"))
     per_class = stage(
-        rows.groupBy("k", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min(known).alias("s1"), F.max(known).alias("s2"), F.first("bands", True).alias("bands"), F.first("sig", True).alias("sig")),
+        signed.groupBy("k", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min(known).alias("s1"), F.max(known).alias("s2"), F.first("bands", True).alias("bands"), F.first("sig", True).alias("sig")),
         "p1-classes",
     )
+    rows = stage(signed.select("id", "k", "k2"), "p1-rows")
+    release(signed)
     total = first_value(per_class, F.coalesce(F.sum("n"), F.lit(0)))
     sigs = per_class.select(F.col("id").alias("k"), "sig")
 
-    entries = per_class.select(F.col("id").alias("k"), F.explode("bands").alias("bucket"))
-    # The centre is the member whose id gives the least value when mixed with the bucket, which can be undone.
-    met = entries.groupBy("bucket").agg(F.min(F.col("k").bitwiseXOR(F.col("bucket"))).alias("c"), F.count("*").alias("n")).where("n > 1")
-    entries = stage(entries.join(met, "bucket").select("bucket", "k", F.col("c").bitwiseXOR(F.col("bucket")).alias("centre"), "n"), "p1-buckets")
+    entries = stage(_met(per_class.select(F.col("id").alias("k"), F.explode("bands").alias("bucket"))), "p1-buckets")
     pairs = entries.where("k <> centre").select(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).distinct()
 
     def links(likely: DataFrame) -> DataFrame:

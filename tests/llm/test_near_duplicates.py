@@ -137,3 +137,11 @@ def test_components(spark):
     got = {r.node: r.root for r in C.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {200: 100, 301: 300, 302: 300}
     assert C.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_hot_buckets_have_one_centre(spark):
+    """A bucket with a third of all entries is salted and still has one centre and one size."""
+    entries = spark.range(9_000).selectExpr("id as k", "if(id % 3 = 0, 5L, xxhash64(id div 6)) as bucket")
+    got = N._met(entries)
+    assert got.where("bucket = 5").count() == 3000 and [tuple(r) for r in got.where("bucket = 5").groupBy("centre", "n").count().select("n", "count").collect()] == [(3000, 3000)]
+    assert got.where("bucket <> 5").groupBy("bucket").agg({"n": "max", "k": "count", "centre": "min"}).where("`max(n)` <> `count(k)`").count() == 0
