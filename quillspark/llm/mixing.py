@@ -20,6 +20,7 @@ Records fetched twice under two ids are two records. An empty table gives no row
 from __future__ import annotations
 
 import base64
+import math
 import os
 from collections.abc import Iterator
 from heapq import heapify, heapreplace
@@ -40,11 +41,13 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, source_col: str, voc
     """``doc_id, source, tokens`` of the records with text and a source."""
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), source_name(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
 
+    with open(vocabulary, "rb") as f:  # on the driver only; the workers get it by broadcast
+        sent = df.sparkSession.sparkContext.broadcast(f.read())
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         encode = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": [len(encode(t)) for t in batch["text"]]})
@@ -83,7 +86,7 @@ def sainte_lague(weights: list[float], capacity: list[int], seats: int) -> list[
 
 def mixed(
     docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    vocabulary: str = VOCABULARY, block_tokens: int | None = None, shard_tokens: int = 20_000_000, max_shards: int = 4096, seed: int = 1,
+    vocabulary: str = VOCABULARY, block_tokens: int | None = None, shard_tokens: int = 20_000_000, seed: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (``doc_id, source, tokens, times``) and its report (``source, target_share, reached_share, ...``).
 
@@ -102,28 +105,36 @@ def mixed(
         total_tokens = int(min((usable[s] / share[s] for s in real), default=0) * sum(share[s] for s in real))
     if block_tokens is None:
         block_tokens = max(1024, int(total_tokens * min((share[s] for s in real), default=0) / 1000))
-    shards = min(max_shards, max(1, round(max((t for t, _ in have.values()), default=0) / shard_tokens)))
+    shards = max(1, round(max((t for t, _ in have.values()), default=0) / shard_tokens))
+    clusters = math.ceil(shards**0.5)
 
     in_shard = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     packed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)).cast("int"))
     packed = packed.withColumn("block", F.floor((F.sum("tokens").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")) / F.lit(block_tokens)))
     packed = stage(packed, "p7-packed")
     blocks = packed.groupBy("source", "shard", "block").agg(F.sum("tokens").alias("n"))
-    per_shard: dict[str, list[tuple[int, int, int]]] = {s: [] for s, _, _ in wanted}
-    for r in blocks.groupBy("source", "shard").agg(F.count("*").alias("blocks"), F.sum("n").alias("n")).orderBy("source", "shard").toLocalIterator():
-        per_shard[r.source].append((r.shard, r.blocks, r.n))
+    per_shard = stage(blocks.groupBy("source", "shard").agg(F.count("*").alias("blocks"), F.sum("n").alias("n")).withColumn("cluster", F.col("shard") % clusters), "p7-shards")
+    per_cluster: dict[str, list[tuple[int, int, int]]] = {s: [] for s, _, _ in wanted}
+    for r in per_shard.groupBy("source", "cluster").agg(F.sum("blocks").alias("blocks"), F.sum("n").alias("n")).orderBy("source", "cluster").toLocalIterator():
+        per_cluster[r.source].append((r.cluster, r.blocks, r.n))
 
     # Blocks hold block_tokens on average only; a source's seats are weighed by what its blocks really hold.
     names = [s for s, _, _ in wanted]
-    mean = {s: sum(x[2] for x in per_shard[s]) / max(1, sum(x[1] for x in per_shard[s])) for s in names}
+    mean = {s: sum(x[2] for x in per_cluster[s]) / max(1, sum(x[1] for x in per_cluster[s])) for s in names}
     seats = sum(round(total_tokens * share[s] / sum(share[x] for x in real) / mean[s]) for s in real)
-    quota = dict(zip(names, sainte_lague([share[s] / mean[s] if mean[s] else 0.0 for s in names], [m * sum(x[1] for x in per_shard[s]) for s, _, m in wanted], seats)))
+    quota = dict(zip(names, sainte_lague([share[s] / mean[s] if mean[s] else 0.0 for s in names], [m * sum(x[1] for x in per_cluster[s]) for s, _, m in wanted], seats)))
     rows = []
     for s, _, m in wanted:
-        parts = per_shard[s]
-        for (shard, n, _), q in zip(parts, sainte_lague([float(x[2]) for x in parts], [m * x[1] for x in parts], quota[s])):
-            rows.append((s, shard, q // n, q % n))
-    plan = F.broadcast(spark.createDataFrame(rows, "source string, shard int, rounds int, more int"))
+        parts = per_cluster[s]
+        rows += [(s, cluster, q, m) for (cluster, _, _), q in zip(parts, sainte_lague([float(x[2]) for x in parts], [m * x[1] for x in parts], quota[s]))]
+
+    def to_shards(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("shard")
+        got = sainte_lague(group["n"].astype(float).tolist(), (group["m"] * group["blocks"]).tolist(), int(group["seats"].iloc[0]))
+        return pd.DataFrame({"source": group["source"], "shard": group["shard"], "rounds": [q // n for q, n in zip(got, group["blocks"])], "more": [q % n for q, n in zip(got, group["blocks"])]})
+
+    seated = per_shard.join(F.broadcast(spark.createDataFrame(rows, "source string, cluster int, seats long, m long")), ["source", "cluster"])
+    plan = seated.groupBy("source", "cluster").applyInPandas(to_shards, "source string, shard int, rounds long, more long")
     drawn = F.row_number().over(Window.partitionBy("source", "shard").orderBy(F.xxhash64("block", F.lit(seed + 2)), "block"))
     chosen = blocks.join(plan, ["source", "shard"]).withColumn("times", F.col("rounds") + (drawn <= F.col("more")).cast("int")).where("times > 0")
     mixture = packed.join(chosen.select("source", "shard", "block", "times"), ["source", "shard", "block"]).select("doc_id", "source", "tokens", "times")
