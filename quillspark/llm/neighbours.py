@@ -5,6 +5,11 @@ capacity-bound moves that keep neighbours together). A small softmax classifier
 vector's partition; it routes every vector of the collection to its ``probes`` most probable
 partitions, in which all members are ranked by exact cosine. Vectors travel as 16-bit integers.
 
+Where the sample can't carry enough partitions for ``part_rows`` vectors each, a second router, fitted on the
+differences of the sample from the means of their partitions, splits every partition into the same number of
+parts; a vector goes to the most probable pairs of partition and part. So it is sent to ``probes`` places (twice
+as many with two levels), however many vectors there are.
+
 A partition larger than ``capacity`` is split into blocks, and each pair of blocks is one bounded
 task, so no partition, however hot, is held by one task, and none of its members is left out.
 
@@ -136,20 +141,53 @@ class Router:
                     v += 0.01 * (g * g - v)
                     w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Log probabilities of the partitions."""
+        s = ((x - self.mean) @ self.basis) * self.scale @ self.weights + self.bias
+        s -= s.max(1, keepdims=True)
+        return s - np.log(np.exp(s).sum(1, keepdims=True))
+
     def route(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` most probable partitions of each vector, best first."""
-        s = ((x - self.mean) @ self.basis) * self.scale @ self.weights + self.bias
-        return np.argsort(-s, axis=1, kind="stable")[:, :probes]
+        return np.argsort(-self.scores(x), axis=1, kind="stable")[:, :probes]
+
+
+class TwoLevels:
+    """A router to partitions, and one within them that all partitions share."""
+
+    def __init__(self, sample: np.ndarray, parts: int, inner: int, seed: int = 1) -> None:
+        self.outer, self.parts, self.inner = Router(sample, parts, seed=seed), parts * inner, None
+        if inner > 1:
+            at = self.outer.route(sample, 1)[:, 0]
+            sums = np.zeros((parts, sample.shape[1]), np.float64)
+            np.add.at(sums, at, sample)
+            self.means = (sums / np.maximum(np.bincount(at, minlength=parts), 1)[:, None]).astype(np.float32)
+            self.inner = Router(self._rest(sample, at), inner, seed=seed + 1)
+
+    def _rest(self, x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        y = x - self.means[part]
+        return y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-9)
+
+    def route(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` most probable pairs of a partition (of the ``probes`` best) and a part of it, best first."""
+        if self.inner is None:
+            return self.outer.route(x, probes)
+        s, n = self.outer.scores(x), self.inner.parts
+        best = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+        both = [np.take_along_axis(s, best[:, k : k + 1], 1) + self.inner.scores(self._rest(x, best[:, k])) for k in range(best.shape[1])]
+        flat = np.concatenate(both, 1)
+        top = np.argsort(-flat, axis=1, kind="stable")[:, :probes]
+        return np.take_along_axis(best, top // n, 1) * n + top % n
 
 
 def _vectors(df: DataFrame, id_col: str, field: str, dim: int) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(field).cast("array<float>").alias("v")).where(F.size("v") == dim)
 
 
-def _fit(vectors: DataFrame, dim: int, count: int, parts: int, sample: int, seed: int) -> Router:
+def _fit(vectors: DataFrame, dim: int, count: int, parts: int, inner: int, sample: int, seed: int) -> TwoLevels:
     taken = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, count))) < sample)
     batches = [unit_vectors(b, dim)[1] for b in taken.toArrow().to_batches()]
-    return Router(np.concatenate(batches) if batches else np.zeros((0, dim), np.float32), parts, seed=seed)
+    return TwoLevels(np.concatenate(batches) if batches else np.zeros((0, dim), np.float32), parts, inner, seed)
 
 
 def top_neighbours(
@@ -158,21 +196,22 @@ def top_neighbours(
     """``id, neighbour, similarity`` of (about) the ``k`` most similar others of every usable vector of ``df``."""
     spark, vectors = df.sparkSession, _vectors(df, id_col, field, dim)
     count = vectors.select("id").count()
-    parts = 1 << max(0, math.ceil(math.log2(max(1, count) / part_rows)))
-    # The classifier needs some sampled vectors of every partition.
-    sample = min(most_sample, max(sample, 16 * parts))
-    parts = min(parts, max(1, 1 << int(math.log2(max(1, min(sample, count) // 8)))))
-    router = spark.sparkContext.broadcast(_fit(vectors, dim, count, parts, sample, seed) if count else None)
-    probes = min(probes, parts)
+    wanted = 1 << max(0, math.ceil(math.log2(max(1, count) / part_rows)))
+    # The classifier needs some sampled vectors of every partition; beyond that, a second level splits them.
+    sample = min(most_sample, max(sample, 16 * wanted))
+    outer = min(wanted, max(1, 1 << int(math.log2(max(1, min(sample, count) // 8)))))
+    inner = min(outer, wanted // outer)
+    parts = outer * inner
+    router = spark.sparkContext.broadcast(_fit(vectors, dim, count, outer, inner, sample, seed) if count else None)
+    probes = min(probes * (2 if inner > 1 else 1), parts)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(parts, np.int64)
         for batch in batches:
-            n += np.bincount(router.value.route(unit_vectors(batch, dim)[1], probes).ravel(), minlength=parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0], pa.int64())], ["part", "n"])
+            part, n = np.unique(router.value.route(unit_vectors(batch, dim)[1], probes), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.int64())], ["part", "n"])
 
-    held = {r.part: r.n for r in vectors.mapInArrow(sizes, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    blocks = {p: math.ceil(n / capacity) for p, n in held.items() if n > capacity}
+    held = vectors.mapInArrow(sizes, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > capacity)
+    blocks = {r.part: math.ceil(r.n / capacity) for r in held.toLocalIterator()}
     schema = "part int, i int, j int, role int, id long, q binary"
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

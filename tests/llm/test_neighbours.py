@@ -36,6 +36,20 @@ def test_recall_with_partitions_and_blocks(spark):
         assert all(len(g) == 5 for g in got.values())
 
 
+def test_two_levels_keep_copies_and_recall(spark):
+    """A sample too small for enough partitions: the second level keeps them small, every vector goes to four places."""
+    x = clustered(3000, 32, 5)
+    y = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    router = N.TwoLevels(y[:600], 8, 8)
+    to = router.route(y, 4)
+    assert to.shape == (3000, 4) and all(len(set(r)) == 4 for r in to.tolist()) and to.max() < 64
+    assert np.bincount(to[:, 0], minlength=64).max() < 3000 / 8
+    df, truth, got = table(spark, x.tolist()), exact(x), {}
+    for r in N.top_neighbours(df, "v", 32, part_rows=150, sample=100, most_sample=100).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    assert np.mean([len(got.get(i, set()) & truth[i]) / 5 for i in truth]) >= 0.9
+
+
 def test_exact_and_recall_agree(spark):
     x = clustered(400, 16, 2)
     df, truth = table(spark, x.tolist()), exact(x)
