@@ -223,15 +223,18 @@ def _met(entries: DataFrame) -> DataFrame:
     The centre is the member whose id gives the least value when mixed with the bucket, which can be undone.
     Members are shuffled once, those of hot buckets by a salt too; such buckets take the least over their salts.
     """
-    hot = hot_values(entries, "bucket")
-    is_hot = F.col("bucket").isin(hot) if hot else F.lit(False)
-    spread = entries.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0)).repartition("bucket", "salt")
-    least = spread.groupBy("bucket", "salt").agg(F.min(F.col("k").bitwiseXOR(F.col("bucket"))).alias("c"), F.count("*").alias("n"))
-    met = spread.join(least, ["bucket", "salt"])
+    hot, key = hot_values(entries, "bucket"), ["bucket"]
+    is_hot = F.col("bucket").isin(hot)
+    if hot:
+        entries, key = entries.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0)), ["bucket", "salt"]
+    spread = entries.repartition(*key)
+    least = spread.groupBy(*key).agg(F.min(F.col("k").bitwiseXOR(F.col("bucket"))).alias("c"), F.count("*").alias("n"))
     if hot:
         whole = least.where(is_hot).groupBy("bucket").agg(F.min("c").alias("c_all"), F.sum("n").alias("n_all"))
-        met = met.join(F.broadcast(whole), "bucket", "left").withColumns({"c": F.coalesce("c_all", "c"), "n": F.coalesce("n_all", "n")})
-    return met.where("n > 1").select("bucket", "k", F.col("c").bitwiseXOR(F.col("bucket")).alias("centre"), "n")
+        least = least.join(F.broadcast(whole), "bucket", "left").select(*key, F.coalesce("c_all", "c").alias("c"), F.coalesce("n_all", "n").alias("n"))
+    # Few buckets have several members, so their side of the join is hashed and no member is sorted.
+    met = spread.join(least.where("n > 1").hint("shuffle_hash"), key)
+    return met.select("bucket", "k", F.col("c").bitwiseXOR(F.col("bucket")).alias("centre"), "n")
 
 
 def _named(entries: DataFrame, comps: DataFrame) -> DataFrame:
