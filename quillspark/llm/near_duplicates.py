@@ -232,8 +232,7 @@ def _met(entries: DataFrame) -> DataFrame:
     if hot:
         whole = least.where(is_hot).groupBy("bucket").agg(F.min("c").alias("c_all"), F.sum("n").alias("n_all"))
         least = least.join(F.broadcast(whole), "bucket", "left").select(*key, F.coalesce("c_all", "c").alias("c"), F.coalesce("n_all", "n").alias("n"))
-    # Few buckets have several members, so their side of the join is hashed and no member is sorted.
-    met = spread.join(least.where("n > 1").hint("shuffle_hash"), key)
+    met = spread.join(least.where("n > 1"), key)
     return met.select("bucket", "k", F.col("c").bitwiseXOR(F.col("bucket")).alias("centre"), "n")
 
 
