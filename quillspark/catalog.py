@@ -80,59 +80,53 @@ def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-_KNN = "select q.vec_id as query_id, e.vec_id as id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, (select * from embeddings where vec_id in (1, 2)) q {where}"
+_KNN = "select q.vec_id as query_id, e.vec_id as id, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 100 = 0"
 
 
-@query(f"with s as ({_KNN.format(where='')}) select query_id, id, score from s qualify row_number() over (partition by query_id order by score desc, id) <= 20")
-def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    asked = e.where("vec_id in (1, 2)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    pairs = e.select(F.col("vec_id").alias("id"), "embedding").join(F.broadcast(asked))
-    scored = pairs.select("query_id", "id", F.round(vectors.dot(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("r", rank).where("r <= 20").drop("r")
+def _asked(e: DataFrame) -> DataFrame:
+    """The set of searches: every row whose id is divisible by 100, against all rows."""
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@query("""
-    with s as (select q.vec_id as query_id, e.vec_id as id, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 100 = 0)
-    select query_id, id, round(score, 6) as score from s qualify row_number() over (partition by query_id order by score desc, id) <= 20""")
-def knn_batch_topk(spark: SparkSession, d: str) -> DataFrame:
+@query(f"with s as ({_KNN}) select query_id, id, round(score, 6) as score from s qualify row_number() over (partition by query_id order by score desc, id) <= 20")
+def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return retrieval.knn_batch(e, asked, 20, "vec_id", "embedding").select("query_id", "id", F.round("score", 6).alias("score"))
+    return retrieval.knn_batch(e, _asked(e), 20, "vec_id", "embedding").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"with s as ({_KNN.format(where='where e.label = 3')}) select query_id, id, score from s qualify row_number() over (partition by query_id order by score desc, id) <= 10")
+@query(f"with s as ({_KNN} and e.label = 3) select query_id, id, round(score, 6) as score from s qualify row_number() over (partition by query_id order by score desc, id) <= 10")
 def filtered_pool_knn(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    asked = e.where("vec_id in (1, 2)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    pairs = e.where("label = 3").select(F.col("vec_id").alias("id"), "embedding").join(F.broadcast(asked))
-    scored = pairs.select("query_id", "id", F.round(vectors.dot(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("r", rank).where("r <= 10").drop("r")
+    return retrieval.knn_batch(e.where("label = 3"), _asked(e), 10, "vec_id", "embedding").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("""
-    with q as (select vec_id as qid, embedding::double[] as qv from embeddings where vec_id <= 4),
-    s as (select label, qid, max(list_cosine_similarity(embedding::double[], qv)) as best from embeddings, q group by label, qid)
-    select label::bigint as label, round(avg(best), 6) as maxsim from s group by label""")
+@query(f"""
+    with s as ({_KNN}), h as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s qualify rank <= 20),
+    t as (select vec_id, list_transform([0, 1, 2, 3], lambda k: embedding[16 * k + 1 : 16 * k + 16]::double[]) as v from embeddings),
+    m as (select h.query_id, h.id, h.rank, list_avg(list_transform(q.v, lambda a: list_max(list_transform(x.v, lambda b: list_cosine_similarity(a, b))))) as maxsim from h join t x on x.vec_id = h.id join t q on q.vec_id = h.query_id)
+    select query_id, id, round(maxsim, 6) as maxsim from m qualify row_number() over (partition by query_id order by maxsim desc, rank) <= 5""")
 def maxsim_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty nearest of every search, ranked again by late interaction of four token vectors each."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id <= 4").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    best = e.join(F.broadcast(q)).groupBy("label", "qid").agg(F.max(vectors.cosine(F.col("embedding"), F.col("qv"))).alias("best"))
-    return best.groupBy(F.col("label").cast("bigint").alias("label")).agg(F.round(F.avg("best"), 6).alias("maxsim"))
+    tokens = F.array(*[F.slice("embedding", 16 * k + 1, 16) for k in range(4)])
+    near = retrieval.knn_batch(e, _asked(e), 20, "vec_id", "embedding").drop("score")
+    hits = near.join(e.select(F.col("vec_id").alias("id"), tokens.alias("vectors")), "id").join(e.select(F.col("vec_id").alias("query_id"), tokens.alias("asked")), "query_id")
+    return retrieval.rerank(hits, F.col("asked"), "vectors", 5, ["query_id"]).select("query_id", "id", F.round("maxsim", 6).alias("maxsim"))
 
 
 @query(f"""
     with b as (select * from ({_BM25_DOCS}) order by score desc, id limit 50),
-    v as (select e.vec_id as id, list_dot_product(e.embedding::double[], q.embedding::double[]) as score from embeddings e, (select * from embeddings where vec_id = 1) q order by score desc, id limit 50)
-    select coalesce(b.id, v.id) as id, round(coalesce(b.score, 0) + coalesce((1 + v.score) / 2, 0), 6) as score from b full join v on b.id = v.id order by coalesce(b.score, 0) + coalesce((1 + v.score) / 2, 0) desc, id limit 50""")
+    v as (select * from ({_KNN}) qualify row_number() over (partition by query_id order by score desc, id) <= 50),
+    bq as (select q.query_id, b.id, b.score from b, (select distinct query_id from v) q),
+    u as (select coalesce(bq.query_id, v.query_id) as query_id, coalesce(bq.id, v.id) as id, coalesce(bq.score, 0) + coalesce((1 + v.score) / 2, 0) as score from bq full join v on bq.id = v.id and bq.query_id = v.query_id)
+    select query_id, id, round(score, 6) as score from u qualify row_number() over (partition by query_id order by score desc, id) <= 50""")
 def hybrid_union_score(spark: SparkSession, d: str) -> DataFrame:
-    text_scores = lexical.bm25(table(spark, d, "documents"), _TERMS, "doc_id", "text").orderBy(F.desc("score"), "id").limit(50)
+    """One question's words with every search's vector."""
     e = table(spark, d, "embeddings")
-    asked = F.broadcast(e.where("vec_id = 1").select(F.col("embedding").alias("qv")))
-    near = e.join(asked).select(F.col("vec_id").alias("id"), vectors.dot(F.col("embedding"), F.col("qv")).alias("score")).orderBy(F.desc("score"), "id").limit(50)
-    return retrieval.hybrid(text_scores, near, 50).select("id", F.round("score", 6).alias("score"))
+    text_scores = lexical.bm25(table(spark, d, "documents"), _TERMS, "doc_id", "text").orderBy(F.desc("score"), "id").limit(50)
+    of_all = _asked(e).select("query_id").join(F.broadcast(text_scores))
+    near = retrieval.knn_batch(e, _asked(e), 50, "vec_id", "embedding")
+    return retrieval.hybrid(of_all, near, 50, by="query_id").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("""
@@ -163,9 +157,8 @@ def fde_bucket(spark: SparkSession, d: str) -> DataFrame:
     e as (select label, bucket, unnest(v)::double as x, generate_subscripts(v, 1) as dim from b)
     select label::bigint as label, bucket, dim::bigint as dim, round(max(x), 6) as pooled from e group by all""")
 def fde_pool(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").withColumn("bucket", vectors.quantised_bucket(F.col("embedding")))
-    each = e.select(F.col("label").cast("bigint").alias("label"), "bucket", F.posexplode("embedding").alias("p", "x"))
-    return each.groupBy("label", "bucket", (F.col("p") + 1).cast("bigint").alias("dim")).agg(F.round(F.max(F.col("x").cast("double")), 6).alias("pooled"))
+    e = table(spark, d, "embeddings").withColumn("label", F.col("label").cast("bigint"))
+    return vectors.pooled_by_bucket(e, ["label"], "embedding").withColumn("pooled", F.round("pooled", 6))
 
 
 @query("with n as (select vec_id, embedding[1:16]::double[] as v from embeddings) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as first, round(v[16] / sqrt(list_dot_product(v, v)), 6) as last from n")
@@ -191,7 +184,8 @@ def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("select row_id from raw_chunks where verbatim_text is not null qualify row_number() over (partition by lower(set_id), sha256(verbatim_text) order by row_id) = 1")
 def exact_dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_chunks").where("verbatim_text is not null")
-    return rows.groupBy(F.lower("set_id"), F.sha2("verbatim_text", 256)).agg(F.min("row_id").alias("row_id")).select("row_id")
+    keyed = rows.select("row_id", F.lower("set_id").alias("label"), F.sha2("verbatim_text", 256).alias("h"))
+    return ingest.latest_per_key(keyed, ["label", "h"], [F.col("row_id")]).select("row_id")
 
 
 @query("""
@@ -225,7 +219,7 @@ def hash_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     select row_id, seq, 'urn:pharma:' || r || ':' || x || ':' || substr(replace(s, '-', ''), 1, 8) || ':' || l || ':' || (case when seq < 10000 then lpad(seq::varchar, 4, '0') else seq::varchar end) as urn from s""")
 def artifact_urn_seq(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_chunks").where("set_id is not null and rxcui is not null").select("row_id", "set_id", "rxcui", "layout_type", "regulatory_source")
-    rows = rows.withColumn("seq", (F.row_number().over(Window.partitionBy("set_id").orderBy("row_id")) - 1).cast("bigint"))
+    rows = ingest.numbered(rows, ["set_id"], [F.col("row_id")])
     return rows.select("row_id", "seq", T.artifact_urn(F.col("regulatory_source"), F.col("rxcui"), F.col("set_id"), F.col("layout_type"), F.col("seq")).alias("urn"))
 
 
@@ -273,12 +267,14 @@ def concept_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    with n as (select distinct lower(trim(drug_generic)) as name from drug_labels where trim(drug_generic) <> '' and not contains(trim(drug_generic), ' ')),
-    w as (select distinct item_id, unnest({_TOKENS.format("text")}) as name from eval_items)
-    select item_id, name from w join n using (name)""")
+    with d as (select drug_generic as name from drug_labels union all select unnest(drug_brand) from drug_labels), n as (select distinct lower(trim(name)) as name from d where name is not null),
+    k as (select name, array_to_string({_TOKENS.format("name")}, ' ') as words from n), w as (select item_id, ' ' || array_to_string({_TOKENS.format("text")}, ' ') || ' ' as words from eval_items)
+    select distinct item_id, name from w join k on contains(w.words, ' ' || k.words || ' ') where k.words <> ''""")
 def dictionary_name_extract(spark: SparkSession, d: str) -> DataFrame:
-    dictionary = table(spark, d, "drug_labels").select(F.lower(F.trim("drug_generic")).alias("name")).where("name <> '' and not contains(name, ' ')")
-    return names.names_in_texts(table(spark, d, "eval_items"), dictionary, "item_id", "text")
+    """Generic and brand names, of any number of words, in the items."""
+    labels = table(spark, d, "drug_labels")
+    both = labels.select(F.col("drug_generic").alias("name")).unionByName(labels.select(F.explode("drug_brand").alias("name")))
+    return names.names_in_texts(table(spark, d, "eval_items"), both.select(F.lower(F.trim("name")).alias("name")).where("name is not null"), "item_id", "text")
 
 
 def _abbreviations_sql(column: str) -> str:
@@ -343,18 +339,18 @@ _TAGS = "p|div|section|article|header|footer|ul|ol|li|br|hr|h[1-6]"
     y as (select doc_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') as t from x)
     select doc_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'), ' ')), lambda s: s <> ''), chr(10)) as plain from y""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", html.simple_html_to_text(F.col("text")).alias("plain"))
+    return table(spark, d, "documents").select("doc_id", html.html_to_text(F.col("text")).alias("plain"))
 
 
-@query()
-def html_render(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", html.html_to_text(F.col("text")).alias("plain"))
+_PAGE = "'<table><tr><th>Generic</th><th>Class</th></tr><tr><td>' || coalesce(drug_generic, '') || '</td><td>' || coalesce(atc_code, '') || '</td></tr><tr><td colspan=\"2\">' || coalesce(source, '') || '</td></tr></table>'"
 
 
-@query()
+@query("""
+    select set_id, fetched_at, '| Generic | Class |' || chr(10) || '| --- | --- |' || chr(10) || trim(regexp_replace('| ' || coalesce(drug_generic, '') || ' | ' || coalesce(atc_code, '') || ' |', '\\s+', ' ', 'g'), ' ')
+        || chr(10) || regexp_replace('| ' || coalesce(source, '') || ' | |', '\\s+', ' ', 'g') as markdown from drug_labels""")
 def table_to_markdown(spark: SparkSession, d: str) -> DataFrame:
-    pages = [(1, "<table><tr><th>Dose</th><th>Unit</th></tr><tr><td>5</td><td>mg</td></tr></table>"), (2, "<table><tr><td colspan=2>A</td></tr></table>"), (3, "<p>A</p><ul><li>x</li></ul>"), (4, None)]
-    return spark.createDataFrame(pages, "id long, html string").select("id", html.html_to_text(F.col("html")).alias("markdown"))
+    """A page with a table, a header row and a spanning cell, made of every fetched label."""
+    return table(spark, d, "drug_labels").select("set_id", "fetched_at", html.html_to_text(F.expr(_PAGE)).alias("markdown"))
 
 
 @query("select row_id, replace(replace(replace(replace(replace(verbatim_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') as escaped from raw_chunks")
@@ -381,10 +377,18 @@ def risk_by_layout(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_chunks").select("row_id", F.round(risk, 6).alias("risk"), (risk >= dims.VERBATIM_RISK).alias("locked"))
 
 
-@query("unpivot (select fetched_at, set_id, rxcui, drug_generic, atc_code, source from drug_labels) on rxcui, drug_generic, atc_code, source into name field value content")
+@query("""
+    with s as (
+        select set_id, fetched_at, 0 as ord, '34070-3' as code, 'contraindication' as layout_type, drug_generic as parts from drug_labels
+        union all select set_id, fetched_at, 2, '34071-1', 'warning', case when atc_code <> 'ZZZZ' then atc_code when len(drug_brand) > 0 then array_to_string(drug_brand, '|') end from drug_labels
+        union all select set_id, fetched_at, 9, '34089-3', 'pharmacology', source from drug_labels)
+    select set_id, fetched_at, ord, code, layout_type, parts from s where parts is not null""")
 def wide_to_long_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "drug_labels").select("fetched_at", "set_id", "rxcui", "drug_generic", "atc_code", "source")
-    return rows.unpivot(["fetched_at", "set_id"], ["rxcui", "drug_generic", "atc_code", "source"], "field", "content").where("content is not null")
+    """Labels with three prose sections, one of which has a table that replaces it where there is a class."""
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
+    result = F.struct(one("drug_generic").alias("contraindications"), F.col("drug_brand").alias("warnings"), F.when(F.col("atc_code") != "ZZZZ", F.array("atc_code")).alias("warnings_table"), one("source").alias("description"))
+    labels = table(spark, d, "drug_labels").select("set_id", "fetched_at", result.alias("result"))
+    return ingest.sections(labels).select("set_id", "fetched_at", "ord", "code", "layout_type", F.array_join("parts", "|").alias("parts"))
 
 
 @query("select lower(set_id) as set_id, rxcui, label_date, fetched_at from drug_labels qualify row_number() over (partition by lower(set_id) order by label_date desc nulls last, fetched_at desc, rxcui) = 1")
@@ -393,28 +397,37 @@ def latest_per_entity(spark: SparkSession, d: str) -> DataFrame:
     return ingest.latest_per_key(rows, ["set_id"], [F.desc_nulls_last("label_date"), F.desc("fetched_at"), F.asc_nulls_last("rxcui")])
 
 
-@query("""
-    with c as (select lower(set_id) as set_id, count(*)::bigint as chunks from raw_chunks where set_id is not null group by 1),
-    l as (select lower(set_id) as set_id, min(lower(trim(drug_generic))) as g from drug_labels group by 1),
-    i as (select lower(set_id) as set_id, min(lower(trim(drug_generic))) as g from ingest_log group by 1)
-    select set_id, chunks, coalesce(l.g, i.g, 'unknown') as generic, case when l.g is not null then 'label' when i.g is not null then 'log' else 'none' end as found_in from c left join l using (set_id) left join i using (set_id)""")
+_RESOLVE = """
+    with n as (select distinct lower(trim(drug_generic)) as name from drug_labels where trim(drug_generic) <> ''),
+    c as (select lower(trim(drug_name_generic)) as name, min(rxcui) as rxcui from raw_chunks where rxcui is not null and trim(drug_name_generic) <> '' group by 1),
+    k as (select rxcui, list_sort(list(distinct atc_code)) as codes from drug_labels where rxcui is not null and atc_code <> 'ZZZZ' group by 1),
+    l as (select lower(trim(drug_generic)) as name, min(lower(set_id)) as set_id, max(label_date) as label_date from drug_labels where source = 'fda_us' group by 1),
+    f as (select lower(trim(drug_generic)) as name, min(lower(set_id)) as set_id, max(label_date) as label_date from drug_labels where source <> 'fda_us' group by 1),
+    a as ({labels})
+    select n.name, c.rxcui, coalesce(nullif(coalesce(list_filter(k.codes, lambda x: length(x) = 5)[1], k.codes[1]), ''), 'ZZZZ') as atc_code, a.set_id, a.label_date
+    from n join c using (name) left join k using (rxcui) join a using (name)"""
+
+
+def _resolved(spark: SparkSession, d: str, fallback: bool) -> DataFrame:
+    labels, chunks = table(spark, d, "drug_labels"), table(spark, d, "raw_chunks")
+    name = F.lower(F.trim("drug_generic")).alias("name")
+    asked = labels.select(name).where("name <> ''").distinct()
+    concepts = chunks.where("rxcui is not null").groupBy(F.lower(F.trim("drug_name_generic")).alias("name")).agg(F.min("rxcui").alias("rxcui")).where("name <> ''")
+    classes = labels.where("rxcui is not null and atc_code <> 'ZZZZ'").groupBy("rxcui").agg(F.array_sort(F.collect_set("atc_code")).alias("codes"))
+    found = lambda cond: labels.where(cond).groupBy(name).agg(F.struct(F.min(F.lower("set_id")).alias("set_id"), F.max("label_date").alias("label_date")).alias("result"))
+    resolved = ingest.resolve(asked, concepts, classes, found("source = 'fda_us'"), found("source <> 'fda_us'") if fallback else None)
+    return resolved.select("name", "rxcui", "atc_code", "result.set_id", "result.label_date")
+
+
+@query(_RESOLVE.format(labels="select * from l union all select * from f where name not in (select name from l where name is not null)"))
 def fallback_lookup(spark: SparkSession, d: str) -> DataFrame:
-    key = F.lower("set_id").alias("set_id")
-    chunks = table(spark, d, "raw_chunks").where("set_id is not null").groupBy(key).agg(F.count("*").alias("chunks"))
-    name = lambda t, c: table(spark, d, t).groupBy(key).agg(F.min(F.lower(F.trim("drug_generic"))).alias(c))
-    both = chunks.join(name("drug_labels", "a"), "set_id", "left").join(name("ingest_log", "b"), "set_id", "left")
-    return both.select("set_id", "chunks", F.coalesce("a", "b", F.lit("unknown")).alias("generic"), F.when(F.col("a").isNotNull(), "label").when(F.col("b").isNotNull(), "log").otherwise("none").alias("found_in"))
+    """Names to concepts, classes and labels, those of other sources only where the first has none."""
+    return _resolved(spark, d, fallback=True)
 
 
-@query("""
-    select r_name, n_name, count(*)::bigint as customers, round(sum(coalesce(t.total, 0)), 2) as total
-    from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-    left join (select o_custkey, sum(o_totalprice) as total from orders group by 1) t on o_custkey = c_custkey group by 1, 2""")
+@query(_RESOLVE.format(labels="select * from l"))
 def entity_resolution_chain(spark: SparkSession, d: str) -> DataFrame:
-    totals = table(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
-    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    chain = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).join(totals, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return chain.groupBy("r_name", "n_name").agg(F.count("*").alias("customers"), F.round(F.sum(F.coalesce("total", F.lit(0.0))), 2).alias("total"))
+    return _resolved(spark, d, fallback=False)
 
 
 @query("""
@@ -437,10 +450,15 @@ def ingest_totals(spark: SparkSession, d: str) -> DataFrame:
     return ingest.log_totals(table(spark, d, "ingest_log"))
 
 
-@query("select urn_id, index_id, indexed_at from index_docs where urn_id is not null qualify row_number() over (partition by urn_id order by indexed_at desc nulls last, index_id desc) = 1")
+@query("""
+    with o as (select urn_id, index_id, indexed_at from index_docs where urn_id is not null and indexed_at < timestamp '2025-06-01' qualify row_number() over (partition by urn_id order by indexed_at desc, index_id desc) = 1),
+    n as (select urn_id, index_id, indexed_at from index_docs where urn_id is not null and (indexed_at >= timestamp '2025-06-01' or indexed_at is null) qualify row_number() over (partition by urn_id order by indexed_at desc nulls last, index_id desc) = 1)
+    select * from n union all select * from o where urn_id not in (select urn_id from n)""")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "index_docs").where("urn_id is not null").select("urn_id", "index_id", "indexed_at")
-    return ingest.upsert(rows.limit(0), rows, "urn_id", [F.desc_nulls_last("indexed_at"), F.desc("index_id")])
+    """What was indexed from June on, put into the table of what was there before."""
+    rows, newest = table(spark, d, "index_docs").where("urn_id is not null").select("urn_id", "index_id", "indexed_at"), [F.desc_nulls_last("indexed_at"), F.desc("index_id")]
+    target = ingest.latest_per_key(rows.where("indexed_at < timestamp '2025-06-01'"), ["urn_id"], newest)
+    return ingest.upsert(target, rows.where("indexed_at >= timestamp '2025-06-01' or indexed_at is null"), "urn_id", newest)
 
 
 @query("select row_id, try_strptime(case when length(label_version_date) = 8 then label_version_date else replace(label_version_date, '-', '') end, '%Y%m%d')::date::varchar as label_date from raw_chunks where label_version_date is not null")
@@ -451,16 +469,15 @@ def label_dates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ingest_labels(spark: SparkSession, d: str) -> DataFrame:
-    """One label of every drug of ``drug_labels``, its sections made of the chunks of that label, through the whole ingest."""
+    """All chunks as section texts of their labels, through the whole ingest; a label's concept is the least of its chunks'."""
     rows = table(spark, d, "raw_chunks").where("set_id is not null and layout_type <> 'structured_fact' and verbatim_text is not null")
-    section = {"dosing": "dosage_and_administration", "warning": "warnings", "interaction": "drug_interactions", "indication": "indications_and_usage", "contraindication": "contraindications", "pharmacology": "description", "patient_info": "patient_counseling_information"}
-    parts = [F.array_sort(F.collect_list(F.when(F.col("layout_type") == k, F.struct("row_id", "verbatim_text")))) for k in section]
-    made = rows.groupBy(F.lower("set_id").alias("set_id")).agg(F.min("rxcui").alias("rxcui"), F.min("drug_name_generic").alias("drug_generic"), F.min("atc_code").alias("atc_code"), F.max("boxed_warning").alias("boxed_warning"), *[F.transform(p, lambda x: x["verbatim_text"]).alias(v) for p, v in zip(parts, section.values())])
-    labels = made.where("rxcui is not null").select(
-        "set_id", "rxcui", "drug_generic", F.array().cast("array<string>").alias("drug_brand"), "atc_code", F.lit("2025-01-01").cast("date").alias("label_date"), F.lit("2025-01-01").cast("date").alias("published"),
-        "boxed_warning", F.lit("fda_us").alias("source"), F.struct(*section.values()).alias("result"),
-    )
-    return ingest.sparse(ingest.artifacts(labels))
+    key = F.lower("set_id").alias("set_id")
+    about = rows.groupBy(key).agg(F.min("rxcui").alias("rxcui"), F.min("drug_name_generic").alias("drug_generic"), F.min("atc_code").alias("atc_code"), F.max("boxed_warning").alias("boxed_warning")).where("rxcui is not null")
+    day = F.lit("2025-01-01").cast("date")
+    code = F.coalesce(*[F.when(F.col("layout_type") == layout, code) for _, code, layout in dims.SECTIONS])
+    texts = rows.select(key, F.col("row_id").alias("ord"), code.alias("code"), "layout_type", F.col("verbatim_text").alias("text")).join(about, "set_id")
+    labels = texts.withColumns({"drug_brand": F.array().cast("array<string>"), "label_date": day, "published": day, "source": F.lit("fda_us")})
+    return ingest.sparse(ingest.artifacts_of_texts(labels))
 
 
 @query("select event_id, (props::json->>'k')::bigint as k from events")
@@ -496,11 +513,8 @@ def layout_coverage(spark: SparkSession, d: str) -> DataFrame:
 def sufficiency_gate(spark: SparkSession, d: str) -> DataFrame:
     """The gate over the chunks of every label, as if each label answered a causal dosing question about renal impairment."""
     asked = intent.Intent("", query_type="causal", layouts=("dosing", "interaction"), population="renal_impairment", wants_interaction=True, wants_dosing=True)
-    layout = F.coalesce("layout_type", F.lit("unknown"))
-    rows = table(spark, d, "raw_chunks").where("set_id is not null").select(F.lower("set_id").alias("set_id"), layout.alias("layout"), "chunk_confidence", "label_version_date", (F.size("dose_values") > 0).alias("dosed"))
-    counts = rows.groupBy("set_id", "layout").agg(F.count("*").alias("n"), F.max("chunk_confidence").alias("top"), F.max(F.substring("label_version_date", 1, 4).try_cast("int")).alias("year"), F.count_if("dosed").alias("doses"))
-    facts_ = counts.groupBy("set_id").agg(F.sum("n").alias("hits"), F.coalesce(F.max("top"), F.lit(0.0)).alias("top"), F.max("year").alias("newest"), F.sum("doses").alias("doses"), F.map_from_entries(F.collect_list(F.struct("layout", "n"))).alias("coverage"))
-    return facts_.select("set_id", F.array_join(reflect.failures(asked, 2026), ",").alias("failures"))
+    rows = table(spark, d, "raw_chunks").where("set_id is not null").select(F.lower("set_id").alias("set_id"), "layout_type", F.coalesce("chunk_confidence", F.lit(0.0)).alias("maxsim"), "label_version_date", "dose_values")
+    return reflect.gate_facts(rows, ["set_id"]).select("set_id", F.array_join(reflect.failures(asked, 2026), ",").alias("failures"))
 
 
 @query("""
@@ -509,7 +523,7 @@ def sufficiency_gate(spark: SparkSession, d: str) -> DataFrame:
     select urn_id, row_id, rank from p join raw_chunks using (urn_id)""")
 def parent_pivot(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_chunks").select("row_id", "urn_id", "parent_urn", "chunk_confidence")
-    hits = rows.where("parent_urn is not null and parent_urn <> ''").withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("chunk_confidence"), "row_id")).cast("bigint"))
+    hits = ingest.numbered(rows.where("parent_urn is not null and parent_urn <> ''"), [], [F.desc_nulls_last("chunk_confidence"), F.col("row_id")], "rank").withColumn("rank", F.col("rank") + 1)
     return assemble.parents(hits, rows.select("row_id", "urn_id")).select("urn_id", "row_id", "rank")
 
 
@@ -575,12 +589,22 @@ def section_split_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with k as (select distinct lower(set_id) as s, urn_id as u from raw_chunks where set_id is not null and urn_id is not null), c as (select distinct lower(set_id) as s, urn_id as u from index_docs where set_id is not null and urn_id is not null)
-    select coalesce(k.s, c.s) as set_id, count(*) filter (where k.u is not null and c.u is not null)::bigint as verified, count(*) filter (where k.u is null)::bigint as hallucinated, count(*) filter (where c.u is null)::bigint as missing from k full join c on k.s = c.s and k.u = c.u group by 1""")
+    with d as (select index_id, urn_id from index_docs where urn_id is not null), r as (select distinct urn_id, nullif(parent_urn, '') as parent_urn from raw_chunks where urn_id is not null),
+    n as (select distinct index_id, r.urn_id as own, parent_urn from d join r on d.urn_id = r.urn_id)
+    select d.index_id as answer_id, case when count(n.own) > 0 then min(d.urn_id) else '' end as verified, case when count(n.own) > 0 then 'urn:none:' || d.index_id else array_to_string(list_sort([min(d.urn_id), 'urn:none:' || d.index_id]), ',') end as hallucinated,
+           coalesce(array_to_string(list_sort(list(distinct n.parent_urn) filter (where n.parent_urn is not null and n.parent_urn <> d.urn_id)), ','), '') as missing, 0::bigint as orphaned
+    from d left join n on n.index_id = d.index_id group by d.index_id""")
 def citation_sets(spark: SparkSession, d: str) -> DataFrame:
-    both = lambda t, mark: table(spark, d, t).where("set_id is not null and urn_id is not null").select(F.lower("set_id").alias("set_id"), "urn_id").distinct().withColumn(mark, F.lit(1))
-    joined = both("raw_chunks", "known").join(both("index_docs", "cited"), ["set_id", "urn_id"], "full")
-    return joined.groupBy("set_id").agg(F.count_if(F.expr("known = 1 and cited = 1")).alias("verified"), F.count_if(F.col("known").isNull()).alias("hallucinated"), F.count_if(F.col("cited").isNull()).alias("missing"))
+    """An answer for every index row that cites its artifact and one that does not exist; it was given the artifact and its parents."""
+    docs, chunks = table(spark, d, "index_docs").where("urn_id is not null"), table(spark, d, "raw_chunks")
+    text = F.concat(F.lit("Take 5 mg. [SOURCE: "), "urn_id", F.lit("] See also [SOURCE: urn:none:"), F.col("index_id").cast("string"), F.lit("]."))
+    answers = docs.select(F.col("index_id").alias("answer_id"), text.alias("text"))
+    given = docs.select(F.col("index_id").alias("answer_id"), "urn_id").join(chunks.select("urn_id", "parent_urn").distinct(), "urn_id")
+    either = given.select("answer_id", "urn_id").unionByName(given.where("parent_urn <> ''").select("answer_id", F.col("parent_urn").alias("urn_id"))).distinct()
+    nodes = either.withColumns({"verbatim_text": F.lit("Take 5 mg."), "verbatim_locked": F.lit(False)})
+    got = audit.audit(answers, nodes)
+    joined = {c: F.array_join(c, ",") for c in ("verified", "hallucinated", "missing")}
+    return got.select("answer_id", *[v.alias(k) for k, v in joined.items()], F.size("orphaned").cast("bigint").alias("orphaned"))
 
 
 @query()

@@ -1,13 +1,10 @@
 """Fixed values of the domain: ordered vocabularies, section and layout tables, thresholds.
 
-Order carries meaning wherever the first match wins, so every table that becomes a DataFrame has an
-``ord`` column.
+Order carries meaning wherever the first match wins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 # Label section, its code, the layout it belongs to.
 SECTIONS = [
     ("contraindications", "34070-3", "contraindication"),
@@ -205,18 +202,3 @@ TEXT_BOOST, VECTOR_BOOST, RECENCY_BOOST = 1.2, 1.0, 0.8
 FIELD_WEIGHTS = {"text": 1.0, "generic": 3.0, "brand": 2.5}
 BM25_K1, BM25_B = 1.2, 0.75
 CONFLICT_SHARE, MISQUOTE_OVERLAP = 0.15, 0.08
-
-
-def section_table(spark: SparkSession) -> DataFrame:
-    """``ord, field, code, layout``; fixed and small."""
-    return spark.createDataFrame([(i, *s) for i, s in enumerate(SECTIONS)], "ord int, field string, code string, layout string")
-
-
-def risk_table(spark: SparkSession) -> DataFrame:
-    """``layout, risk``; fixed and small."""
-    return spark.createDataFrame(LAYOUT_RISK, "layout string, risk double")
-
-
-def synonym_table(spark: SparkSession) -> DataFrame:
-    """``ord, phrase, head``: every phrase with the first of its group; fixed and small."""
-    return spark.createDataFrame([(i, p, g[0]) for i, g in enumerate(SYNONYMS) for p in g], "ord int, phrase string, head string")

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Tags that end a line.
-BREAKS = frozenset("p div section article header footer ul ol li br hr h1 h2 h3 h4 h5 h6".split())
+BREAKS = frozenset({"p", "div", "section", "article", "header", "footer", "ul", "ol", "li", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6"})
 _PIECE = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<![^>]*>|([^<]+|<)", re.S)
 _SKIPPED = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _SPAN = re.compile(r"colspan\s*=\s*[\"']?\s*(\d+)", re.I)
@@ -98,15 +98,3 @@ def html_to_text(html: Column, parity: bool = False) -> Column:
         return values.map(lambda x: None if x is None else render(x, parity))
 
     return run(html)
-
-
-def simple_html_to_text(html: Column) -> Column:
-    """The subset that needs no parser, all on the JVM: no tables, named entities limited to the five of XML."""
-    x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    x = F.regexp_replace(x, r"(?i)<li\b[^>]*>", "\n* ")
-    x = F.regexp_replace(x, r"(?i)</?(p|div|section|article|header|footer|ul|ol|li|br|hr|h[1-6])\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(plain))
-    lines = F.transform(F.split(x, "\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
-    return F.array_join(F.filter(lines, lambda s: s != ""), "\n")

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Dimensions of the three representations, and how many words of a text get a vector.
@@ -67,6 +67,12 @@ def pooled_encoding(vectors: np.ndarray, bucket: np.ndarray | None = None) -> np
     return flat / (np.linalg.norm(flat) or 1.0)
 
 
+def pooled_by_bucket(df: DataFrame, keys: list[str], vector_col: str) -> DataFrame:
+    """``keys, bucket, dim, pooled``: the vectors of each key max-pooled by bucket, for keys with any number of vectors."""
+    each = df.select(*keys, quantised_bucket(F.col(vector_col)).alias("bucket"), F.posexplode(vector_col).alias("_p", "_x"))
+    return each.groupBy(*keys, "bucket", (F.col("_p") + 1).cast("bigint").alias("dim")).agg(F.max(F.col("_x").cast("double")).alias("pooled"))
+
+
 def word_vector(word: str, dim: int = DIM) -> np.ndarray:
     seed = int.from_bytes(hashlib.blake2b(word.lower().encode(), digest_size=8).digest(), "big")
     v = np.random.default_rng(seed).standard_normal(dim, np.float32)

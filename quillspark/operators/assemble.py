@@ -82,17 +82,30 @@ def conflicts(df: DataFrame, keys: list[str], values: str, urn: str, share: floa
     """Groups of at least two rows whose values differ by more than ``share`` of the least.
 
     ``values`` is a list or number column. A group whose least value is 0 is skipped, and so are rows without values.
-    Distinct values and row keys are gathered per group; counts and extremes decide first, so only conflicting groups build them.
+    Counts and extremes decide first, with map-side combining; only the rows of conflicting groups are then read for
+    their distinct ``values`` and row keys (``urns``).
     """
     is_list = dict(df.dtypes)[values].startswith("array")
     v = F.filter(F.col(values), lambda x: x.isNotNull()) if is_list else F.when(F.col(values).isNotNull(), F.array(values)).otherwise(F.array().cast(f"array<{dict(df.dtypes)[values]}>"))
     rows = df.select(*keys, F.col(urn).alias("_u"), v.alias("_v")).where(F.size("_v") > 0)
-    grouped = rows.groupBy(*keys).agg(
-        F.count("*").alias("nodes"), F.min(F.array_min("_v")).alias("least"), F.max(F.array_max("_v")).alias("most"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_v")))).alias("values"), F.array_sort(F.collect_set("_u")).alias("urns"),
-    )
+    grouped = rows.groupBy(*keys).agg(F.count("*").alias("nodes"), F.min(F.array_min("_v")).alias("least"), F.max(F.array_max("_v")).alias("most"))
     pct = F.abs(F.col("most") - F.col("least")) / F.col("least")
-    return grouped.where("nodes >= 2 and least <> 0").withColumn("pct_diff", pct).where(F.col("pct_diff") > share).drop("least", "most")
+    found = grouped.where("nodes >= 2 and least <> 0").withColumn("pct_diff", pct).where(F.col("pct_diff") > share).drop("least", "most")
+    named = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "nodes", "pct_diff")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    # Distinct pairs first, so that a hot group sends each value and key once per task.
+    members = rows.join(named, same)
+    values_of = members.select(*keys, F.explode("_v").alias("x")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("values"))
+    urns_of = members.select(*keys, "_u").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("_u")).alias("urns"))
+    for extra, column in ((values_of, "values"), (urns_of, "urns")):
+        e = extra.select(column, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        cond = F.lit(True)
+        for i, k in enumerate(keys):
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        found = found.join(e, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    return found
 
 
 def dose_conflicts(df: DataFrame, parity: bool = False) -> DataFrame:

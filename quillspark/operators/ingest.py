@@ -9,6 +9,7 @@ from quillspark import dims
 from quillspark.functions import text as T
 from quillspark.functions.html import html_to_text
 from quillspark.operators import facts
+from quillspark.runtime import stage
 
 
 def latest_per_key(df: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
@@ -16,6 +17,26 @@ def latest_per_key(df: DataFrame, keys: list[str], newest_first: list[Column]) -
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first))).where("_rn = 1").drop("_rn")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "seq") -> DataFrame:
+    """``df`` with a running number from 0 within the keys, in an order without ties; null keys are one key.
+
+    The rows are range-partitioned by key and order and numbered within their partition; prefix sums over the (few)
+    partitions that share a key add the rest. So no task ever holds more than its range, however hot a key is.
+    """
+    spread = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, *order)
+    ranged = stage(spread.withColumn("_range", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_before > 0")
+    local = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)) - 1)
+    o = offsets.select("_before", F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = local.join(F.broadcast(o), same, "left")  # at most one key continues into a range
+    return joined.select(*df.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(name))
+
+
 def class_code(codes: Column, default: str = "ZZZZ") -> Column:
     """The first code of five characters, else the first, else the default (also for an empty string)."""
     five = F.get(F.filter(codes, lambda c: F.length(c) == 5), F.lit(0))
@@ -86,24 +107,30 @@ def artifacts(labels: DataFrame) -> DataFrame:
     Chunks shorter than 80 characters and repeated chunks of a label are dropped; a running number per
     label counts chunks and, right after each, its facts.
     """
-    text = F.array_join(F.transform("texts", F.trim), " \n")
     each = sections(labels).select("*", F.posexplode("parts").alias("part_no", "html")).drop("parts")
     plain = each.withColumn("t", html_to_text(F.col("html"))).drop("html")
     keys = [c for c in plain.columns if c not in ("part_no", "t")]
-    whole = plain.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "t"))), lambda x: x["t"]).alias("texts")).withColumn("text", text).drop("texts")
-    whole = whole.withColumn("text", F.when(F.col("layout_type") == "dosing", T.normalise_dosing(F.col("text"))).otherwise(F.col("text")))
+    #: The parts of one section of one label are one document's text.
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("part_no", "t"))), lambda x: F.trim(x["t"]))
+    return artifacts_of_texts(plain.groupBy(*keys).agg(F.array_join(texts, " \n").alias("text")))
+
+
+def artifacts_of_texts(texts: DataFrame) -> DataFrame:
+    """``artifacts`` of section texts: the columns of a label, ``ord, code, layout_type`` of the section and its ``text``.
+
+    Sections stay rows of their own throughout, so a label with any number of them is never held by one task.
+    """
+    whole = texts.withColumn("text", F.when(F.col("layout_type") == "dosing", T.normalise_dosing(F.col("text"))).otherwise(F.col("text")))
     chunked = whole.select("*", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "verbatim_text")).drop("text").where(F.length("verbatim_text") >= dims.MIN_CHUNK)
     first = latest_per_key(chunked.withColumn("h", F.sha2("verbatim_text", 256)), ["set_id", "h"], [F.col("ord"), F.col("chunk_no")]).drop("h")
 
-    sents = F.filter(F.transform(T.sentences(F.col("verbatim_text")), F.trim), lambda s: T.is_dose_sentence(s))
+    sents = F.filter(F.transform(T.sentences(F.col("verbatim_text")), F.trim), lambda s: T.is_dose_sentence(s) & (F.size(facts.dose_values(s)) > 0))
     rows = first.withColumn("s", F.when(F.col("layout_type").isin(dims.FACT_LAYOUTS), sents).otherwise(F.array().cast("array<string>")))
     rows = rows.select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "s")).alias("fact_no", "fact")).drop("s")
     f = F.col("fact")
     rows = rows.withColumns({"dose_values": facts.dose_values(f), "dose_units": facts.dose_units(f), "dose_route": F.when(f.isNotNull(), facts.route(f)), "patient_population": F.when(f.isNotNull(), facts.population(f))})
-    rows = rows.where("fact is null or size(dose_values) > 0")
-    order = Window.partitionBy("set_id").orderBy("ord", "chunk_no", "fact_no")
-    rows = rows.withColumn("seq", F.row_number().over(order) - 1)
-    parent_seq = F.max(F.when(f.isNull(), F.col("seq"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = numbered(rows, ["set_id"], [F.col("ord"), F.col("chunk_no"), F.col("fact_no")])
+    parent_seq = F.col("seq") - F.col("fact_no")
     rows = rows.withColumn("chunk_urn", T.artifact_urn(F.col("source"), F.col("rxcui"), F.col("set_id"), F.col("layout_type"), parent_seq))
     fact_urn = T.fact_urn(F.col("rxcui"), F.col("set_id"), F.col("dose_route"), F.col("patient_population"), F.col("seq"), f)
     is_fact = f.isNotNull()

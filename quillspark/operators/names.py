@@ -9,9 +9,16 @@ from quillspark.functions import text as T
 
 
 def names_in_texts(texts: DataFrame, dictionary: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, name``: the one-word names of ``dictionary`` (``name``) that occur in each text, once each."""
-    words = texts.select(F.col(id_col), F.explode(F.array_distinct(T.tokens(F.col(text_col)))).alias("name"))
-    return words.join(dictionary.select("name").distinct(), "name", "left_semi").select(id_col, "name")
+    """``id, name``: the names of ``dictionary`` (``name``), of any number of words, that occur in each text, once each.
+
+    A name is found by its words, whatever stands between them. One join on runs of as many words as names have;
+    only the distinct numbers of words reach the driver.
+    """
+    names = dictionary.select("name", T.tokens(F.col("name")).alias("_w")).select("name", F.array_join("_w", " ").alias("_key"), F.size("_w").alias("_n")).where("_n > 0").distinct()
+    sizes = sorted(r["_n"] for r in names.select("_n").distinct().collect())
+    words = texts.select(F.col(id_col), T.tokens(F.col(text_col)).alias("_w"))
+    runs = F.array_distinct(F.flatten(F.array(*[T.ngrams(F.col("_w"), n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    return words.select(id_col, F.explode(runs).alias("_key")).join(names, "_key").select(id_col, "name").distinct()
 
 
 def containment(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str, text_col: str, n: int, least: float) -> DataFrame:

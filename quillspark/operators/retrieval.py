@@ -48,22 +48,30 @@ def cutoff_of(today: Column, years: int = dims.RECENT_YEARS) -> Column:
     return F.date_sub(F.trunc(today, "YEAR"), years * 365)
 
 
-def hybrid(text_scores: DataFrame, vector_scores: DataFrame, k: int, vector_boost: float = dims.VECTOR_BOOST) -> DataFrame:
-    """``id, score, rank``: scores of both branches added, either may be missing; vector scores count as ``(1 + dot) / 2``."""
-    a, b = text_scores.select("id", F.col("score").alias("ts")), vector_scores.select("id", ((1 + F.col("score")) / 2 * vector_boost).alias("vs"))
-    both = a.join(b, "id", "full").select("id", (F.coalesce("ts", F.lit(0.0)) + F.coalesce("vs", F.lit(0.0))).alias("score"))
-    top = both.orderBy(F.desc("score"), "id").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+def hybrid(text_scores: DataFrame, vector_scores: DataFrame, k: int, vector_boost: float = dims.VECTOR_BOOST, by: str | None = None) -> DataFrame:
+    """``id, score, rank``: scores of both branches added, either may be missing; vector scores count as ``(1 + dot) / 2``.
+
+    ``by`` names a column of both sides (a question) within which the ``k`` best are taken.
+    """
+    keys = [by] if by else []
+    a, b = text_scores.select(*keys, "id", F.col("score").alias("ts")), vector_scores.select(*keys, "id", ((1 + F.col("score")) / 2 * vector_boost).alias("vs"))
+    both = a.join(b, [*keys, "id"], "full").select(*keys, "id", (F.coalesce("ts", F.lit(0.0)) + F.coalesce("vs", F.lit(0.0))).alias("score"))
+    if not by:
+        both = both.orderBy(F.desc("score"), "id").limit(k)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
-def rerank(hits: DataFrame, query_vectors: list[list[float]], vectors_col: str, k: int, pool_cols: list[str]) -> DataFrame:
+def rerank(hits: DataFrame, query_vectors: list[list[float]] | Column, vectors_col: str, k: int, pool_cols: list[str]) -> DataFrame:
     """The ``k`` best hits of each pool by late interaction; ties keep the retrieval ``rank``.
 
-    Without query vectors the order stays. Hits without vectors score 0.
+    ``query_vectors``: those of one question, or a column that holds each hit's question's. Without query vectors
+    the order stays. Hits without vectors score 0.
     """
-    score = V.maxsim(F.array(*[literal_vector(q) for q in query_vectors]), F.coalesce(F.col(vectors_col), F.array().cast("array<array<float>>"))) if query_vectors else F.lit(0.0)
+    asked = isinstance(query_vectors, Column) or bool(query_vectors)
+    query = query_vectors if isinstance(query_vectors, Column) else F.array(*[literal_vector(q) for q in query_vectors])
+    score = V.maxsim(query, F.coalesce(F.col(vectors_col), F.array().cast("array<array<float>>"))) if asked else F.lit(0.0)
     scored = hits.withColumn("maxsim", score).drop(vectors_col)
-    order = [F.desc("maxsim"), "rank"] if query_vectors else ["rank"]
+    order = [F.desc("maxsim"), "rank"] if asked else ["rank"]
     return scored.withColumn("pool_rank", F.row_number().over(Window.partitionBy(*pool_cols).orderBy(*order))).where(F.col("pool_rank") <= k)
 
 

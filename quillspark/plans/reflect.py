@@ -12,13 +12,14 @@ from quillspark import dims
 from quillspark.plans.intent import Intent
 
 
-def gate_facts(hits: DataFrame) -> DataFrame:
-    """One row of what the gate looks at: hits, best score, hits per layout, newest year, hits with doses."""
+def gate_facts(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What the gate looks at: hits, best score, hits per layout, newest year, hits with doses; one row, or one per ``by``."""
+    by = by or []
     layout = F.coalesce("layout_type", F.lit("unknown"))
     year = F.substring(F.col("label_version_date").cast("string"), 1, 4).try_cast("int")
     doses = F.coalesce(F.size("dose_values") > 0, F.lit(False))
-    counts = hits.groupBy(layout.alias("layout")).agg(F.count("*").alias("n"), F.max("maxsim").alias("top"), F.max(year).alias("year"), F.count_if(doses).alias("doses"))
-    return counts.agg(
+    counts = hits.groupBy(*by, layout.alias("layout")).agg(F.count("*").alias("n"), F.max("maxsim").alias("top"), F.max(year).alias("year"), F.count_if(doses).alias("doses"))
+    return counts.groupBy(*by).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.coalesce(F.max("top"), F.lit(0.0)).alias("top"), F.max("year").alias("newest"), F.coalesce(F.sum("doses"), F.lit(0)).alias("doses"),
         F.map_from_entries(F.collect_list(F.struct("layout", "n"))).alias("coverage"),
     )
