@@ -123,42 +123,120 @@ def summary(df: DataFrame) -> DataFrame:
     return df.groupBy("section").agg(F.count("*").alias("nodes"))
 
 
-def artifact_markup(urn: Column, layout: Column, date: Column, drug: Column, text: Column) -> Column:
-    """One evidence node of a prompt, everything escaped."""
-    x = escape_markup
-    return F.format_string(
-        "    <artifact urn='%s' type='%s' temporal_anchor='%s'>\n      <drug>%s</drug>\n      <exact_quote>%s</exact_quote>\n    </artifact>",
-        x(urn), x(layout), x(F.coalesce(date, F.lit("unknown"))), x(F.coalesce(drug, F.lit(""))), x(F.coalesce(text, F.lit(""))),
-    )
-
-
-# Tag, type and placeholder of each section of a prompt, in order.
+# The directives at the head of a prompt, its closing steps, and the note for a missing verbatim section.
+DIRECTIVES = [
+    "You are a deterministic clinical reasoning engine. You operate under ZERO-HALLUCINATION rules.",
+    "1. CITATION MANDATE: Every clinical claim must end with its source URN -> [SOURCE: urn:pharma:fda_us:rxcui:...]",
+    "2. VERBATIM ENFORCEMENT: Nodes marked <verbatim_locked> contain numerical or dosing data. You MUST quote exact constraints. DO NOT paraphrase doses or frequencies.",
+    "3. NO EXTERNAL KNOWLEDGE: If the provided evidence cannot answer the query, output exactly: '⚠ INSUFFICIENT EVIDENCE: The provided label data does not contain enough information to answer safely.'",
+    "4. CONFLICT RESOLUTION: If a <dose_conflict_warning> is present, you MUST present both values and cite both sources.",
+    "5. EVIDENCE AUDIT: {dosed} node(s) in this context contain dose metadata. If this number is 0 for a dosing question, follow rule 3.",
+    "6. RETRIEVAL METADATA: {rounds} reflection round(s) were used to build this context.",
+]
+PROTOCOL = [
+    "Step 1: Identify the temporal anchors of the evidence and prefer the most recent label data.",
+    "Step 2: Count nodes with has_dose_metadata='true'. If none exist for a dosing request, follow rule 3.",
+    "Step 3: If scope='atc_class_level', state clearly that the evidence is class-level rather than drug-specific.",
+    "Step 4: Map the <causal_mechanisms> to the <query_intent> for interaction or 'why' questions.",
+    "Step 5: Extract exact numerical constraints from <verbatim_locked_nodes>.",
+]
+NO_VERBATIM = "  <!-- NO verbatim-locked dosing nodes retrieved -->"
+# Tag and type of each section of a prompt, in order, and the element that holds a node's text.
 PROMPT_SECTIONS = [
-    ("verbatim", "verbatim_locked_nodes", "primary_dosing_and_warnings", "  <!-- NO verbatim-locked dosing nodes retrieved -->\n"),
-    ("paraphrase", "supporting_nodes", "paraphrasable_context", ""),
-    ("causal", "causal_mechanisms", "drug_interactions", ""),
-    ("macro", "macro_context", "atc_class_summary", ""),
-    ("tables", "structured_tables", "tables", ""),
+    ("verbatim", "verbatim_locked_nodes type='primary_dosing_and_warnings'", "exact_quote"),
+    ("paraphrase", "supporting_nodes type='paraphrasable_context'", "content"),
+    ("causal", "causal_mechanisms type='drug_interactions'", "mechanism_explanation"),
+    ("macro", "macro_context type='atc_class_summary'", "class_insight"),
+    ("tables", "structured_tables", "table_data"),
 ]
 
 
+def listed(values: Column) -> Column:
+    """A list as text in brackets, strings in quotes."""
+    return F.concat(F.lit("["), F.array_join(values, ", "), F.lit("]"))
+
+
+def node_markup(columns: dict[str, str]) -> Column:
+    """The evidence node of a row as markup, by its ``section``; ``columns`` names and types what there is."""
+    x = escape_markup
+    have = lambda c, default: F.coalesce(F.col(c).cast("string"), F.lit(default)) if c in columns else F.lit(default)
+    text = lambda c, default="": x(F.when(have(c, "") == "", default).otherwise(have(c, default)))
+    dosed = F.coalesce(F.size("dose_values") > 0, F.lit(False)) if "dose_values" in columns else F.lit(False)
+    values = listed(F.transform("dose_values", lambda v: v.cast("string"))) if "dose_values" in columns else F.lit("[]")
+    units = listed(F.transform("dose_units", lambda u: F.concat(F.lit("'"), u, F.lit("'")))) if "dose_units" in columns else F.lit("[]")
+    said = lambda cond: F.when(cond, "true").otherwise("false")
+    boxed = F.coalesce(F.col("boxed_warning"), F.lit(False)) if "boxed_warning" in columns else F.lit(False)
+    scope = F.when(F.col("origin") == "class", "atc_class_level").otherwise("drug_specific") if "origin" in columns else F.lit("drug_specific")
+    urn, kind, date, drug, quote = text("urn_id"), text("layout_type"), text("label_version_date", "unknown"), text("drug_name_generic"), text("verbatim_text")
+    open_, close = lambda *attributes: F.concat(F.lit("    <artifact"), *attributes, F.lit(">")), F.lit("    </artifact>")
+    attr = lambda name, value: F.concat(F.lit(f" {name}='"), value, F.lit("'"))
+    body = lambda tag: F.concat(F.lit(f"      <{tag}>"), quote, F.lit(f"</{tag}>"))
+    tags = {name: tag for name, _, tag in PROMPT_SECTIONS}
+    verbatim = F.concat_ws(
+        "\n",
+        open_(attr("urn", urn), attr("type", kind), attr("boxed_warning", said(boxed)), attr("has_dose_metadata", said(dosed)), attr("temporal_anchor", date)),
+        F.concat(F.lit("      <drug>"), drug, F.lit("</drug>")),
+        F.concat(F.lit("      <context"), attr("population", text("patient_population", "general")), attr("route", text("dose_route", "unspecified")), F.lit("/>")),
+        F.when(dosed, F.concat(F.lit("      <dose_metadata"), attr("values", x(values)), attr("units", x(F.coalesce(units, F.lit("[]")))), F.lit("/>"))),
+        body(tags["verbatim"]), close,
+    )
+    one_line = lambda section, *attributes: F.concat(open_(*attributes), body(tags[section]), close)
+    return (
+        F.when(F.col("section") == "verbatim", verbatim)
+        .when(F.col("section") == "paraphrase", one_line("paraphrase", attr("urn", urn), attr("type", kind), attr("scope", scope), attr("temporal_anchor", date)))
+        .when(F.col("section") == "causal", one_line("causal", attr("urn", urn), attr("drug", drug)))
+        .when(F.col("section") == "macro", one_line("macro", attr("urn", urn), attr("class", text("atc_code"))))
+        .otherwise(one_line("tables", attr("urn", urn)))
+    )
+
+
+def conflict_markup() -> Column:
+    """A conflict, a row of ``dose_conflicts``, as a warning."""
+    x = escape_markup
+    return F.concat(
+        F.lit("  <conflict drug='"), x(F.coalesce("drug", F.lit(""))), F.lit("' route='"), x(F.col("route")), F.lit("' population='"), x(F.col("population")), F.lit("'>Values found: "),
+        x(listed(F.transform("values", lambda v: v.cast("string")))), F.lit(" ("), F.round(F.col("pct_diff") * 100).cast("bigint").cast("string"), F.lit("% difference). Sources: "),
+        F.array_join(F.transform("urns", x), ", "), F.lit(".</conflict>"),
+    )
+
+
 def _in_section(name: str) -> Callable[[Column], Column]:
     return lambda x: x["section"] == name
 
 
-def prompt(evidence: DataFrame, question: str, query_type: str = "factual", drugs: list[str] | None = None, population: str | None = None, rounds: int = 1) -> DataFrame:
-    """``prompt``: one row with the evidence of ``section, rank, urn_id, layout_type, label_version_date, drug_name_generic, verbatim_text``.
+def prompt(
+    evidence: DataFrame, question: str, query_type: str = "factual", drugs: list[str] | None = None, population: str | None = None, rounds: int = 1, conflicts: DataFrame | None = None
+) -> DataFrame:
+    """``prompt``: one row with directives, intent, conflicts, the evidence by section and rank, closing steps and the question.
 
-    The evidence of one question is small by construction (the re-ranked hits). Sections without
-    nodes are left out, except the verbatim one, which gets a placeholder.
+    ``evidence``: ``section, rank, urn_id, layout_type, label_version_date, drug_name_generic, verbatim_text`` and what
+    there is of ``boxed_warning, dose_values, dose_units, dose_route, patient_population, atc_code, origin``. The evidence of
+    one question is small by construction (the re-ranked hits). Sections without nodes are left out, except the
+    verbatim one, which gets a note. ``conflicts``: rows of ``dose_conflicts`` over the evidence.
     """
-    e = evidence.withColumn("markup", artifact_markup(F.col("urn_id"), F.col("layout_type"), F.col("label_version_date").cast("string"), F.col("drug_name_generic"), F.col("verbatim_text")))
+    kinds = dict(evidence.dtypes)
+    dosed = F.count_if(F.size("dose_values") > 0) if "dose_values" in kinds else F.lit(0)
     ordered = F.array_sort(F.collect_list(F.struct("section", "rank", "urn_id", "markup")))
-    parts = []
-    whole = e.agg(ordered.alias("all"), F.count("*").alias("n"))
-    for name, tag, kind, empty in PROMPT_SECTIONS:
+    whole = evidence.withColumn("markup", node_markup(kinds)).agg(ordered.alias("all"), dosed.alias("dosed"))
+    if conflicts is not None:
+        warned = conflicts.select(conflict_markup().alias("c")).agg(F.array_join(F.array_sort(F.collect_list("c")), "\n").alias("warnings"))
+        whole = whole.join(F.broadcast(warned))
+    else:
+        whole = whole.withColumn("warnings", F.lit(""))
+    lines = [F.lit("<system_directives>")]
+    for line in DIRECTIVES:
+        before, _, after = line.format(dosed="\u0001", rounds=rounds).partition("\u0001")
+        lines.append(F.concat(F.lit(before), F.col("dosed").cast("string"), F.lit(after)) if after else F.lit(before))
+    lines += [F.lit("</system_directives>\n"), F.lit("<query_intent>"), F.concat(F.lit("<type>"), escape_markup(F.lit(query_type.upper())), F.lit("</type>"))]
+    lines.append(F.concat(F.lit("<target_drugs>"), escape_markup(F.lit(", ".join(drugs or []) or "not specified")), F.lit("</target_drugs>")))
+    lines.append(F.concat(F.lit("<target_population>"), escape_markup(F.lit(population or "general")), F.lit("</target_population>")))
+    lines.append(F.lit("</query_intent>\n"))
+    lines.append(F.when(F.col("warnings") != "", F.concat(F.lit("<dose_conflict_warnings>\n"), F.col("warnings"), F.lit("\n</dose_conflict_warnings>\n"))))
+    lines.append(F.lit("<clinical_evidence>"))
+    for name, tag, _ in PROMPT_SECTIONS:
         own = F.transform(F.filter("all", _in_section(name)), lambda x: x["markup"])
-        parts.append(F.when(F.size(own) > 0, F.concat(F.lit(f"  <{tag} type='{kind}'>\n"), F.array_join(own, "\n"), F.lit(f"\n  </{tag}>\n"))).otherwise(F.lit(empty)))
-    head = [F.lit("<query_intent>\n<type>"), F.lit(query_type.upper()), F.lit("</type>\n<target_drugs>"), escape_markup(F.lit(", ".join(drugs or []) or "not specified")), F.lit("</target_drugs>\n<target_population>"), escape_markup(F.lit(population or "general")), F.lit(f"</target_population>\n<reflection_rounds>{rounds}</reflection_rounds>\n</query_intent>\n<clinical_evidence>\n")]
-    tail = [F.lit("</clinical_evidence>\n<user_query>\n"), escape_markup(F.lit(question)), F.lit("\n</user_query>")]
-    return whole.select(F.concat(*head, *parts, *tail).alias("prompt"))
+        section = F.concat(F.lit(f"  <{tag}>\n"), F.array_join(own, "\n"), F.lit(f"\n  </{tag.split()[0]}>\n"))
+        lines.append(F.when(F.size(own) > 0, section).otherwise(F.lit(f"{NO_VERBATIM}\n") if name == "verbatim" else F.lit(None)))
+    lines += [F.lit(x) for x in ("</clinical_evidence>\n", "<reasoning_protocol>", *PROTOCOL, "</reasoning_protocol>\n", "<user_query>")]
+    lines += [escape_markup(F.lit(question)), F.lit("</user_query>")]
+    return whole.select(F.concat_ws("\n", *lines).alias("prompt"))

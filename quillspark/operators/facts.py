@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from quillspark import dims
 from quillspark.functions.text import quoted
 
-_TRIGGER = r"(?<![\p{L}\p{N}])(?:no|not|never|without|denies|denied|negative for|history of|previous)\s+"
+_NEGATION = r"(?<![\p{L}\p{N}])(?:no|not|never|without|denies|denied|negative for|history of|previous)\s+"
+
+
+def affirmed(text: Column, mention: str) -> Column:
+    """The text without the mentions (a pattern) that are negated or of the past."""
+    return F.regexp_replace(text, rf"(?i){_NEGATION}(?:[^\s.;:!?]+\s+){{0,5}}(?:{mention})", " ")
 
 
 def last_label(text: Column, vocabulary: list[tuple[str, list[str]]], default: str) -> Column:
@@ -22,7 +27,7 @@ def last_label(text: Column, vocabulary: list[tuple[str, list[str]]], default: s
     """
     label = {w.strip(): name for name, words in vocabulary for w in words}
     either = "|".join(quoted(w) for w in sorted(label, key=lambda w: (-len(w), w)))
-    positive = F.regexp_replace(F.lower(text), rf"{_TRIGGER}(?:[^\s.;:!?]+\s+){{0,5}}(?:{either})", " ")
+    positive = affirmed(F.lower(text), either)
     last = F.regexp_extract(positive, rf"(?s)^.*(?<![\p{{L}}\p{{N}}])({either})", 1)
     named = F.create_map(*[F.lit(x) for pair in label.items() for x in pair])
     return F.coalesce(F.try_element_at(named, last), F.lit(default))
@@ -33,13 +38,13 @@ _FACT = rf"(?i)(?<![\p{{L}}\p{{N}}.,])(\d+(?:\.\d+)?)\s*({_UNITS})(?![\p{{L}}\p{
 
 
 def dose_values(text: Column) -> Column:
-    """Distinct values in order of mention."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_FACT), F.lit(1)), lambda x: x.try_cast("double")))
+    """Distinct values that are not negated, in order of mention."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(affirmed(text, _FACT), F.lit(_FACT), F.lit(1)), lambda x: x.try_cast("double")))
 
 
 def dose_units(text: Column) -> Column:
     """Distinct units in lower case, sorted; units of laboratory values are excluded."""
-    units = F.transform(F.regexp_extract_all(text, F.lit(_FACT), F.lit(2)), F.lower)
+    units = F.transform(F.regexp_extract_all(affirmed(text, _FACT), F.lit(_FACT), F.lit(2)), F.lower)
     return F.array_sort(F.array_distinct(F.filter(units, lambda u: ~u.isin(dims.LAB_UNITS))))
 
 

@@ -35,11 +35,12 @@ class Engine:
     filter_text_branch: bool = True
     parity: bool = False
     min_score: float = dims.MIN_SCORE
+    names: tuple[str, ...] = ()
     _names: set[str] | None = None
 
     def intent(self, question: str) -> Intent:
         if self._names is None:
-            self._names = name_dictionary(self.index)
+            self._names = name_dictionary(self.index, configured=self.names)
         return intent_of(question, self._names, self.year, self.parity)
 
     def vectors(self, question: str) -> tuple[list[float], list[list[float]], list[float]]:
@@ -51,7 +52,7 @@ class Engine:
     def retrieve(self, intent: Intent, hard_dates: bool = False, k: int = 50, best: int = 10, mode: str = "fde") -> DataFrame:
         """Re-ranked hits of all pools, each key in its first pool. ``mode='content'`` scores the text vector instead, filtered by layout only."""
         content, tokens, fde = self.vectors(intent.question)
-        pools = intent.pools()
+        pools = intent.pools(4 if self.parity else None)
         named = F.arrays_overlap(
             F.array_union(T.folded_tokens(F.coalesce("drug_name_generic", F.lit(""))), F.flatten(F.transform(F.coalesce("drug_name_brand", F.array().cast("array<string>")), T.folded_tokens))),
             F.array(*[F.lit(w) for d in intent.drugs for w in d.split()]) if intent.drugs else F.array().cast("array<string>"),

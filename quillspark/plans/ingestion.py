@@ -31,9 +31,13 @@ class Sources:
 
 
 def http_sources(spark: SparkSession, concepts_url: str, classes_url: str, labels_url: str, fallback_url: str | None = None, **options: object) -> Sources:
-    """Sources that ask one URL per name; ``{name}`` in a URL stands for the name."""
-    at = lambda url: lambda names: L.read_http(spark, url, names, **options)
-    return Sources(at(concepts_url), at(classes_url), at(labels_url), at(fallback_url) if fallback_url else None)
+    """Sources that ask one URL per name; ``{name}`` in a URL stands for the name.
+
+    Concepts and classes are asked once, without repetition, at their own pace.
+    """
+    at = lambda url, **own: lambda names: L.read_http(spark, url, names, **(own | options))
+    once = {"retries": 1, "delay": 0.2, "timeout": 15, "wait": 0}
+    return Sources(at(concepts_url, **once), at(classes_url, **once), at(labels_url), at(fallback_url) if fallback_url else None)
 
 
 def ingest_names(
@@ -62,6 +66,7 @@ def ingest_names(
     sinks.create_table(spark, table, schema.INDEX)
     sinks.upsert_table(spark, table, rows, "urn_id", [F.desc("set_id")], columns=schema.INDEX)
     sinks.mark_done(rows, log)
+    sinks.mark_phase(spark, log, "ingest")
     done = {r.name for r in resolved.select("name").collect()}
     new, all_ = fresh.count(), entities.count()
     return {"labels": new, "documents": rows.count(), "skipped": all_ - new, "failed": [n for n in wanted if n not in done]}

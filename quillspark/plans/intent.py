@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,8 @@ class Intent:
     def preferred(self) -> str:
         return self.layouts[0]
 
-    def pools(self, most: int = 4) -> list[str]:
-        """The layouts to search: the first ``most``, then interaction and pharmacology when wanted."""
+    def pools(self, most: int | None = None) -> list[str]:
+        """The layouts to search: all (or the first ``most``), then interaction and pharmacology when wanted."""
         extra = [x for x, on in (("interaction", self.wants_interaction), ("pharmacology", self.wants_mechanism)) if on and x not in self.layouts]
         return [*self.layouts[:most], *extra]
 
@@ -86,11 +87,12 @@ def intent_of(question: str, dictionary: set[str] = frozenset(), year: int = 202
     )
 
 
-def name_dictionary(index: DataFrame, most: int = 1000, longest: int = 256) -> set[str]:
-    """Generic and brand names, the ``most`` frequent of each; at most twice ``most`` names reach the driver."""
+def name_dictionary(index: DataFrame, most: int = 1000, longest: int = 256, configured: Iterable[str] = ()) -> set[str]:
+    """Generic and brand names, the ``most`` frequent of each, and the configured ones; at most twice ``most`` names reach the driver."""
     generic = top_terms(index.select(F.lower(F.trim("drug_name_generic")).alias("name")), most, longest)
     brand = top_terms(index.select(F.explode("drug_name_brand").alias("name")).select(F.lower(F.trim("name")).alias("name")), most, longest)
-    return {r.name for r in generic.unionByName(brand).select("name").distinct().collect()}
+    own = {n.strip().lower() for n in configured if n and n.strip()}
+    return own | {r.name for r in generic.unionByName(brand).select("name").distinct().collect()}
 
 
 def top_terms(names: DataFrame, most: int = 1000, longest: int = 256) -> DataFrame:

@@ -52,12 +52,14 @@ def rewritten(intent: Intent, failed: list[str], round_no: int) -> tuple[Intent,
         out = out.with_(population=None)
     if "F3" in f and "dosing" not in layouts:
         layouts.insert(0, "dosing")
+        out = out.with_(wants_dosing=True)
     if f & {"F6", "F3"}:
         lookups.add("parents")
     if f & {"F6", "F1"} and round_no >= 2:
         lookups.add("neighbours")
     if "F5" in f:
         layouts += [x for x in ("interaction", "pharmacology") if x not in layouts]
+        out = out.with_(wants_interaction=True, wants_mechanism=True)
     if f & {"F1", "F2"}:
         question = out.question
         for short, long in dims.ABBREVIATIONS:

@@ -15,7 +15,7 @@ INDEX = ARTIFACT + ", content_vector array<float>, token_vecs array<array<float>
 
 _SECTIONS = ", ".join(f"{name}: array<string>" for field, _, _ in dims.SECTIONS for name in (field, f"{field}_table"))
 #: One label answer: its result holds an array of text per section, and perhaps one of HTML tables.
-LABEL_RESULT = f"struct<set_id: string, effective_time: string, openfda: struct<generic_name: array<string>, brand_name: array<string>, application_number: array<string>>, {_SECTIONS}>"
+LABEL_RESULT = f"struct<set_id: string, effective_time: string, openfda: struct<generic_name: array<string>, brand_name: array<string>, application_number: array<string>, is_original_packager: array<boolean>>, {_SECTIONS}>"
 LABEL_RESPONSE = f"results array<{LABEL_RESULT}>"
 CONCEPT_RESPONSE = "idGroup struct<rxnormId: array<string>>"
 CLASS_RESPONSE = "rxclassDrugInfoList struct<rxclassDrugInfo: array<struct<rxclassMinConceptItem: struct<classId: string>>>>"

@@ -1,6 +1,7 @@
 """Sources of labels and concepts: a Spark data source for JSON over HTTP, and the same answers from files.
 
-The data source takes one partition per entity, waits between requests, and repeats a request that
+The data source spreads its names over ``lanes`` partitions (one, unless told otherwise) and waits between the
+requests of each, so the rate of the whole job is ``lanes / delay`` whatever the cluster. It repeats a request that
 was answered 429 (waiting longer each time) or 500, 502, 503; every other failure is a null body,
 never a failed task. Its ``opener`` can be replaced, so it runs without a network in tests.
 """
@@ -45,9 +46,9 @@ def open_url(url: str, timeout: float) -> str:
         return answer.read().decode("utf-8")
 
 
-class Entity(InputPartition):
-    def __init__(self, name: str) -> None:
-        self.name = name
+class Lane(InputPartition):
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
 
 
 class JsonReader(DataSourceReader):
@@ -55,13 +56,15 @@ class JsonReader(DataSourceReader):
         self.options, self.opener = options, opener
 
     def partitions(self) -> list[InputPartition]:
-        return [Entity(n) for n in json.loads(self.options.get("names", "[]"))]
+        names, lanes = json.loads(self.options.get("names", "[]")), max(1, int(self.options.get("lanes", "1")))
+        return [Lane(names[i::lanes]) for i in range(min(lanes, len(names)))]
 
-    def read(self, partition: Entity) -> Iterator[tuple[str, str | None]]:
+    def read(self, partition: Lane) -> Iterator[tuple[str, str | None]]:
         o = self.options
-        time.sleep(float(o.get("delay", "0.34")))
-        url = o["url"].replace("{name}", urllib.parse.quote(partition.name))
-        yield partition.name, fetch(url, self.opener, int(o.get("retries", "3")), float(o.get("wait", "5")), float(o.get("timeout", "30")))
+        for name in partition.names:
+            time.sleep(float(o.get("delay", "0.34")))
+            url = o["url"].replace("{name}", urllib.parse.quote(name))
+            yield name, fetch(url, self.opener, int(o.get("retries", "3")), float(o.get("wait", "5")), float(o.get("timeout", "30")))
 
 
 class JsonHttp(DataSource):
@@ -93,9 +96,14 @@ def labels(bodies: DataFrame) -> DataFrame:
 
 
 def preferred(found: DataFrame) -> DataFrame:
-    """The latest original label per name (application number ``NDA`` or ``ANDA``), of several ``name, result`` rows."""
+    """The latest original label per name, of several ``name, result`` rows.
+
+    Original is a label with an application number ``NDA`` or ``ANDA`` that is not said to come from a repackager.
+    """
     numbers = F.coalesce(F.col("result.openfda.application_number"), F.array().cast("array<string>"))
     original = found.where(F.exists(numbers, lambda x: x.startswith("NDA") | x.startswith("ANDA")))
+    if "is_original_packager" in found.schema["result"].dataType["openfda"].dataType.names:
+        original = original.where(F.coalesce(F.exists("result.openfda.is_original_packager", lambda x: x), F.lit(True)))
     return original.groupBy("name").agg(F.max_by("result", F.struct(F.col("result.effective_time"), F.col("result.set_id"))).alias("result"))
 
 

@@ -48,9 +48,25 @@ def mark_done(artifacts: DataFrame, path: str, when: Column | None = None) -> No
     done.write.mode("append").json(path)
 
 
+def mark_phase(spark: SparkSession, path: str, phase: str) -> None:
+    """Notes that a phase of the run with the log ``path`` is done, next to the log."""
+    spark.createDataFrame([(phase,)], "phase string").withColumn("completed_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{path.rstrip('/')}-phases")
+
+
+def is_phase_done(spark: SparkSession, path: str, phase: str) -> bool:
+    try:
+        return not spark.read.schema("phase string, completed_at timestamp").json(f"{path.rstrip('/')}-phases").where(F.col("phase") == phase).isEmpty()
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return False
+
+
 def reset(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Forgets the log and the phases."""
+    for name in (path, f"{path.rstrip('/')}-phases"):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class JsonLog:

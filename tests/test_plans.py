@@ -135,7 +135,61 @@ def test_upsert_is_idempotent(spark):
 def test_prompt(spark):
     ev = spark.createDataFrame([("paraphrase", 1, "u<1>", "warning", None, "d", "a & b")], "section string, rank int, urn_id string, layout_type string, label_version_date string, drug_name_generic string, verbatim_text string")
     text = assemble.prompt(ev, "why?").first().prompt
-    assert "u&lt;1&gt;" in text and "a &amp; b" in text and "NO verbatim-locked" in text and "causal_mechanisms" not in text
+    assert "u&lt;1&gt;" in text and "a &amp; b" in text and "NO verbatim-locked" in text and "<causal_mechanisms type" not in text
+
+
+def test_prompt_is_as_written_by_hand(spark):
+    columns = "section string, rank int, urn_id string, layout_type string, label_version_date string, drug_name_generic string, verbatim_text string, boxed_warning boolean, dose_values array<double>, dose_units array<string>, dose_route string, patient_population string, atc_code string, origin string"
+    rows = [
+        ("verbatim", 1, "u1", "dosing", "2025-01-01", "d'x", "5 mg & more", True, [5.0, 10.0], ["mg"], "oral", "", "C10AA", "pool"),
+        ("verbatim", 2, "u2", "warning", None, "dx", "no doses", None, None, None, None, None, None, "pool"),
+        ("paraphrase", 3, "u3", "pharmacology", "2024-01-01", "dx", "works", False, [], None, None, None, None, "class"),
+        ("causal", 4, "u4", "interaction", None, "dx", "because", False, None, None, None, None, None, None),
+        ("macro", 5, "u5", "cluster_summary", None, "dx", "class", False, None, None, None, None, "C10AA", None),
+        ("tables", 6, "u6", "dosing", None, "dx", "| a |", False, None, None, None, None, None, None),
+    ]
+    conflicts = spark.createDataFrame([("d'x", "oral", "general", [5.0, 6.0], ["u1", "u2"], 0.2)], "drug string, route string, population string, values array<double>, urns array<string>, pct_diff double")
+    got = assemble.prompt(spark.createDataFrame(rows, columns), "why <now>?", "causal", ["dx"], None, 2, conflicts).first().prompt
+    want = "\n".join([
+        "<system_directives>", *[x.format(dosed=1, rounds=2) for x in assemble.DIRECTIVES], "</system_directives>\n",
+        "<query_intent>", "<type>CAUSAL</type>", "<target_drugs>dx</target_drugs>", "<target_population>general</target_population>", "</query_intent>\n",
+        "<dose_conflict_warnings>", "  <conflict drug='d&#x27;x' route='oral' population='general'>Values found: [5.0, 6.0] (20% difference). Sources: u1, u2.</conflict>", "</dose_conflict_warnings>\n",
+        "<clinical_evidence>", "  <verbatim_locked_nodes type='primary_dosing_and_warnings'>",
+        "    <artifact urn='u1' type='dosing' boxed_warning='true' has_dose_metadata='true' temporal_anchor='2025-01-01'>", "      <drug>d&#x27;x</drug>", "      <context population='general' route='oral'/>",
+        "      <dose_metadata values='[5.0, 10.0]' units='[&#x27;mg&#x27;]'/>", "      <exact_quote>5 mg &amp; more</exact_quote>", "    </artifact>",
+        "    <artifact urn='u2' type='warning' boxed_warning='false' has_dose_metadata='false' temporal_anchor='unknown'>", "      <drug>dx</drug>", "      <context population='general' route='unspecified'/>",
+        "      <exact_quote>no doses</exact_quote>", "    </artifact>", "  </verbatim_locked_nodes>\n", "  <supporting_nodes type='paraphrasable_context'>",
+        "    <artifact urn='u3' type='pharmacology' scope='atc_class_level' temporal_anchor='2024-01-01'>      <content>works</content>    </artifact>", "  </supporting_nodes>\n",
+        "  <causal_mechanisms type='drug_interactions'>", "    <artifact urn='u4' drug='dx'>      <mechanism_explanation>because</mechanism_explanation>    </artifact>", "  </causal_mechanisms>\n",
+        "  <macro_context type='atc_class_summary'>", "    <artifact urn='u5' class='C10AA'>      <class_insight>class</class_insight>    </artifact>", "  </macro_context>\n",
+        "  <structured_tables>", "    <artifact urn='u6'>      <table_data>| a |</table_data>    </artifact>", "  </structured_tables>\n", "</clinical_evidence>\n",
+        "<reasoning_protocol>", *assemble.PROTOCOL, "</reasoning_protocol>\n", "<user_query>", "why &lt;now&gt;?", "</user_query>",
+    ])
+    assert got == want
+
+
+def test_running_numbers_of_a_hot_key(spark):
+    """One key with most rows: numbered like a window, but no partition holds it whole."""
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, concat('k', id % 7), 'hot') as k", "id * 7919 % 20000 as o").unionByName(spark.createDataFrame([(None, 5), (None, 3)], "k string, o long"))
+    got = ingest.numbered(df, ["k"], [F.col("o")]).toPandas()
+    assert len(got) == 20_002 and got[got["k"].isna()].sort_values("o")["seq"].tolist() == [0, 1]
+    for _, own in got.groupby("k"):
+        assert own.sort_values("o")["seq"].tolist() == list(range(len(own)))
+    sizes = df.repartitionByRange(4, "k", "o").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.max() < 3 * sizes.median()
+
+
+def test_conflicts_of_a_hot_group(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 2 = 0, 'hot', concat('g', id % 50)) as g", "array(cast(1 + id % 4 as double)) as v", "concat('u', id % 10) as u").unionByName(spark.createDataFrame([(None, [1.0], "x"), (None, [9.0], "y"), ("calm", [5.0], "z"), ("calm", [5.1], "z")], "g string, v array<double>, u string"))
+    got = {r.g: r for r in assemble.conflicts(rows, ["g"], "v", "u").collect()}
+    assert got["hot"].nodes == 15_000 and got["hot"]["values"] == [1.0, 3.0] and got["hot"].urns == ["u0", "u2", "u4", "u6", "u8"]
+    assert got[None].urns == ["x", "y"] and "calm" not in got
+
+
+def test_rewriting_sets_what_is_wanted():
+    new, _ = reflect.rewritten(I.Intent("q", layouts=("warning",)), ["F3", "F5"], 1)
+    assert new.wants_dosing and new.wants_interaction and new.wants_mechanism and new.preferred == "dosing"
+    assert I.Intent("q", layouts=tuple("abcdef")).pools() == list("abcdef") and I.Intent("q", layouts=tuple("abcdef")).pools(4) == list("abcd")
 
 
 def test_parents_and_neighbours(spark):

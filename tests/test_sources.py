@@ -60,6 +60,29 @@ def test_preferred_labels_and_interactions(spark):
     assert [r.text for r in labels.interactions(found, html_to_text).collect()] == ["x"]
 
 
+def test_repackaged_labels_are_not_preferred(spark):
+    flagged = lambda set_id, day, flag: json.dumps({"results": [{"set_id": set_id, "effective_time": day, "openfda": {"application_number": ["NDA1"], "is_original_packager": flag}}]})
+    rows = [("a", flagged("s1", "20240101", [True])), ("a", flagged("s2", "20250101", [False]))]
+    assert [r.result.set_id for r in labels.preferred(labels.labels(spark.createDataFrame(rows, "name string, body string"))).collect()] == ["s1"]
+
+
+def test_lanes_hold_all_names():
+    options = {"names": json.dumps(list("abcde")), "url": "u/{name}", "delay": "0"}
+    for lanes, sizes in (("1", [5]), ("2", [3, 2]), ("9", [1] * 5)):
+        reader = labels.JsonReader(options | {"lanes": lanes}, lambda url, timeout: url)
+        assert [len(p.names) for p in reader.partitions()] == sizes
+        assert sorted(x for p in reader.partitions() for x in reader.read(p)) == [(c, f"u/{c}") for c in "abcde"]
+
+
+def test_phases(spark, tmp_path):
+    log = f"{tmp_path}/log"
+    assert not sinks.is_phase_done(spark, log, "ingest")
+    sinks.mark_phase(spark, log, "ingest")
+    assert sinks.is_phase_done(spark, log, "ingest") and not sinks.is_phase_done(spark, log, "other")
+    sinks.reset(spark, log)
+    assert not sinks.is_phase_done(spark, log, "ingest")
+
+
 def test_log_file(spark, tmp_path):
     assert labels.ingest_log(spark, f"{tmp_path}/none").count() == 0
     (tmp_path / "log.json").write_text('{"set_id": "a", "n_docs": 3}\n{broken\n')
