@@ -74,6 +74,22 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query(f"select id as doc_id, round(score, 6) as score from ({_BM25_DOCS}) order by score desc, id limit 50")
+def postings_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same scores from a postings index."""
+    index = lexical.Index.build(table(spark, d, "documents"), "doc_id", ["text"])
+    found = index.search(" ".join(_TERMS), {"text": 1.0})
+    return found.orderBy(F.desc("score"), "id").limit(50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("SYNONYMS")
+def synonym_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and question with synonyms folded: the question says "by mouth", texts may say "oral" or "po"."""
+    index = lexical.Index.build(table(spark, d, "documents"), "doc_id", ["text"], synonyms=True)
+    found = index.search("Side effect by mouth, once a day", {"text": 1.0})
+    return found.orderBy(F.desc("score"), "id").limit(50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"select term, count(distinct id)::bigint as df, sum(tf)::bigint as cf from (select id, term, count(*) as tf from (select doc_id as id, unnest({_TOKENS.format('text')}) as term from documents) group by id, term) group by term")
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     postings = lexical.term_counts(table(spark, d, "documents"), "doc_id", "text")
@@ -304,6 +320,9 @@ def _synonyms_sql(column: str) -> str:
     return out
 
 
+_SQL["synonym_topk"] = "select id as doc_id, round(score, 6) as score from (" + _BM25.format(tokens=_TOKENS.format(_synonyms_sql("text")), terms="'ae', 'po', 'qd'") + ") order by score desc, id limit 50"
+
+
 @query(f"select doc_id, sha256({_synonyms_sql('text')}) as expanded from documents")
 def synonym_expand(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(lexical.expand_synonyms(F.col("text")), 256).alias("expanded"))
@@ -617,7 +636,7 @@ def orphan_numbers(spark: SparkSession, d: str) -> DataFrame:
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
     """A prompt from the ten best chunks for a question."""
     top = bm25_of_chunks(spark, d, ["dose", "renal", "patients"], 10)
-    return assemble.prompt(top, "What is the dose for patients with renal disease?", drugs=["any"])
+    return assemble.prompt(top, "What is the dose for patients with renal disease?", drugs=["any"], conflicts=assemble.dose_conflicts(top))
 
 
 def bm25_of_chunks(spark: SparkSession, d: str, terms: list[str], k: int) -> DataFrame:

@@ -1,18 +1,22 @@
 """Inverted index and BM25 as ordinary tables.
 
-Postings are pre-aggregated on the map side. Query terms are plan-time constants, so an unindexed
-corpus is scanned once and only rows of query terms are shuffled.
+``Index`` writes the postings once, partitioned by a hash of the term, with the statistics of each field; a
+search then reads the partitions of its own terms and nothing else. ``bm25`` scores a table that has no
+index in one pass: query terms are plan-time constants, and only rows that hold one are kept.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import dims
 from quillspark.functions import text as T
+from quillspark.runtime import scratch_file
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,18 +58,73 @@ def bm25(df: DataFrame, terms: list[str], id_col: str, text_col: str, k1: float
     return rows.where(any_hit).join(F.broadcast(stats)).select("id", score.alias("score"))
 
 
-def best_fields(df: DataFrame, terms: list[str], id_col: str, fields: dict[str, float], boost: float = dims.TEXT_BOOST) -> DataFrame:
-    """``id, score``: the best weighted field's BM25, times the boost. ``fields`` maps columns to weights."""
-    out = None
-    for column, weight in fields.items():
-        one = bm25(df, terms, id_col, column).select("id", (F.col("score") * weight).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("id").agg((F.max("score") * boost).alias("score"))
+_PHRASES = sorted(((p, g[0]) for g in dims.SYNONYMS for p in g[1:]), key=lambda x: (-len(x[0]), x[0]))
 
 
 def expand_synonyms(text: Column) -> Column:
     """Lower-case text in which every phrase of a synonym group is its group's first, longest phrases first."""
-    out = F.lower(text)
-    for phrase, head in sorted(((p, g[0]) for g in dims.SYNONYMS for p in g[1:]), key=lambda x: (-len(x[0]), x[0])):
+    low = out = F.lower(text)
+    for phrase, head in _PHRASES:
         out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}]){T.quoted(phrase)}(?![\p{{L}}\p{{N}}])", head)
+    # One look decides whether a text holds any phrase at all.
+    return F.when(low.rlike("|".join(T.quoted(p) for p, _ in _PHRASES)), out).otherwise(low)
+
+
+def expanded(text: str) -> str:
+    """``expand_synonyms`` of a plan-time text."""
+    out = text.lower()
+    for phrase, head in _PHRASES:
+        out = re.sub(rf"(?<![^\W_]){re.escape(phrase)}(?![^\W_])", head, out)
     return out
+
+
+def query_terms(text: str, synonyms: bool = False) -> list[str]:
+    """The distinct tokens of a plan-time text, as ``functions.text.tokens`` cuts them."""
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", expanded(text) if synonyms else text.lower())))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings (``field, term, id, tf, dl, bucket``) and statistics (``field, n, avgdl``) in the folder ``path``.
+
+    With ``synonyms``, texts are indexed, and questions asked, with every phrase of a synonym group as its first.
+    """
+
+    spark: SparkSession
+    path: str
+    synonyms: bool = False
+    buckets: int = 64
+
+    @classmethod
+    def build(cls, df: DataFrame, id_col: str, fields: list[str], path: str | None = None, synonyms: bool = False, buckets: int = 64) -> Index:
+        """One pass over the texts; every row counts in ``n``, those without text with no tokens. ``path`` defaults to scratch space."""
+        spark = df.sparkSession
+        index = cls(spark, path or scratch_file(spark, "postings"), synonyms, buckets)
+        words = [T.tokens(expand_synonyms(F.col(f)) if synonyms else F.col(f)) for f in fields]
+        each = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in zip(fields, words)])).alias("x")).select("id", "x.*").withColumn("dl", F.size("words").cast("long"))
+        each.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/statistics")
+        postings = each.select("id", "field", "dl", F.explode("words").alias("term")).groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
+        # Within its partition a term's postings lie together, so a reader skips all others.
+        bucketed = postings.withColumn("bucket", index._bucket(F.col("term"))).repartition("bucket", F.pmod(F.hash("id"), F.lit(4))).sortWithinPartitions("bucket", "term")
+        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings")
+        return index
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.hash(term), F.lit(self.buckets)).cast("int")
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """The postings of the terms; the partitions of other terms are not read."""
+        at = sorted({r.b for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket(F.col("term")).alias("b")).collect()})
+        return self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(at) & F.col("term").isin(terms))
+
+    def search(self, question: str, weights: dict[str, float], boost: float = 1.0, k1: float = dims.BM25_K1, b: float = dims.BM25_B) -> DataFrame:
+        """``id, score``: the best weighted field's BM25 of every row that holds a term of the question, times the boost."""
+        terms = query_terms(question, self.synonyms)
+        hits = self.postings(terms or [""]).where(F.col("field").isin(list(weights)))
+        df = F.broadcast(hits.groupBy("field", "term").agg(F.count("*").alias("df")))
+        stats = F.broadcast(self.spark.read.parquet(f"{self.path}/statistics"))
+        part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        scored = hits.join(df, ["field", "term"]).join(stats, "field").select("id", "field", part.alias("part"))
+        weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(w))) for f, w in weights.items()])
+        fields = scored.groupBy("id", "field").agg(F.sum("part").alias("s")).select("id", (F.col("s") * weight).alias("s"))
+        return fields.groupBy("id").agg((F.max("s") * boost).alias("score"))

@@ -6,7 +6,6 @@ partitions), scored once, and ranked per pool with window functions.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +35,7 @@ class Engine:
     parity: bool = False
     min_score: float = dims.MIN_SCORE
     names: tuple[str, ...] = ()
+    postings: lexical.Index | None = None
     _names: set[str] | None = None
 
     def intent(self, question: str) -> Intent:
@@ -43,6 +43,13 @@ class Engine:
             self._names = name_dictionary(self.index, configured=self.names)
         return intent_of(question, self._names, self.year, self.parity)
 
+    def lexical(self) -> lexical.Index:
+        """The postings of the artifacts, written once per engine unless given."""
+        if self.postings is None:
+            texts = self.index.select("urn_id", "verbatim_text", "drug_name_generic", F.array_join("drug_name_brand", " ").alias("brands"))
+            self.postings = lexical.Index.build(texts, "urn_id", ["verbatim_text", "drug_name_generic", "brands"], synonyms=not self.parity)
+        return self.postings
+
     def vectors(self, question: str) -> tuple[list[float], list[list[float]], list[float]]:
         words = question.split()[: V.MAX_TOKENS]
         tokens = self.embedder(words)[:, : V.TOKEN_DIM] if words else np.zeros((0, V.TOKEN_DIM), np.float32)
@@ -73,11 +80,9 @@ class Engine:
         w = Window.partitionBy("pool").orderBy(F.desc("score"), "id")
         vector_scores = vector_scores.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
-        terms = query_terms(" ".join([*intent.drugs, intent.question]))
-        text_rows = rows.where(inside) if self.filter_text_branch else rows
-        text_rows = text_rows.withColumn("brands", F.array_join("drug_name_brand", " "))
-        fields = {"verbatim_text": dims.FIELD_WEIGHTS["text"], "drug_name_generic": dims.FIELD_WEIGHTS["generic"], "brands": dims.FIELD_WEIGHTS["brand"]}
-        text_scores = lexical.best_fields(text_rows, terms, "urn_id", fields).join(text_rows.select(F.col("urn_id").alias("id"), "pool", F.col("label_version_date").cast("string").alias("d")), "id")
+        text_rows = (rows.where(inside) if self.filter_text_branch else rows).select(F.col("urn_id").alias("id"), "pool", F.col("label_version_date").cast("string").alias("d"))
+        weights = {"verbatim_text": dims.FIELD_WEIGHTS["text"], "drug_name_generic": dims.FIELD_WEIGHTS["generic"], "brands": dims.FIELD_WEIGHTS["brand"]}
+        text_scores = self.lexical().search(" ".join([*intent.drugs, intent.question]), weights, dims.TEXT_BOOST).join(text_rows, "id")
         recent = retrieval.recency(F.col("score"), ingest.label_date(F.col("d")), retrieval.cutoff_of(F.lit(f"{self.year}-07-01").cast("date")), neutral=1.0 if self.parity else 0.0)
         text_scores = text_scores.select("pool", "id", recent.alias("score")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
@@ -109,6 +114,11 @@ class Engine:
         )
         return self.evidence(hits, intent), reports, intent
 
+    def prompt(self, evidence: DataFrame, intent: Intent, rounds: int = 1) -> DataFrame:
+        """The prompt of an answer, with the dose conflicts among its evidence."""
+        conflicts = assemble.dose_conflicts(evidence, parity=self.parity)
+        return assemble.prompt(evidence, intent.question, intent.query_type, list(intent.drugs), intent.population, rounds, conflicts)
+
     def evidence(self, hits: DataFrame, intent: Intent) -> DataFrame:
         """Hits as locked and calibrated nodes by section, with the rows their references name."""
         plain = self.index.drop(*VECTORS)
@@ -118,8 +128,3 @@ class Engine:
         if not wanted:
             return nodes
         return nodes.unionByName(assemble.nodes(assemble.expansion(nodes, plain, wanted)), allowMissingColumns=True)
-
-
-def query_terms(text: str) -> list[str]:
-    """The distinct tokens of a plan-time text, as ``functions.text.tokens`` cuts them."""
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", text.lower())))
