@@ -7,8 +7,10 @@ stop is joined, by hashes of fixed-length prefixes, with the segments of the who
 compared as templates, in which numbers are ``#`` and words that few texts use are ``~``. What decides:
 
 1. ``word``: the last word occurs nowhere else and is a strict prefix of a longer word;
-2. a text whose whole last segment is found elsewhere as a whole is not cut, unless nearly all copies go on;
-3. ``sentence``: copies of the longest prefix that enough others share end with a full stop, so an open copy is cut;
+2. a text whose whole last segment is found elsewhere as a whole is not cut, unless nearly all copies go on or its last word
+   is a strict prefix of one that follows the same word elsewhere;
+3. ``sentence``: copies of the longest prefix (without the last word) that enough others share end with a full stop, so an
+   open copy is cut;
 4. ``goes on``: of the open lines that begin like the whole segment, or of the items and rows that hold its last two tokens
    (or its last), nearly all go on there;
 5. ``word``: the last word was never met behind the one before it, but a longer one was.
@@ -110,14 +112,14 @@ def hashed(what: int, kind: str, template: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-ENDINGS = "doc_id long, kind string, marked boolean, word string, rare boolean, before string, deepest int, keys array<struct<what: int, level: int, h: long>>"
+ENDINGS = "doc_id long, kind string, marked boolean, word string, rare boolean, before string, tokens int, deepest int, keys array<struct<what: int, level: int, h: long>>"
 
 
 def _endings(common: set[str]):
     """One row for every text that does not end with a full stop, with the keys that its ending is looked up by."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in ENDINGS.split(", ")[:7]] + ["keys"]
+        names = [x.split()[0] for x in ENDINGS.split(", ")[:8]] + ["keys"]
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -136,7 +138,7 @@ def _endings(common: set[str]):
                     keys += [(START, n, hashed(START, kind, t[:n])) for n in lengths(len(t))]
                 else:
                     keys.append((TAIL, 1, hashed(TAIL, kind, t[-1:])))
-                out.append((doc, kind, marked, words[-1], t[-1] == "~", before, max(lengths(len(t))), keys))
+                out.append((doc, kind, marked, words[-1], t[-1] == "~", before, len(t), max(lengths(len(t))), keys))
             yield pd.DataFrame(out, columns=names)
 
     return run
@@ -192,21 +194,23 @@ def _statistics(common: set[str]):
                                 key = WORD, w
                                 copy[key] = doc
                                 (over if i == len(words) - 1 or not words[i + 1][0].isalnum() else on)[key] += 1
-                        if closed or (last and kind != "line"):
+                        if last and kind != "line" and not closed:
                             continue
                         for i, x in enumerate(t):
                             before = f"{kind} {t[i - 1] if i else '^'}"
                             final_token = i == len(t) - 1
+                            if x != "~" and x[0].isalpha() and not (last and final_token and not closed):
+                                key = NEXT, f"{before} {x}"
+                                on[key] += 1
+                                copy[key] = doc
+                            if closed:
+                                continue
                             for key in ((PAIR, f"{before} {x}"), (TAIL, f"{kind} {x}"))[: 1 if kind == "line" else 2]:
                                 if final_token:
                                     ended[key] += 1
                                 else:
                                     on[key] += 1
                                     copy[key] = doc
-                            if x != "~" and x[0].isalpha() and not (last and final_token):
-                                key = NEXT, f"{before} {x}"
-                                on[key] += 1
-                                copy[key] = doc
             keys = list(on.keys() | over.keys() | cut.keys())
             signed = [h - (1 << 64) if h >> 63 else h for h in (xxh3_64_intdigest(f"{k[0]} line {k[1]}" if k[0] < PAIR else f"{k[0]} {k[1]}") for k in keys)]
             frame = pd.DataFrame({"what": [k[0] for k in keys], "h": signed, "w": [k[1] if k[0] >= WORD else None for k in keys]})
@@ -251,7 +255,7 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     counts = distinct_texts(docs).mapInPandas(_statistics(common), STATISTICS)
     stats = stage(counts.groupBy("what", "h", "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("m").alias("m"), F.max("copy").alias("copy")), "p8-statistics")
 
-    keys = ends.select("doc_id", "kind", "marked", "deepest", F.explode("keys").alias("k")).select("doc_id", "kind", "marked", "deepest", "k.*")
+    keys = ends.select("doc_id", "kind", "marked", "tokens", "deepest", F.explode("keys").alias("k")).select("doc_id", "kind", "marked", "tokens", "deepest", "k.*")
     asked_for = keys.groupBy("h").agg(F.count("*").alias("n"))
     known = stats.where(F.col("what") < WORD).select("h", "a", "b", "m", "copy").join(asked_for, "h")
     found = attach_groups(keys, known, ["h"], "n", keys.count())
@@ -259,24 +263,26 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     own = F.when(F.col("kind") == "line", 1).otherwise(0)
     found = found.withColumn("ended", F.when(F.col("marked"), F.col("m")).otherwise(F.col("b")) - own).withColumn("seen", F.col("a") + F.col("b") + F.col("m") - own)
     of = lambda what, cond, *cols: F.max(F.when((F.col("what") == what) & cond, F.struct(*cols)))
+    # The last word may be a part of one, which only cut texts have: it says nothing about the kind of line.
+    inner = (F.col("level") < F.col("tokens")) | (F.col("level") == 1)
     yes, enough = F.lit(True), F.col("seen") >= COPIES
     evidence = found.groupBy("doc_id").agg(
         of(WHOLE, yes, "ended").alias("whole"), of(OPEN, yes, "a", "copy").alias("open"), of(PAIR, yes, "seen", "ended", "copy").alias("pair"), of(TAIL, yes, "seen", "ended", "copy").alias("tail"),
-        of(START, enough, "level", "a", "seen", "copy").alias("start"), of(START, F.col("seen") > 0, "level", "a", "seen", "copy").alias("rare_start"), of(START, F.col("level") == F.col("deepest"), "seen").alias("deep"),
+        of(START, enough & inner, "level", "a", "seen", "copy").alias("start"), of(START, inner & (F.col("seen") > 0), "level", "a", "seen", "copy").alias("rare_start"), of(START, F.col("level") == F.col("deepest"), "seen").alias("deep"),
     )
-    asked = ends.drop("keys", "deepest").join(evidence, "doc_id", "left")
+    asked = ends.drop("keys", "tokens", "deepest").join(evidence, "doc_id", "left")
     words = stats.where(F.col("what") == WORD).select(F.col("w").alias("word"), (F.col("a") + F.col("b")).alias("word_seen"))
     asked = asked.join(words, "word", "left").withColumn("pair_seen", F.coalesce("pair.seen", F.lit(0)))
     unknown = asked.where("rare and word_seen is null").select(F.col("word").alias("w")).distinct()
     common_rows = docs.sparkSession.createDataFrame([(w, None) for w in sorted(common)], "w string, copy long")
     longer = _longer(stats.where(F.col("what") == WORD).select("w", "copy").unionByName(common_rows), unknown).select(F.col("w").alias("word"), F.col("copy_id").alias("longer_id"), F.lit(True).alias("longer"))
     stub = F.concat_ws(" ", "before", "word")
-    grows = _longer(stats.where(F.col("what") == NEXT), asked.where("pair_seen <= 0").select(stub.alias("w")).distinct())
+    grows = _longer(stats.where(F.col("what") == NEXT), asked.where("kind = 'line' or pair_seen <= 0").select(stub.alias("w")).distinct())
     asked = asked.join(longer, "word", "left").withColumn("stub", stub).join(grows.select(F.col("w").alias("stub"), F.col("copy_id").alias("grows_id")), "stub", "left")
 
     start = F.coalesce("start", "rare_start")
     is_line, nearly_none = F.col("kind") == "line", lambda x: F.col(f"{x}.ended") < ENDS * F.col(f"{x}.seen")
-    whole = is_line & (F.col("whole.ended") >= COPIES) & (F.col("whole.ended") >= ENDS * F.coalesce("deep.seen", F.lit(0)))
+    whole = is_line & F.col("grows_id").isNull() & (F.col("whole.ended") >= COPIES) & (F.col("whole.ended") >= ENDS * F.coalesce("deep.seen", F.lit(0)))
     decided = lambda why, copy: F.struct(F.lit(why).alias("why"), copy.cast("long").alias("copy_id"))
     verdict = (
         F.when(F.col("rare") & F.col("word_seen").isNull() & F.col("longer"), decided("word", F.col("longer_id")))
