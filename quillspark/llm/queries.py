@@ -43,5 +43,65 @@ def queries() -> dict[str, Query]:
     }
 
 
+# SQL fragments: white space as Python and TESTDATA.md see it, and the words of a text.
+_W = r"\t\n\v\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+#: Exact similarities of all pairs that share a run of three words, and the closure of the links.
+_P1 = f"""
+    with recursive w as (select row_id, lower(set_id) as set_id, {_WORDS.format("verbatim_text")} as w from raw_chunks where (layout_type is null or layout_type <> 'structured_fact') and verbatim_text is not null),
+    g as (select distinct row_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) as gram from w where len(w) >= 3),
+    n as (select row_id, count(*) as n from g group by row_id),
+    s as (select a.row_id as a, b.row_id as b, count(*) as shared from g a join g b on a.gram = b.gram and a.row_id < b.row_id group by 1, 2),
+    l as (select a, b from s join n x on x.row_id = s.a join n y on y.row_id = s.b where shared >= 0.6 * (x.n + y.n - shared) - 1e-9),
+    e as (select a, b from l union select b, a from l),
+    r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+    m as (select a as row_id, least(a, min(b)) as group_row_id from r group by a),
+    k as (select group_row_id from m join w using (row_id) group by 1 having count(distinct set_id) > 1)
+    select group_row_id, row_id from m join k using (group_row_id) where row_id <> group_row_id"""
+
+#: Units of each level by splitting; a line break of two characters counts once and keeps its length.
+_P2 = f"""
+    with t as (select row_id, replace(verbatim_text, chr(13) || chr(10), ' ' || chr(10)) as t from raw_chunks where length(verbatim_text) > 1000),
+    c as (select row_id, t, regexp_replace(t, '[{_W}]*[\\n\\r][{_W}]*[\\n\\r][{_W}]*', chr(1), 'g') as p from t),
+    u as (select row_id, string_split(p, chr(1)) as p, string_split(regexp_replace(p, '([.!?])[{_W}]+', '\\1' || chr(1), 'g'), chr(1)) as s, string_split_regex(t, '[{_W}]+') as w from c),
+    m as (select row_id, list_max(list_transform(p, lambda x: length(regexp_replace(x, '^[{_W}]+|[{_W}]+$', '', 'g')))) as p, list_max(list_transform(s, lambda x: length(regexp_replace(x, '^[{_W}]+|[{_W}]+$', '', 'g')))) as s, list_max(list_transform(w, lambda x: length(x))) as w from u)
+    select row_id, case when p <= 1000 then 'paragraph' when s <= 1000 then 'sentence' when w <= 1000 then 'word' else 'character' end as boundary from m"""
+
+#: Points and commas between digits are kept by marks; each is put twice, since neighbouring ones share a digit.
+_MARK = "regexp_replace({0}, '(\\p{{Nd}})([.])(\\p{{Nd}})', '\\1\ue000\\3', 'g')"
+_MARK2 = "regexp_replace({0}, '(\\p{{Nd}})(,)(\\p{{Nd}})', '\\1\ue001\\3', 'g')"
+
+
+def _canon(text: str) -> str:
+    for _ in range(2):
+        text = _MARK2.format(_MARK.format(text))
+    return f"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\ue000\ue001]+', ' ', 'g'), ' ')"
+
+
+_FIELD = r"(?s)^[^\p{L}\p{N}:]*[\p{L}\p{N}]+(?:[^\p{L}\p{N}:]+[\p{L}\p{N}]+){0,2}[^\p{L}\p{N}:]*:.*[\p{L}\p{N}]"
+#: Rows take the least row of their word sequence and of their list of fields in turn.
+_P5 = f"""
+    with t as (select row_id, {_canon("verbatim_text")} as s, list_filter(string_split_regex(verbatim_text, '[;|\\r\\n]+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) as p from raw_chunks where verbatim_text is not null),
+    f as (select row_id, s, case when len(p) >= 3 and len(list_filter(p, lambda x: not regexp_matches(x, '{_FIELD}'))) = 0 then array_to_string(list_sort(list_transform(p, lambda x: {_canon("split_part(x, ':', 1)")} || chr(2) || {_canon("substr(x, instr(x, ':') + 1)")})), chr(3)) end as f from t where s <> ''),
+    a1 as (select *, min(row_id) over (partition by s) as m from f),
+    a2 as (select row_id, s, f, case when f is null then m else min(m) over (partition by f) end as m from a1),
+    a3 as (select row_id, s, f, min(m) over (partition by s) as m from a2),
+    a4 as (select row_id, s, f, case when f is null then m else min(m) over (partition by f) end as m from a3),
+    a5 as (select row_id, min(m) over (partition by s) as m from a4)"""
+
+_P6 = f"""
+    with i as (select item_id, {_WORDS.format("text")} as w from eval_items), d as (select doc_id, {_WORDS.format("text")} as w from documents),
+    a as (select distinct item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k+12], ' '))) as g from i where len(w) >= 13),
+    b as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k+12], ' '))) as g from d where len(w) >= 13)
+    select distinct doc_id, item_id from a join b using (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": _P1,
+        "p2_found": _P2,
+        "p5_found": f"{_P5} select m as keep_row_id, row_id as copy_row_id from a5 where m <> row_id",
+        "p5_records": f"{_P5} select m as keep_row_id, count(*)::bigint as copies from a5 group by m",
+        "p6_found": _P6,
+    }
