@@ -28,7 +28,6 @@ of whose ending the corpus holds no copy at all is cut only if it has a marker.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -87,7 +86,7 @@ def core_of(text: str) -> tuple[str, bool]:
 
 
 def templated(words: list[str], common: set[str]) -> list[str]:
-    return [("####" if len(w) == 4 and w.isdigit() else "#") if w[0].isdigit() else w if w in common or not w[0].isalpha() else "~" for w in words]
+    return [w if w in common else "~" if w[0].isalpha() else w if not w[0].isdigit() else "####" if len(w) == 4 and w.isdigit() else "#" for w in words]
 
 
 def kind_of(line: str) -> str:
@@ -151,77 +150,87 @@ def _statistics(common: set[str]):
     """What the segments of the distinct texts say, summed per batch: how many copies went on (``a``), ended (``b``) and ended with
     a marker (``m``), and a text in which one went on. For ``START`` (prefixes of lines) going on means up to a full
     stop. Of segments without one, ``WHOLE`` holds whole lines, ``OPEN`` all their shorter prefixes, ``PAIR`` two tokens and ``TAIL``
-    one (of items and rows). ``WORD`` holds rare words, ``NEXT`` common words with the token before. The last segment of a text may be cut itself, so it counts for lines only,
+    one (of items and rows). ``WORD`` (rare words) and ``NEXT`` (common words with the token before) are only noted. The last segment of a text may be cut itself, so it counts for lines only,
     which have endings that occur nowhere else (sources, sign-offs)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prefixes = [tuple(lengths(n)) for n in range(256)]
         for batch in batches:
-            counts = Counter(), Counter(), Counter()
-            on, over, cut = counts
-            copy: dict[tuple, int] = {}
+            # Per kind of key: how many went on, ended, ended with a marker; and a text in which one went on.
+            on, over, cut, copy = ([{} for _ in range(NEXT + 1)] for _ in range(4))
+            start, start_copy, words_of, next_of = on[START], copy[START], copy[WORD], copy[NEXT]
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 core, marked = core_of(text or "")
                 lines = core.split("\n")
                 for at, line in enumerate(lines):
-                    final, line = at == len(lines) - 1, line.strip()
+                    line = line.strip()
                     if not line:
                         continue
+                    final = at == len(lines) - 1
                     kind, parts = parts_of(line)
                     for n, part in enumerate(parts):
-                        last = final and n == len(parts) - 1
-                        closed = n < len(parts) - 1 or CLOSED.search(part) is not None
                         words = TOKEN.findall(part.lower())
                         if not words:
                             continue
-                        t = templated(words, common)
+                        last = final and n == len(parts) - 1
+                        closed = n < len(parts) - 1 or CLOSED.search(part) is not None
+                        t, size = templated(words, common), len(words)
                         ended = cut if last and marked else over
                         if kind == "line":
-                            for k in lengths(len(t)):
-                                key = START, " ".join(t[:k])
+                            counted = start if closed else ended[START]
+                            for k in prefixes[size] if size < 256 else lengths(size):
+                                key = " ".join(t[:k])
+                                counted[key] = counted.get(key, 0) + 1
                                 if closed:
-                                    on[key] += 1
-                                    copy[key] = doc
-                                else:
-                                    ended[key] += 1
+                                    start_copy[key] = doc
                             if not closed:
-                                ended[WHOLE, " ".join(t)] += 1
-                                for k in range(1, len(t)):
-                                    key = OPEN, " ".join(t[:k])
-                                    on[key] += 1
-                                    copy[key] = doc
-                        for i, w in enumerate(words):
-                            if t[i] == "~" and not (last and i == len(words) - 1):
-                                key = WORD, w
-                                copy[key] = doc
-                                (over if i == len(words) - 1 or not words[i + 1][0].isalnum() else on)[key] += 1
-                        if last and kind != "line" and not closed:
+                                key = " ".join(t)
+                                ended[WHOLE][key] = ended[WHOLE].get(key, 0) + 1
+                                for k in range(1, size):
+                                    key = " ".join(t[:k])
+                                    on[OPEN][key] = on[OPEN].get(key, 0) + 1
+                                    copy[OPEN][key] = doc
+                        elif last and not closed:
+                            # A row or item that may be cut itself; its whole words are words all the same.
+                            for x, w in zip(t[:-1], words):
+                                if x == "~":
+                                    words_of[w] = doc
                             continue
+                        before = "^"
+                        for x, w in zip(t[:-1] if last else t, words):
+                            if x == "~":
+                                words_of[w] = doc
+                            elif x[0].isalpha():
+                                next_of[f"{kind} {before} {x}"] = doc
+                            before = x
+                        if closed:
+                            continue
+                        before = "^"
                         for i, x in enumerate(t):
-                            before = f"{kind} {t[i - 1] if i else '^'}"
-                            final_token = i == len(t) - 1
-                            if x != "~" and x[0].isalpha() and not (last and final_token and not closed):
-                                key = NEXT, f"{before} {x}"
-                                on[key] += 1
-                                copy[key] = doc
-                            if closed:
-                                continue
-                            for key in ((PAIR, f"{before} {x}"), (TAIL, f"{kind} {x}"))[: 1 if kind == "line" else 2]:
-                                if final_token:
-                                    ended[key] += 1
-                                else:
-                                    on[key] += 1
-                                    copy[key] = doc
-            keys = list(on.keys() | over.keys() | cut.keys())
-            signed = [h - (1 << 64) if h >> 63 else h for h in (xxh3_64_intdigest(f"{k[0]} line {k[1]}" if k[0] < PAIR else f"{k[0]} {k[1]}") for k in keys)]
-            frame = pd.DataFrame({"what": [k[0] for k in keys], "h": signed, "w": [k[1] if k[0] >= WORD else None for k in keys]})
-            for name, c in zip("abm", counts):
-                frame[name] = [c[k] for k in keys]
-            frame["copy"] = pd.array([copy.get(k) for k in keys], "Int64")
-            yield frame
+                            for what, key in ((PAIR, f"{kind} {before} {x}"), (TAIL, f"{kind} {x}"))[: 1 if kind == "line" else 2]:
+                                held = ended[what] if i == size - 1 else on[what]
+                                held[key] = held.get(key, 0) + 1
+                                if i < size - 1:
+                                    copy[what][key] = doc
+                            before = x
+            yield from _counted(on, over, cut, copy)
 
     return run
 
 
+def _counted(on: list[dict], over: list[dict], cut: list[dict], copy: list[dict]) -> Iterator[pd.DataFrame]:
+    """The counts of a batch as rows; words keep their text, all other keys their hash."""
+    for what in range(NEXT + 1):
+        keys = list(on[what].keys() | over[what].keys() | cut[what].keys() | copy[what].keys())
+        middle = " line " if what < PAIR else " "
+        h = [xxh3_64_intdigest(f"{what}{middle}{k}") for k in keys]
+        frame = pd.DataFrame({"what": what, "h": [x - (1 << 64) if x >> 63 else x for x in h], "w": keys if what >= WORD else [None] * len(keys)})
+        for name, c in zip("abm", (on, over, cut)):
+            frame[name] = [c[what].get(k, 0) for k in keys]
+        frame["copy"] = pd.array([copy[what].get(k) for k in keys], "Int64")
+        yield frame
+
+
 def common_words(docs: DataFrame) -> set[str]:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))
     used = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
@@ -271,7 +280,7 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         of(START, enough & inner, "level", "a", "seen", "copy").alias("start"), of(START, inner & (F.col("seen") > 0), "level", "a", "seen", "copy").alias("rare_start"), of(START, F.col("level") == F.col("deepest"), "seen").alias("deep"),
     )
     asked = ends.drop("keys", "tokens", "deepest").join(evidence, "doc_id", "left")
-    words = stats.where(F.col("what") == WORD).select(F.col("w").alias("word"), (F.col("a") + F.col("b")).alias("word_seen"))
+    words = stats.where(F.col("what") == WORD).select(F.col("w").alias("word"), F.lit(True).alias("word_seen"))
     asked = asked.join(words, "word", "left").withColumn("pair_seen", F.coalesce("pair.seen", F.lit(0)))
     unknown = asked.where("rare and word_seen is null").select(F.col("word").alias("w")).distinct()
     common_rows = docs.sparkSession.createDataFrame([(w, None) for w in sorted(common)], "w string, copy long")
