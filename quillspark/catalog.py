@@ -588,7 +588,7 @@ _CONFLICT = "count(*) as nodes, min(v) as least, max(v) as most"
     select l_partkey, l_returnflag, l_linestatus, nodes, round((most - least) / least, 6) as pct_diff from g where nodes >= 2 and least <> 0 and (most - least) / least > 0.15""")
 def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").withColumn("urn", F.concat_ws(":", "l_orderkey", "l_linenumber"))
-    found = assemble.conflicts(rows, ["l_partkey", "l_returnflag", "l_linestatus"], "l_quantity", "urn")
+    found = assemble.conflicts(rows, ["l_partkey", "l_returnflag", "l_linestatus"], "l_quantity", "urn", gather=False)
     return found.select("l_partkey", "l_returnflag", "l_linestatus", "nodes", F.round("pct_diff", 6).alias("pct_diff"))
 
 

@@ -78,12 +78,12 @@ def class_neighbours(index: DataFrame, codes: DataFrame, layout: str | None = No
     return rows.withColumn("_p", F.substring("atc_code", 1, prefix)).join(wanted, "_p", "left_semi").drop("_p")
 
 
-def conflicts(df: DataFrame, keys: list[str], values: str, urn: str, share: float = dims.CONFLICT_SHARE) -> DataFrame:
+def conflicts(df: DataFrame, keys: list[str], values: str, urn: str, share: float = dims.CONFLICT_SHARE, gather: bool = True) -> DataFrame:
     """Groups of at least two rows whose values differ by more than ``share`` of the least.
 
     ``values`` is a list or number column. A group whose least value is 0 is skipped, and so are rows without values.
     Counts and extremes decide first, with map-side combining; only the rows of conflicting groups are then read for
-    their distinct ``values`` and row keys (``urns``).
+    their distinct ``values`` and row keys (``urns``), unless ``gather`` is off.
     """
     is_list = dict(df.dtypes)[values].startswith("array")
     v = F.filter(F.col(values), lambda x: x.isNotNull()) if is_list else F.when(F.col(values).isNotNull(), F.array(values)).otherwise(F.array().cast(f"array<{dict(df.dtypes)[values]}>"))
@@ -91,6 +91,8 @@ def conflicts(df: DataFrame, keys: list[str], values: str, urn: str, share: floa
     grouped = rows.groupBy(*keys).agg(F.count("*").alias("nodes"), F.min(F.array_min("_v")).alias("least"), F.max(F.array_max("_v")).alias("most"))
     pct = F.abs(F.col("most") - F.col("least")) / F.col("least")
     found = grouped.where("nodes >= 2 and least <> 0").withColumn("pct_diff", pct).where(F.col("pct_diff") > share).drop("least", "most")
+    if not gather:
+        return found
     named = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "nodes", "pct_diff")
     same = F.lit(True)
     for i, k in enumerate(keys):

@@ -96,9 +96,11 @@ class Index:
     buckets: int = 64
 
     @classmethod
-    def build(cls, df: DataFrame, id_col: str, fields: list[str], path: str | None = None, synonyms: bool = False, buckets: int = 64) -> Index:
-        """One pass over the texts; every row counts in ``n``, those without text with no tokens. ``path`` defaults to scratch space."""
+    def build(cls, df: DataFrame, id_col: str, fields: list[str], path: str | None = None, synonyms: bool = False, buckets: int | None = None) -> Index:
+        """One pass over the texts; every row counts in ``n``, those without text with no tokens. ``path`` defaults to scratch
+        space, ``buckets`` to the session's shuffle partitions (at most 1,024)."""
         spark = df.sparkSession
+        buckets = buckets or min(1024, int(spark.conf.get("spark.sql.shuffle.partitions")))
         index = cls(spark, path or scratch_file(spark, "postings"), synonyms, buckets)
         words = [T.tokens(expand_synonyms(F.col(f)) if synonyms else F.col(f)) for f in fields]
         each = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in zip(fields, words)])).alias("x")).select("id", "x.*").withColumn("dl", F.size("words").cast("long"))
