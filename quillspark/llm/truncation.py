@@ -222,6 +222,8 @@ def _counted(on: list[dict], over: list[dict], cut: list[dict], copy: list[dict]
     """The counts of a batch as rows; words keep their text, all other keys their hash."""
     for what in range(NEXT + 1):
         keys = list(on[what].keys() | over[what].keys() | cut[what].keys() | copy[what].keys())
+        if not keys:
+            continue
         middle = " line " if what < PAIR else " "
         h = [xxh3_64_intdigest(f"{what}{middle}{k}") for k in keys]
         frame = pd.DataFrame({"what": what, "h": [x - (1 << 64) if x >> 63 else x for x in h], "w": keys if what >= WORD else [None] * len(keys)})
