@@ -214,9 +214,28 @@ def colon_merge(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(merged).cast("bigint").alias("n_blocks"))
 
 
-@query()
+#: Parts as the chunker sees them, those after a colon joined to it, and greedy packing by recursion over the parts.
+_CHUNKS = f"""
+    with recursive t as (select doc_id, text, regexp_replace(text, '(?m)^(\\|.*\\|)[ \\t]*\\n', '\\1' || chr(2) || chr(10), 'g') as m from documents where text is not null),
+    c as (select doc_id, text, replace(regexp_replace(regexp_replace(m, '([.!?])\\s+', '\\1' || chr(1), 'g'), ':[ \\t]*\\n\\s*', ':' || chr(1), 'g'), chr(2) || chr(10), chr(1)) as m from t),
+    p as (select doc_id, list_filter(list_transform(string_split(m, chr(1)), lambda x: trim(replace(x, chr(2), ''), ' ')), lambda x: x <> '') as p from c where length(text) > {dims.MAX_CHUNK}),
+    e as (select doc_id, unnest(p) as x, generate_subscripts(p, 1) as i from p),
+    g as (select doc_id, x, i, sum(case when before is null or rtrim(before, ' ') not like '%:' then 1 else 0 end) over (partition by doc_id order by i) as g from (select *, lag(x) over (partition by doc_id order by i) as before from e)),
+    j as (select doc_id, g, string_agg(x, ' ' order by i) as x from g group by doc_id, g),
+    q as (select doc_id, list(x order by g) as p from j group by doc_id),
+    r as (
+        select doc_id, p, 1 as i, 1 as s, length(p[1]) + 1 as n, null::int as lo, null::int as hi from q
+        union all
+        select doc_id, p, i + 1, case when n + length(p[i + 1]) > {dims.MAX_CHUNK} then i else s end, case when n + length(p[i + 1]) > {dims.MAX_CHUNK} then length(p[i]) + 1 else n end + length(p[i + 1]) + 1,
+               case when n + length(p[i + 1]) > {dims.MAX_CHUNK} then s end, case when n + length(p[i + 1]) > {dims.MAX_CHUNK} then i end from r where i < len(p)),
+    o as (select doc_id, i, 0 as last, p, lo, hi from r where lo is not null union all select doc_id, i, 1, p, s, i from r where i = len(p))
+    select doc_id, 0 as chunk_no, text as chunk from documents where length(text) <= {dims.MAX_CHUNK}
+    union all select doc_id, (row_number() over (partition by doc_id order by i, last) - 1)::int, array_to_string(p[lo:hi], ' ') from o"""
+
+
+@query(_CHUNKS)
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "chunk"))
 
 
 @query("select layout_type, count(*)::bigint as n, min(length(verbatim_text))::bigint as shortest from raw_chunks where length(verbatim_text) >= 80 group by layout_type")
@@ -248,11 +267,31 @@ def numeric_fact_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_chunks").where("verbatim_text is not null").select("row_id", T.dose_value(t).alias("value"), T.dose_unit(t).alias("unit"))
 
 
-@query()
+def _last_label_sql(column: str, vocabulary: list[tuple[str, list[str]]], default: str) -> str:
+    label = {w.strip(): name for name, words in vocabulary for w in words}
+    either = "|".join(T.quoted(w) for w in sorted(label, key=lambda w: (-len(w), w)))
+    positive = f"regexp_replace(lower({column}), '(^|[^\\p{{L}}\\p{{N}}])(?:{_NEGATIVE})\\s+(?:[^\\s.;:!?]+\\s+){{0,5}}(?:{either})', '\\1 ', 'g')"
+    arms = " ".join(f"when '{w}' then '{name}'" for w, name in label.items())
+    return f"case regexp_extract({positive}, '(?s)^.*(?:^|[^\\p{{L}}\\p{{N}}])({either})', 1) {arms} else '{default}' end"
+
+
+_NEGATIVE = "no|not|never|without|denies|denied|negative for|history of|previous"
+_FACT_SQL = "(\\d+(?:\\.\\d+)?)\\s*(mg/kg|mg/m2|mg/m²|mcg/kg|mcg/day|mcg/ml|mg/day|mg/ml|units/kg|unit/kg|mg|mcg|g|meq|ml|units|iu)"
+#: Every character that may end a match is put twice, so that it can begin the next one too.
+_TWICE = "regexp_replace({0}, '([^\\p{{L}}\\p{{N}}.,/²])', '\\1\\1', 'g')"
+_AFFIRMED = f"regexp_replace({_TWICE.format('verbatim_text')}, '(?i)(^|[^\\p{{L}}\\p{{N}}])(?:{_NEGATIVE.replace(' ', '  ')})\\s+(?:[^\\s.;:!?]+\\s+){{0,5}}{_FACT_SQL}([^\\p{{L}}\\p{{N}}/²]|$)', '\\1 \\4', 'g')"
+
+
+@query(f"""
+    with t as (select row_id, {_last_label_sql("verbatim_text", dims.ROUTES, "unspecified")} as route, {_last_label_sql("verbatim_text", dims.POPULATIONS, "general")} as population, {_AFFIRMED} as x
+               from raw_chunks where length(verbatim_text) >= {dims.MIN_FACT} and regexp_matches(verbatim_text, '[0-9]') and (regexp_matches(verbatim_text, '(?i)\\b(?:{"|".join(dims.DOSE_CONTEXT)})\\w*') or regexp_matches(verbatim_text, '(?i)\\bmg\\s+(?:once|twice|oral|daily|bid|tid|qd|per\\s+day)\\b'))),
+    v as (select row_id, route, population, list_transform(regexp_extract_all(x, '(?i)(?:^|[^\\p{{L}}\\p{{N}}.,]){_FACT_SQL}(?:[^\\p{{L}}\\p{{N}}/²]|$)', 1), lambda y: y::double) as v, list_transform(regexp_extract_all(x, '(?i)(?:^|[^\\p{{L}}\\p{{N}}.,]){_FACT_SQL}(?:[^\\p{{L}}\\p{{N}}/²]|$)', 2), lambda y: lower(y)) as u from t)
+    select row_id, route, population, array_to_string(list_filter(v, lambda y, i: list_position(v, y) = i), ',') as dose_values, array_to_string(list_sort(list_distinct(u)), ',') as dose_units from v""")
 def entity_facts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("verbatim_text")
     rows = table(spark, d, "raw_chunks").where(T.is_dose_sentence(t))
-    return rows.select("row_id", facts.route(t).alias("route"), facts.population(t).alias("population"), facts.dose_values(t).alias("dose_values"), facts.dose_units(t).alias("dose_units"))
+    values = F.array_join(F.transform(facts.dose_values(t), lambda v: v.cast("string")), ",")
+    return rows.select("row_id", facts.route(t).alias("route"), facts.population(t).alias("population"), values.alias("dose_values"), F.array_join(facts.dose_units(t), ",").alias("dose_units"))
 
 
 @query(f"select row_id, {_case('verbatim_text', dims.ROUTES, 'null')} as route, {_case('verbatim_text', dims.POPULATIONS, chr(39) + 'general' + chr(39))} as population from raw_chunks where verbatim_text is not null")
@@ -626,9 +665,11 @@ def citation_sets(spark: SparkSession, d: str) -> DataFrame:
     return got.select("answer_id", *[v.alias(k) for k, v in joined.items()], F.size("orphaned").cast("bigint").alias("orphaned"))
 
 
-@query()
+@query(f"""
+    select doc_id, len(regexp_extract_all({_TWICE.format("text")}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}.,])\\d+(?:[.,]\\d+)?\\s*(?:mg|mcg|g|ml|units?|iu|meq)(?:/[a-z0-9]+)?(?:[^\\p{{L}}\\p{{N}}]|$)'))::bigint as orphans from documents where not contains(text, '[SOURCE:')""")
 def orphan_numbers(spark: SparkSession, d: str) -> DataFrame:
-    found = audit.orphans(table(spark, d, "documents"), "doc_id", "text")
+    """Dose mentions without a marker near them; documents with markers are for ``citation_sets``."""
+    found = audit.orphans(table(spark, d, "documents").where("not contains(text, '[SOURCE:')"), "doc_id", "text")
     return found.select(F.col("answer_id").alias("doc_id"), F.size("orphaned").cast("bigint").alias("orphans"))
 
 
