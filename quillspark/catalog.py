@@ -90,6 +90,22 @@ def synonym_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.orderBy(F.desc("score"), "id").limit(50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def _bm25_field_sql(column: str, terms: list[str]) -> str:
+    sql = _BM25.format(tokens=_TOKENS.format(f"coalesce({column}, '')"), terms=", ".join(f"'{t}'" for t in terms))
+    return sql.replace("from documents", "from raw_chunks").replace("doc_id", "row_id")
+
+
+@query(f"""
+    with a as ({_bm25_field_sql("verbatim_text", ["renal", "dose", "dalkasfosyl"])}), b as ({_bm25_field_sql("drug_name_generic", ["renal", "dose", "dalkasfosyl"])}),
+    u as (select id, score from a union all select id, score * {dims.FIELD_WEIGHTS["generic"]} from b)
+    select id as row_id, round(max(score) * {dims.TEXT_BOOST}, 6) as score from u group by id order by max(score) desc, id limit 50""")
+def best_fields_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best of two weighted fields, from one postings index."""
+    index = lexical.Index.build(table(spark, d, "raw_chunks"), "row_id", ["verbatim_text", "drug_name_generic"])
+    found = index.search("renal dose dalkasfosyl", {"verbatim_text": dims.FIELD_WEIGHTS["text"], "drug_name_generic": dims.FIELD_WEIGHTS["generic"]}, dims.TEXT_BOOST)
+    return found.orderBy(F.desc("score"), "id").limit(50).select(F.col("id").alias("row_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"select term, count(distinct id)::bigint as df, sum(tf)::bigint as cf from (select id, term, count(*) as tf from (select doc_id as id, unnest({_TOKENS.format('text')}) as term from documents) group by id, term) group by term")
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     postings = lexical.term_counts(table(spark, d, "documents"), "doc_id", "text")
@@ -344,14 +360,44 @@ def abbrev_expansion(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", F.sha2(new, 256).alias("expanded"), (new != F.col("text")).alias("changed"))
 
 
-@query("""
-    with y as (select doc_id, list_transform(regexp_extract_all(text, '\\b(20[0-9]{2})\\b', 1), lambda x: x::int) as y from documents)
+@query(r"""
+    with t as (select doc_id, regexp_replace(text, '(?i)\b20[0-9]{2}\s*(?:mg|mcg|g|ml|meq|iu|units?|kg)\b', ' ', 'g') as t from documents),
+    y as (select doc_id, list_transform(regexp_extract_all(t, '\b(20[0-9]{2})\b', 1), lambda x: x::int) as y from t)
     select doc_id, list_min(y)::bigint as first_year, list_max(y)::bigint as last_year from y where len(y) > 0""")
 def year_window(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "documents").select("doc_id", T.years(F.col("text"), parity=True).alias("y")).where(F.size("y") > 0)
+    """Years, but no amounts that look like years."""
+    found = table(spark, d, "documents").select("doc_id", T.years(F.col("text")).alias("y")).where(F.size("y") > 0)
     return found.select("doc_id", F.array_min("y").cast("bigint").alias("first_year"), F.array_max("y").cast("bigint").alias("last_year"))
 
 
+def _asked_population_sql(column: str) -> str:
+    ends = {"pediatric": "s?(?:[^\\p{L}\\p{N}]|$)"}
+    arms = " ".join(f"when regexp_matches({column}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}])(?:{pattern}){ends.get(label, '')}') then '{label}'" for pattern, label in dims.POPULATION_PATTERNS)
+    return f"case {arms} end"
+
+
+@query(f"select doc_id, {_asked_population_sql('text')} as population from documents where text is not null")
+def population_asked(spark: SparkSession, d: str) -> DataFrame:
+    """The loose patterns of questions, over all texts."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.population_asked(F.col("text")).alias("population"))
+
+
+@query(r"""
+    with b as (select row_id, regexp_replace(regexp_replace(verbatim_text, '\s*[•·▪▸]\s*', '. ', 'g'), '([A-Za-z)]):(\s+[A-Z])', '\1.\2', 'g') as t from raw_chunks where verbatim_text is not null)
+    select row_id, trim(regexp_replace(t, '\s{2,}', ' ', 'g'), ' ') as normalised from b""")
+def normalise_dosing(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_chunks").where("verbatim_text is not null").select("row_id", T.normalise_dosing(F.col("verbatim_text")).alias("normalised"))
+
+
+@query("""
+    select row_id, 'urn:pharma:fda_us:' || rxcui || ':' || substr(replace(set_id, '-', ''), 1, 8) || ':dosing_fact:' || replace(coalesce(dose_route, 'unspecified'), ' ', '_') || ':' || replace(coalesce(patient_population, 'general'), ' ', '_') || ':'
+        || (case when row_id < 10000 then lpad(row_id::varchar, 4, '0') else row_id::varchar end) || ':' || (case when coalesce(verbatim_text, '') = '' then '000000' else substr(sha256(substr(verbatim_text, 1, 80)), 1, 6) end) as urn
+    from raw_chunks where layout_type = 'structured_fact' and rxcui is not null and set_id is not null""")
+def fact_urns(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_chunks").where("layout_type = 'structured_fact' and rxcui is not null and set_id is not null")
+    return rows.select("row_id", T.fact_urn(F.col("rxcui"), F.col("set_id"), F.col("dose_route"), F.col("patient_population"), F.col("row_id"), F.col("verbatim_text")).alias("urn"))
+
+
 def _synonyms_sql(column: str) -> str:
     out = f"lower({column})"
     for phrase, head in sorted(((p, g[0]) for g in dims.SYNONYMS for p in g[1:]), key=lambda x: (-len(x[0]), x[0])):
@@ -508,6 +554,32 @@ def ingest_totals(spark: SparkSession, d: str) -> DataFrame:
     return ingest.log_totals(table(spark, d, "ingest_log"))
 
 
+@query("""
+    with f as (select * from drug_labels where trim(drug_generic) <> '' qualify row_number() over (partition by lower(set_id) order by fetched_at desc, set_id) = 1),
+    l as (select *, lower(trim(drug_generic)) as name, replace(label_date, '-', '') as t from f where source = 'fda_us' qualify row_number() over (partition by lower(trim(drug_generic)) order by replace(label_date, '-', '') desc nulls last, set_id desc) = 1),
+    c as (select lower(trim(drug_generic)) as name, min(rxcui) as rxcui from f where rxcui is not null group by 1),
+    k as (select rxcui, list_sort(list(distinct atc_code)) as codes from f where rxcui is not null and atc_code is not null group by 1)
+    select l.set_id, c.rxcui, lower(l.drug_generic) as drug_generic, coalesce(len(l.drug_brand), 0)::bigint as brands, coalesce(nullif(coalesce(list_filter(k.codes, lambda x: length(x) = 5)[1], k.codes[1]), ''), 'ZZZZ') as atc_code,
+           (case when length(l.t) = 8 then try_strptime(l.t, '%Y%m%d') end)::date::varchar as label_date, coalesce(l.boxed_warning, false) as boxed_warning
+    from l join c using (name) left join k on k.rxcui = c.rxcui""")
+def label_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the three services, as JSON made of the fetched labels: parsed, the original of each name picked, resolved."""
+    from quillspark.sources import labels as L
+
+    fetched = ingest.latest_per_key(table(spark, d, "drug_labels").where("trim(drug_generic) <> ''").withColumn("label", F.lower("set_id")), ["label"], [F.desc("fetched_at"), F.col("set_id")])
+    name = F.lower(F.trim("drug_generic")).alias("name")
+    openfda = F.struct(F.array("drug_generic").alias("generic_name"), F.col("drug_brand").alias("brand_name"), F.array(F.concat(F.when(F.col("source") == "fda_us", "NDA").otherwise("BLA"), F.lit("1"))).alias("application_number"))
+    result = F.struct("set_id", F.replace(F.col("label_date"), F.lit("-"), F.lit("")).alias("effective_time"), openfda.alias("openfda"), F.when(F.col("boxed_warning"), F.array(F.lit("boxed"))).alias("boxed_warning"))
+    answers = fetched.select(name, F.to_json(F.struct(F.array(result).alias("results"))).alias("body"))
+    rxcui = fetched.where("rxcui is not null").groupBy(name).agg(F.min("rxcui").alias("r")).select("name", F.to_json(F.struct(F.struct(F.array("r").alias("rxnormId")).alias("idGroup"))).alias("body"))
+    item = lambda c: F.struct(F.struct(c.alias("classId")).alias("rxclassMinConceptItem"))
+    codes = fetched.where("rxcui is not null and atc_code is not null").groupBy("rxcui").agg(F.array_sort(F.collect_set("atc_code")).alias("c"))
+    atc = codes.select(F.col("rxcui").alias("name"), F.to_json(F.struct(F.struct(F.transform("c", item).alias("rxclassDrugInfo")).alias("rxclassDrugInfoList"))).alias("body"))
+    resolved = ingest.resolve(fetched.select(name).distinct(), L.concepts(rxcui), L.classes(atc), L.preferred(L.labels(answers)))
+    e = ingest.entities(resolved)
+    return e.select("set_id", "rxcui", "drug_generic", F.size("drug_brand").cast("bigint").alias("brands"), "atc_code", F.col("label_date").cast("string").alias("label_date"), "boxed_warning")
+
+
 @query("""
     with o as (select urn_id, index_id, indexed_at from index_docs where urn_id is not null and indexed_at < timestamp '2025-06-01' qualify row_number() over (partition by urn_id order by indexed_at desc, index_id desc) = 1),
     n as (select urn_id, index_id, indexed_at from index_docs where urn_id is not null and (indexed_at >= timestamp '2025-06-01' or indexed_at is null) qualify row_number() over (partition by urn_id order by indexed_at desc nulls last, index_id desc) = 1)
