@@ -97,10 +97,25 @@ _P6 = f"""
     select distinct doc_id, item_id from a join b using (g)"""
 
 
+def _p4_field(field: str, size: int) -> str:
+    """Exact neighbours: the five greatest cosines of every usable vector of a current row, ties to the smaller id."""
+    return f"""
+        select '{field}' as field, least(a, b) as index_id_a, greatest(a, b) as index_id_b from (
+            select x.index_id as a, y.index_id as b from (select index_id, {field}::double[] as v from now where len({field}) = {size} and not list_bool_or(list_transform({field}, lambda z: z is null or not isfinite(z))) and list_sum(list_transform({field}, lambda z: abs(z))) > 0) x,
+            (select index_id, {field}::double[] as v from now where len({field}) = {size} and not list_bool_or(list_transform({field}, lambda z: z is null or not isfinite(z))) and list_sum(list_transform({field}, lambda z: abs(z))) > 0) y
+            where x.index_id <> y.index_id qualify row_number() over (partition by x.index_id order by list_cosine_similarity(x.v, y.v) desc, y.index_id) <= 5)"""
+
+
+_P4 = f"""
+    with now as (select * from index_docs qualify row_number() over (partition by coalesce(urn_id, chr(1) || index_id) order by indexed_at desc nulls last, index_id desc) = 1)
+    {" union ".join(_p4_field(f, n) for f, n in neighbours.FIELDS.items())}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
         "p2_found": _P2,
+        "p4_found": _P4,
         "p5_found": f"{_P5} select m as keep_row_id, row_id as copy_row_id from a5 where m <> row_id",
         "p5_records": f"{_P5} select m as keep_row_id, count(*)::bigint as copies from a5 group by m",
         "p6_found": _P6,
