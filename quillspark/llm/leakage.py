@@ -11,7 +11,7 @@ words (or one longer item), one automaton each, and each is streamed over the co
 worker holds more than one. An automaton is sent as flat arrays: at most 2 states and 3 transitions a
 word, 16 and 8 bytes each, so about 56 bytes a word and the vocabulary.
 
-Defined results: null or empty texts, and items with fewer than ``min_words`` words, match nothing.
+Defined results: null or empty texts, documents and items without an id, and items with fewer than ``min_words`` words, match nothing.
 Repeated items all match. A document that appears twice is reported under both ids.
 """
 
@@ -166,7 +166,7 @@ def leaks(
 
     ``longest`` is the longest run of words at whose end that item was met.
     """
-    corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
     def scan(automaton: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def decontaminate(
     Spans of at least ``min_words`` matching words are cut out of the text; a document of which more
     than ``max_coverage`` of the words match is dropped whole (its text becomes null).
     """
-    corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
     def spans(automaton: Broadcast):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,7 @@ sources as ``targets`` has rows.
 Defined results: the total defaults to the largest at which no source that has records falls short.
 A source without records gets nothing, and the others keep their proportions among themselves; the
 report shows the share that was reached. Source names that differ in case, outer space or ``-`` for ``_`` are
-the same. Records without text or with a null source, or whose source has no target, are not used.
+the same. Records without text or id or with a null source, or whose source has no target, are not used.
 Records fetched twice under two ids are two records. An empty table gives no rows and reached shares of 0.
 """
 
@@ -52,7 +52,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, source_col: str, voc
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": [len(encode(t)) for t in batch["text"]]})
 
-    return base.where("text is not null and source is not null").mapInPandas(run, "doc_id long, source string, tokens long").where("tokens > 0")
+    return base.where("doc_id is not null and text is not null and source is not null").mapInPandas(run, "doc_id long, source string, tokens long").where("tokens > 0")
 
 
 def sainte_lague(weights: list[float], capacity: list[int], seats: int) -> list[int]:

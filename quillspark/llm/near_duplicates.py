@@ -16,7 +16,7 @@
    verified exactly on their texts. Two rounds do it, whatever the sizes of buckets.
 6. Links are joined into components without leaving the executors.
 
-Defined results: texts that are null or shorter than ``width`` words take no part. Repeated rows and
+Defined results: texts that are null or shorter than ``width`` words, and rows without an id, take no part. Repeated rows and
 equal texts are in one group. Set ids compare without regard to case; a null set id is no set id.
 """
 
@@ -302,7 +302,7 @@ def near_duplicate_rows(
     width: int = 5, threshold: float = 0.8, miss: float = 1e-3, small: int = 32, block: int = BLOCK, seed: int = 1,
 ) -> tuple[DataFrame, DataFrame, int]:
     """Rows with their class ``k, k2``; classes with their group (``group_row_id, n_sets, n`` ...); the number of rows."""
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(set_col).isNotNull(), F.xxhash64(F.lower(set_col))).otherwise(0).alias("set_hash"), F.col(text_col).alias("text"))
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(set_col).isNotNull(), F.xxhash64(F.lower(set_col))).otherwise(0).alias("set_hash"), F.col(text_col).alias("text")).where("id is not null")
     signed = stage(signatures(base, width, seed), "p1-signatures")
     known = F.when(F.col("set_hash") != 0, F.col("set_hash"))
     per_class = stage(
@@ -409,7 +409,7 @@ def exact_links(df: DataFrame, id_col: str, text_col: str, width: int, threshold
 
     The rows asked for go out in blocks of about ``block`` texts, each compared with all rows.
     """
-    spark, base = df.sparkSession, df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    spark, base = df.sparkSession, df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     asked = base.where(F.col("id") % every == 0)
     slices, parts = max(1, -(-asked.count() // block)), []
     for n in range(slices):

@@ -18,7 +18,7 @@ Only the fitting uses a sample: about 16 vectors per partition, ``sample`` (2,00
 
 Defined results: of each ``urn_id`` the row with the latest ``indexed_at`` counts, the greater id on
 ties; a row with a null ``urn_id`` stands for itself. Vectors that are null, of another length, all
-zero or hold NaN, infinity or null take no part. Equal vectors are neighbours with similarity 1, ordered by id.
+zero or hold NaN, infinity or null take no part, nor do rows without an id. Equal vectors are neighbours with similarity 1, ordered by id.
 """
 
 from __future__ import annotations
@@ -181,7 +181,7 @@ class TwoLevels:
 
 
 def _vectors(df: DataFrame, id_col: str, field: str, dim: int) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(field).cast("array<float>").alias("v")).where(F.size("v") == dim)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(field).cast("array<float>").alias("v")).where((F.size("v") == dim) & F.col("id").isNotNull())
 
 
 def _fit(vectors: DataFrame, dim: int, count: int, parts: int, inner: int, sample: int, seed: int) -> TwoLevels:

@@ -16,7 +16,7 @@ is known from the start, so pieces don't depend on the size of the ranges. Texts
 the worker that holds them; files are read by byte ranges with seeks, aligned to character starts, and
 no worker ever holds a whole file.
 
-Defined results: null texts and texts within the limit give no pieces (``pieces_of_table``) and no
+Defined results: null texts, rows without an id and texts within the limit give no pieces (``pieces_of_table``) and no
 boundary. White space around the text belongs to no piece. A run of at least half a halo of white space
 counts as the end of a section: a paragraph boundary that no piece reaches or overlaps across. Where no
 boundary is in reach, cuts fall on multiples of ``limit - overlap``. Repeated rows are cut each.
@@ -210,7 +210,7 @@ def _stitched_levels(parts: DataFrame, limit: int) -> DataFrame:
 def boundary_levels(df: DataFrame, id_col: str = "row_id", text_col: str = "verbatim_text", limit: int = LIMIT, range_chars: int = RANGE, halo: int = HALO) -> DataFrame:
     """``row_id, boundary``: for every text over the limit, the coarsest level at which all units are within it."""
     _checked(limit, 0, range_chars, halo)
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > limit)
+    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.length("text") > limit) & F.col("id").isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in UNITS.split(", ")]
@@ -286,7 +286,7 @@ def pieces_of_table(
 ) -> DataFrame:
     """``row_id, piece, start, stop, boundary, text`` of every text over the limit; offsets count characters."""
     _checked(limit, overlap, range_chars, halo)
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > limit).withColumn("key", F.xxhash64("text"))
+    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.length("text") > limit) & F.col("id").isNotNull()).withColumn("key", F.xxhash64("text"))
     kind = dict(base.dtypes)["id"]
     one, many = base.where(F.length("text") <= range_chars), base.where(F.length("text") > range_chars)
 

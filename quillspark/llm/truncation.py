@@ -18,7 +18,7 @@ compared as templates, in which numbers are ``#`` and words that few texts use a
 ``copy_id`` is a text that holds the longer copy (null for a marker alone, and for a longer word that is common). A marker of a cut (dots, an ellipsis, a replacement
 character, a broken tag) is part of the ending: only copies that end with one too speak against a cut.
 
-Defined results: null texts and texts without letters or digits are not cut. White space and closing
+Defined results: null texts, texts without letters or digits and rows without an id are not cut. White space and closing
 mark-up after the end are ignored. Repeated texts are each reported. Nothing is sampled and no text or
 segment is shortened; the common words (used by at least one in a hundred texts) are the only corpus
 statistic that reaches the driver, at most a hundred times the mean number of distinct words. A text
@@ -260,7 +260,7 @@ def _longer(stats: DataFrame, stubs: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, why, copy_id`` of every cut text."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     common = docs.sparkSession.sparkContext.broadcast(common_words(docs)).value
     ends = stage(docs.mapInPandas(_endings(common), ENDINGS), "p8-endings")
     counts = distinct_texts(docs).mapInPandas(_statistics(common), STATISTICS)

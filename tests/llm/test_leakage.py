@@ -70,3 +70,10 @@ def test_very_long_text(spark):
     passage = " ".join(f"p{i}" for i in range(13))
     d, e = tables(spark, [(1, "filler " * 500_000 + passage, 0)], [(7, passage, "e")])
     assert [(r.doc_id, r.item_id) for r in L.leaks(d, e).collect()] == [(1, 7)]
+
+
+def test_rows_without_an_id(spark):
+    passage, big = " ".join(f"p{i}" for i in range(13)), 2**60 + 1
+    d, e = tables(spark, [(None, passage, 0), (big, passage, 0)], [(7, passage, "e"), (None, passage, "e")])
+    assert [(r.doc_id, r.item_id) for r in L.leaks(d, e).collect()] == [(big, 7)]
+    assert [r.doc_id for r in L.decontaminate(d, e).collect()] == [big]

@@ -55,3 +55,9 @@ def test_shards_and_unreachable_total(spark):
 def test_empty_tables(spark):
     mixture, report = mix(spark, [], [("a", 1.0, 1, "")])
     assert mixture.collect() == [] and [x.reached_share for x in report.collect()] == [0.0]
+
+
+def test_rows_without_an_id(spark):
+    big = 2**60 + 1
+    mixture, _ = mix(spark, [(None, "some words", "a", 0, "x"), (big, "some words", "a", 0, "x")], [("a", 1.0, 1, "")])
+    assert [r.doc_id for r in mixture.collect()] == [big]

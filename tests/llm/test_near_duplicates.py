@@ -145,3 +145,10 @@ def test_hot_buckets_have_one_centre(spark):
     got = N._met(entries)
     assert got.where("bucket = 5").count() == 3000 and [tuple(r) for r in got.where("bucket = 5").groupBy("centre", "n").count().select("n", "count").collect()] == [(3000, 3000)]
     assert got.where("bucket <> 5").groupBy("bucket").agg({"n": "max", "k": "count", "centre": "min"}).where("`max(n)` <> `count(k)`").count() == 0
+
+
+def test_rows_without_an_id(spark):
+    same = "same words in every one of these texts here"
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, "a", same, 1), (big, "a", same, 1), (big + 2, None, same, 1), (big + 4, "b", same, 1)], SCHEMA)
+    assert sorted(map(tuple, N.groups(df).collect())) == [(big, big + 2), (big, big + 4)]

@@ -84,3 +84,12 @@ def test_balanced_partitions():
     label = N.refine(N.bisect_balanced(x, 8, 1), N.nearest(x, 10), 8)
     size = np.bincount(label, minlength=8)
     assert size.max() <= 1.1 * 80 + 1 and size.min() > 0
+
+
+def test_rows_without_an_id(spark):
+    from datetime import datetime
+
+    big = 2**60 + 1
+    rows = [(i, f"u{k}", datetime(2025, 1, 1), [1.0, float(k)], "x", 1) for k, i in enumerate([None, big, big + 2, big + 4])]
+    got = {(r.id, r.neighbour) for r in N.top_neighbours(spark.createDataFrame(rows, SCHEMA), "v", 2).collect()}
+    assert got == {(a, b) for a in (big, big + 2, big + 4) for b in (big, big + 2, big + 4) if a != b}

@@ -147,3 +147,10 @@ def test_files_written_from_a_table(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "row_id long, verbatim_text string")
     assert S.boundary_levels(df).collect() == [] and S.pieces_of_table(df).collect() == []
+
+
+def test_rows_without_an_id(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, "word " * 50), (big, "word " * 50), (big + 2, "word " * 400)], "row_id long, verbatim_text string")
+    assert {r.row_id for r in S.boundary_levels(df, limit=60).collect()} == {big, big + 2}
+    assert {r.row_id for r in S.pieces_of_table(df, limit=60, overlap=10, range_chars=500).collect()} == {big, big + 2}

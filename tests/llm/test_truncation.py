@@ -63,3 +63,9 @@ def test_repeated_cut_texts_are_each_reported(spark):
     docs = [*corpus(), *[[3000 + i, CUT[1001], "a_b", 0] for i in range(4)]]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, word int")
     assert sorted(r.doc_id for r in T.judged(df).collect()) == [3000, 3001, 3002, 3003]
+
+
+def test_rows_without_an_id(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([*corpus(), [None, CUT[1001], "a", 0], [big, CUT[1001], "a", 0]], "doc_id long, text string, source string, word int")
+    assert [r.doc_id for r in T.judged(df).collect()] == [big]
