@@ -6,6 +6,7 @@ Nulls give null (or an empty array where that is said); no function raises on an
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -143,33 +144,52 @@ def fact_urn(rxcui: Column, set_id: Column, route: Column, population: Column, s
     return F.format_string("urn:pharma:fda_us:%s:%s:dosing_fact:%s:%s:%04d:%s", rxcui, F.substring(F.replace(set_id, F.lit("-")), 1, 8), slug(route, "unspecified"), slug(population, "general"), seq, print_of)
 
 
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(F.struct(value.alias("v"))), lambda s: use(s["v"])), F.lit(0))
+
+
 def merge_after_colon(parts: Column, glue: str = " ") -> Column:
-    """Each part that follows one ending in ``:`` is joined to it."""
-    start = F.array().cast("array<string>")
+    """Each part that follows one ending in ``:`` is joined to it; linear in the parts. ``\\u0003`` separates parts."""
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        merged = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit(glue), x)))
-        return F.when((F.size(done) > 0) & F.rtrim(F.get(done, F.size(done) - 1)).endswith(":"), merged).otherwise(F.array_append(done, x))
+    def merged(v: Column) -> Column:
+        joined = F.transform(v, lambda x, i: F.concat(x, F.when(i == F.size(v) - 1, "").when(F.rtrim(x).endswith(":"), glue).otherwise("\u0003")))
+        return F.when(F.size(v) > 0, F.split(F.array_join(joined, ""), "\u0003")).otherwise(F.array().cast("array<string>"))
 
-    return F.aggregate(parts, start, step)
+    return with_value(parts, merged)
 
 
 def pack_sentences(parts: Column, limit: int = dims.MAX_CHUNK, overlap: int = 1) -> Column:
-    """Greedy packing: a chunk is flushed before it would exceed ``limit`` and its last ``overlap`` parts begin the next."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n"))
+    """Greedy packing: a chunk is flushed before it would exceed ``limit`` and its last ``overlap`` parts begin the next.
+
+    Only the bounds of chunks are gathered on the way (``lo`` to ``i`` is what is held, ``tail`` the lengths of its last
+    parts), so the work is linear in the parts.
+    """
+    bounds = F.array().cast("array<struct<lo: int, hi: int>>")
+    zero = F.struct(bounds.alias("bounds"), F.lit(1).alias("lo"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("tail"))
 
     def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] + F.length(x) > limit) & (F.size(acc["held"]) > 0)
-        tail = F.slice(acc["held"], F.greatest(F.size(acc["held"]) - (overlap - 1), F.lit(1)), overlap) if overlap else F.array().cast("array<string>")
-        tail_n = F.aggregate(tail, F.lit(0), lambda n, s: n + F.length(s) + 1)
+        size, held = F.length(x), acc["i"] >= acc["lo"]
+        full = (acc["n"] + size > limit) & held
+        kept = F.slice(acc["tail"], F.greatest(F.size(acc["tail"]) - (overlap - 1), F.lit(1)), overlap) if overlap else F.array().cast("array<int>")
+        tail = F.when(full, kept).otherwise(acc["tail"])
+        kept_n = F.aggregate(kept, F.lit(0), lambda n, k: n + k + 1)
+        longer = F.array_append(tail, size)
         return F.struct(
-            F.when(full, F.array_append(acc["done"], F.array_join(acc["held"], " "))).otherwise(acc["done"]).alias("done"),
-            F.array_append(F.when(full, tail).otherwise(acc["held"]), x).alias("held"),
-            (F.when(full, tail_n).otherwise(acc["n"]) + F.length(x) + 1).alias("n"),
+            F.when(full, F.array_append(acc["bounds"], F.struct(acc["lo"].alias("lo"), acc["i"].alias("hi")))).otherwise(acc["bounds"]).alias("bounds"),
+            F.when(full, acc["i"] - F.size(kept) + 1).otherwise(acc["lo"]).alias("lo"),
+            (acc["i"] + 1).alias("i"),
+            (F.when(full, kept_n).otherwise(acc["n"]) + size + 1).alias("n"),
+            F.slice(longer, F.greatest(F.size(longer) - overlap, F.lit(1)), overlap + 1).alias("tail"),
         )
 
-    return F.aggregate(parts, zero, step, lambda acc: F.when(F.size(acc["held"]) > 0, F.array_append(acc["done"], F.array_join(acc["held"], " "))).otherwise(acc["done"]))
+    def finish(acc: Column) -> Column:
+        return F.when(acc["i"] >= acc["lo"], F.array_append(acc["bounds"], F.struct(acc["lo"].alias("lo"), acc["i"].alias("hi")))).otherwise(acc["bounds"])
+
+    def packed(v: Column) -> Column:
+        return F.transform(F.aggregate(v, zero, step, finish), lambda b: F.array_join(F.slice(v, b["lo"], b["hi"] - b["lo"] + 1), " "))
+
+    return with_value(parts, packed)
 
 
 _ROW = r"(?m)^(\|.*\|)[ \t]*\n"

@@ -97,3 +97,30 @@ def test_escape(spark):
 def test_context_window(spark):
     assert one(spark, "0123456789", lambda x: T.context_window(x, F.lit("5"), 2)) == "3456"
     assert one(spark, "0123456789", lambda x: T.context_window(x, F.lit("x"), 2)) == ""
+
+
+def test_chunks_of_long_texts_and_overlaps(spark):
+    """Packing against a plain loop, for several overlaps, and in linear time."""
+    import random
+    import time
+
+    def plain(parts, limit, overlap):
+        done, held, n = [], [], 0
+        for x in parts:
+            if n + len(x) > limit and held:
+                done.append(" ".join(held))
+                held = held[-overlap:] if overlap else []
+                n = sum(len(h) + 1 for h in held)
+            held, n = [*held, x], n + len(x) + 1
+        return done + ([" ".join(held)] if held else [])
+
+    r = random.Random(1)
+    rows = [(["x" * r.randint(0, 30) for _ in range(r.randint(0, 25))],) for _ in range(100)]
+    df = spark.createDataFrame(rows, "p array<string>")
+    for overlap in (0, 1, 3):
+        got = df.select("p", T.pack_sentences(F.col("p"), 60, overlap).alias("c")).collect()
+        assert all(x.c == plain(x.p, 60, overlap) for x in got)
+    began = time.time()
+    text = "A sentence of some words. " * 60_000 + "Note:\n" + "And more of it. " * 1000
+    assert spark.createDataFrame([(text,)], "t string").select(F.size(T.chunks(F.col("t"))).alias("n")).first().n > 1500
+    assert time.time() - began < 60
