@@ -8,9 +8,10 @@
    by a sketch and salted, so none is ever held by one task.
 4. After the links so found are joined into components, all members of a bucket that still lie in
    different components are compared, once: buckets of up to ``small`` members by a join of the bucket
-   with itself; larger ones are first split by ``TRIPLES`` triples of signature bytes, two members at the
-   threshold meeting again with a probability above 0.9999; what is larger than ``small`` even then is
-   compared in blocks of ``BLOCK`` members, each pair of blocks one task that gives only what passes.
+   with itself; larger ones in blocks of ``block`` members, each pair of blocks one task that prunes and
+   verifies its pairs and gives one link for each member and other component, so that no pairs leave it.
+   Only buckets of more than ``huge`` members are first split by ``TRIPLES`` triples of signature
+   bytes, where two members at the threshold meet again with a probability above 0.9999.
 5. A pair's signatures are compared batch by batch. It is dropped as soon as the posterior
    probability that its similarity reaches the threshold falls below ``miss``; survivors are
    verified exactly on their texts. Two rounds do it, whatever the sizes of buckets.
@@ -43,7 +44,7 @@ TRIPLES = [o[i : i + 3] for o in _ORDERS for i in range(0, SIGNATURE - 2, 3)]
 #: A list of ids of up to this length is broadcast; a longer one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket that one task holds on either side, and the parts of a hot bucket.
-BLOCK, SALTS = 4096, 256
+BLOCK, HUGE, SALTS = 2048, 65_536, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -260,35 +261,49 @@ def _joined_pairs(named: DataFrame, sizes: DataFrame, small: int) -> DataFrame:
     return x.join(y, "bucket").where("root <> root_y and k < k_y").select(F.col("k").alias("a"), F.col("k_y").alias("b"))
 
 
-def _block_pairs(named: DataFrame, sizes: DataFrame, sigs: DataFrame, small: int, threshold: float, miss: float, block: int) -> DataFrame:
-    """Pairs of different components in larger buckets whose signatures pass, compared block by block.
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions from each start to its end, and whose they are."""
+    size = ends - starts
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + starts[owner], owner
 
-    Every member goes to each pair of blocks that has its own; nothing but the pairs that pass leaves a task.
+
+def _block_links(
+    named: DataFrame, sizes: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, small: int, threshold: float, miss: float, block: int
+) -> DataFrame:
+    """Verified links between different components in buckets of more than ``small`` members, block by block.
+
+    Every member goes, with its text, to each pair of blocks that has its own.
     """
     bounds = least_matches(threshold, miss)
     large = sizes.where(F.col("n") > small).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    x = named.join(large, "bucket").join(sigs, "k").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), "blocks").cast("int"))
+    x = named.select("bucket", "k", "root").join(large, "bucket").join(sigs, "k").join(texts, "k").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), "blocks").cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "root", "sig")
+    x = x.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "root", "sig", "text")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         left, right = (group[group["own"] == n] for n in (i, j))
-        out = []
+        out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            (a, b), (first, least) = (_matrix(left["sig"]), _matrix(right["sig"])), bounds[0]
+            shingle = Shingler(width)
+            (mine, at), (theirs, to) = (shingle(side["text"].tolist()) for side in (left, right))
+            a, b, least = _matrix(left["sig"]), _matrix(right["sig"]), bounds[0][1]
             ka, kb, ra, rb = left["k"].to_numpy(), right["k"].to_numpy(), left["root"].to_numpy(), right["root"].to_numpy()
-            for lo in range(0, len(a), 64):
-                part = slice(lo, lo + 64)
-                same = np.zeros((len(a[part]), len(b)), np.uint8)
-                for c in range(first):
-                    same += a[part, c, None] == b[None, :, c]
-                apart = ra[part, None] != rb[None, :]
-                at, to = np.nonzero((same >= least) & apart & (ka[part, None] < kb[None, :] if i == j else True))
-                alive = _alive(a[part][at], b[to], bounds)
-                out.append(np.stack([ka[part][at[alive]], kb[to[alive]]], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
+            for n in range(len(a)):
+                may = np.flatnonzero((rb != ra[n]) & (ka[n] < kb if i == j else True))
+                may = may[(a[n, None, :BATCH] == b[may, :BATCH]).sum(1) >= least]
+                may = may[_alive(np.broadcast_to(a[n], (len(may), SIGNATURE)), b[may], bounds)]
+                if not len(may):
+                    continue
+                own = mine[at[n] : at[n + 1]]
+                flat, owner = _ranges(to[may], to[may + 1])
+                found = np.searchsorted(own, theirs[flat])
+                both = np.bincount(owner[own[np.minimum(found, len(own) - 1)] == theirs[flat]], minlength=len(may))
+                similar = may[both >= threshold * (len(own) + to[may + 1] - to[may] - both) - 1e-9]
+                out += [(int(ka[n]), int(kb[m])) for m in similar[np.unique(rb[similar], return_index=True)[1]]]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs.min(1, initial=2**62), "b": pairs.max(1, initial=-(2**62))})
 
     return x.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
 
@@ -299,7 +314,7 @@ def _both(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def near_duplicate_rows(
     df: DataFrame, id_col: str = "row_id", set_col: str = "set_id", text_col: str = "verbatim_text",
-    width: int = 5, threshold: float = 0.8, miss: float = 1e-3, small: int = 32, block: int = BLOCK, seed: int = 1,
+    width: int = 5, threshold: float = 0.8, miss: float = 1e-3, small: int = 32, block: int = BLOCK, huge: int = HUGE, seed: int = 1,
 ) -> tuple[DataFrame, DataFrame, int]:
     """Rows with their class ``k, k2``; classes with their group (``group_row_id, n_sets, n`` ...); the number of rows."""
     base = df.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(set_col).isNotNull(), F.xxhash64(F.lower(set_col))).otherwise(0).alias("set_hash"), F.col(text_col).alias("text")).where("id is not null")
@@ -330,16 +345,21 @@ def near_duplicate_rows(
     named = _named(entries.where("n > 2").select("bucket", "k"), comps)
     named = stage(named.join(_mixed(named), "bucket"), "p1-mixed")
     sizes = named.select("bucket", "n").distinct()
-    finer = stage(_finer(named.where(F.col("n") > small).select("bucket", "k", "root"), sigs), "p1-finer")
+    is_huge = F.col("n") > huge
+    finer = stage(_finer(named.where(is_huge).select("bucket", "k", "root"), sigs), "p1-finer")
     fine_sizes = _mixed(finer)
     close = _joined_pairs(named, sizes, small).unionByName(_joined_pairs(finer, fine_sizes, small)).distinct()
-    likely = _pruned(close, sigs, threshold, miss).unionByName(_block_pairs(finer, fine_sizes, sigs, small, threshold, miss, block)).distinct()
-    likely = stage(likely.join(tested, ["a", "b"], "left_anti"), "p1-likely")
+    likely = stage(_pruned(close, sigs, threshold, miss).join(tested, ["a", "b"], "left_anti"), "p1-likely")
+    # The texts of large buckets' members; those of small ones follow with their pairs.
+    members = stage(named.where(F.col("n") > small).select(F.col("k").alias("id")).distinct(), "p1-members")
+    texts = base.select("id", "text").join(members, "id").dropDuplicates(["id"]).withColumnRenamed("id", "k")
+    parts = [_block_links(x, n, sigs, texts, width, small, threshold, miss, block) for x, n in ((named.where(~is_huge), sizes.where(~is_huge)), (finer, fine_sizes))]
+    more = stage(parts[0].unionByName(parts[1]).distinct(), "p1-links")
     if not likely.isEmpty():
-        more = links(likely)
-        if not more.isEmpty():
-            linked = stage(linked.unionByName(more), "p1-all-links")
-            comps = components(linked)
+        more = more.unionByName(links(likely))
+    if not more.isEmpty():
+        linked = stage(linked.unionByName(more).distinct(), "p1-all-links")
+        comps = components(linked)
 
     classes_ = per_class.drop("bands", "sig").withColumnRenamed("id", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     grouped = classes_.groupBy("root").agg(F.min("rep").alias("group_row_id"), F.sum("n").alias("members"), F.min("s1").alias("s1"), F.max("s2").alias("s2"))

@@ -63,8 +63,8 @@ def test_large_buckets_are_split_and_finished(spark):
     """With a tiny bucket limit and tiny blocks the same links are found."""
     rows = corpus(150, 2)
     df = spark.createDataFrame([(*x, 1) for x in rows], SCHEMA)
-    few, many = (sorted(map(tuple, N.groups(df, width=3, threshold=0.6, small=s, block=4).collect())) for s in (2, 64))
-    assert few == many
+    few, blocks, many = (sorted(map(tuple, N.groups(df, width=3, threshold=0.6, small=s, block=4, huge=h).collect())) for s, h in ((2, 9), (2, 1000), (64, 1000)))
+    assert few == many == blocks
 
 
 def hot(n, seed):
@@ -85,16 +85,21 @@ def hot(n, seed):
 def test_large_buckets_of_many_components_are_finished(spark):
     rows = hot(150, 4)
     df = spark.createDataFrame([(*x, 1) for x in rows], SCHEMA)
-    assert sorted(map(tuple, N.groups(df, width=3, threshold=0.9, small=2, block=64).collect())) == brute(rows, 3, 0.9)
+    assert sorted(map(tuple, N.groups(df, width=3, threshold=0.9, small=2, block=64, huge=100).collect())) == brute(rows, 3, 0.9)
 
 
-def test_blocks_compare_every_pair_of_different_components(spark):
-    """Equal signatures in one bucket: all pairs but those of one component, whatever the size of blocks."""
+def test_blocks_link_every_pair_of_different_components(spark):
+    """Similar texts in one bucket: one link for each member and other component, whatever the size of blocks."""
+    words = " ".join(f"w{i}" for i in range(60))
     named = spark.createDataFrame([(1, k, 38 if k == 39 else k) for k in range(40)], "bucket long, k long, root long")
     sigs = spark.createDataFrame([(k, bytes(range(64))) for k in range(40)], "k long, sig binary")
-    for block in (1, 7, 4096):
-        got = N._block_pairs(named, named.groupBy("bucket").count().withColumnRenamed("count", "n"), sigs, 32, 0.6, 1e-3, block).collect()
-        assert len(got) == len(set(got)) and set(map(tuple, got)) == {(a, b) for a in range(40) for b in range(a + 1, 40)} - {(38, 39)}
+    texts = spark.createDataFrame([(k, f"{words} x{k}" if k != 7 else " ".join(f"z{i}" for i in range(61))) for k in range(40)], "k long, text string")
+    sizes = named.groupBy("bucket").count().withColumnRenamed("count", "n")
+    for block in (7, 4096):
+        got = N._block_links(named, sizes, sigs, texts, 3, 32, 0.6, 1e-3, block).collect()
+        every = {(a, b) for a in range(40) for b in range(a + 1, 40) if 7 not in (a, b)} - {(38, 39)}
+        one_of = {(a, b) for a, b in every if b < 38}
+        assert one_of <= set(map(tuple, got)) <= every
 
 
 def test_triples_split_few_pairs():
