@@ -110,6 +110,33 @@ def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values, np.float32).ravel(), pa.float32()))
 
 
+def _contents(embed: Embedder, values: list[str], batch: int) -> np.ndarray:
+    """The vectors of whole texts."""
+    whole = [embed(values[lo : lo + batch]) for lo in range(0, len(values), batch)]
+    return np.concatenate(whole) if whole else np.zeros((0, DIM), np.float32)
+
+
+def _words(embed: Embedder, values: list[str], batch: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The vectors of all words of some texts, and which of them each text has."""
+    words = [t.split()[:MAX_TOKENS] for t in values]
+    vocabulary = sorted({w for ws in words for w in ws})
+    known = np.concatenate([embed(vocabulary[lo : lo + batch])[:, :TOKEN_DIM] for lo in range(0, len(vocabulary), batch)]) if vocabulary else np.zeros((0, TOKEN_DIM), np.float32)
+    size = np.linalg.norm(known, axis=1, keepdims=True)
+    known = known / np.where(size == 0, 1, size)
+    place = {w: i for i, w in enumerate(vocabulary)}
+    return known, [np.array([place[w] for w in ws], np.int64) for ws in words]
+
+
+def _token_lists(known: np.ndarray, rows: list[np.ndarray]) -> pa.ListArray:
+    starts = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+    return pa.ListArray.from_arrays(starts, _lists(known[np.concatenate([np.zeros(0, np.int64), *rows])]))
+
+
+def _encodings(known: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    bucket = np.array([exact_bucket(v) for v in known], np.int64)
+    return np.stack([pooled_encoding(known[r], bucket[r]) for r in rows]) if rows else np.zeros((0, FDE_DIM), np.float32)
+
+
 def represent(embedder: Callable[[], Embedder] = HashedEmbedder, batch: int = 64) -> Callable[[Column], Column]:
     """A function of a text column to ``struct<content_vector, token_vecs, fde>``.
 
@@ -122,19 +149,38 @@ def represent(embedder: Callable[[], Embedder] = HashedEmbedder, batch: int = 64
         embed = embedder()
         for texts in parts:
             values = [t or "" for t in texts.to_pylist()]
-            whole = [embed(values[lo : lo + batch]) for lo in range(0, len(values), batch)]
-            words = [t.split()[:MAX_TOKENS] for t in values]
-            vocabulary = sorted({w for ws in words for w in ws})
-            known = np.concatenate([embed(vocabulary[lo : lo + batch])[:, :TOKEN_DIM] for lo in range(0, len(vocabulary), batch)]) if vocabulary else np.zeros((0, TOKEN_DIM), np.float32)
-            size = np.linalg.norm(known, axis=1, keepdims=True)
-            known = known / np.where(size == 0, 1, size)
-            place = {w: i for i, w in enumerate(vocabulary)}
-            rows = [np.array([place[w] for w in ws], np.int64) for ws in words]
-            starts = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
-            tokens = pa.ListArray.from_arrays(starts, _lists(known[np.concatenate([np.zeros(0, np.int64), *rows])]))
-            bucket = np.array([exact_bucket(v) for v in known], np.int64)
-            fde = np.stack([pooled_encoding(known[r], bucket[r]) for r in rows]) if rows else np.zeros((0, FDE_DIM), np.float32)
-            content = np.concatenate(whole) if whole else np.zeros((0, DIM), np.float32)
-            yield pa.StructArray.from_arrays([_lists(content), tokens, _lists(fde)], ["content_vector", "token_vecs", "fde"])
+            known, rows = _words(embed, values, batch)
+            yield pa.StructArray.from_arrays([_lists(_contents(embed, values, batch)), _token_lists(known, rows), _lists(_encodings(known, rows))], ["content_vector", "token_vecs", "fde"])
+
+    return run
+
+
+def token_vectors(embedder: Callable[[], Embedder] = HashedEmbedder, batch: int = 64) -> Callable[[Column], Column]:
+    """The ``token_vecs`` of ``represent`` alone."""
+
+    @F.arrow_udf("array<array<float>>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        embed = embedder()
+        for texts in parts:
+            yield _token_lists(*_words(embed, [t or "" for t in texts.to_pylist()], batch))
+
+    return run
+
+
+def similarity(query: list[float], name: str, embedder: Callable[[], Embedder] = HashedEmbedder, batch: int = 64) -> Callable[[Column], Column]:
+    """``dot`` of a constant vector and the ``content_vector`` or ``fde`` of a text, which never leaves the Python worker."""
+
+    @F.arrow_udf("double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        embed, asked = embedder(), np.array(query, np.float64)
+        for texts in parts:
+            values = [t or "" for t in texts.to_pylist()]
+            scores = [np.zeros(0)]
+            for lo in range(0, len(values), 8 * batch):
+                some = values[lo : lo + 8 * batch]
+                made = _encodings(*_words(embed, some, batch)) if name == "fde" else _contents(embed, some, batch)
+                # A running sum adds in the order of ``dot``, so both give the same bits.
+                scores.append(np.cumsum(made.astype(np.float64) * asked, axis=1)[:, -1])
+            yield pa.array(np.concatenate(scores))
 
     return run

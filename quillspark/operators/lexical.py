@@ -2,21 +2,22 @@
 
 ``Index`` writes the postings once, partitioned by a hash of the term, with the statistics of each field; a
 search then reads the partitions of its own terms and nothing else. ``bm25`` scores a table that has no
-index in one pass: query terms are plan-time constants, and only rows that hold one are kept.
+index in one pass: query terms are plan-time constants, and only rows that hold one are kept. ``Scan`` does
+so for several fields, with the searches of an ``Index``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import dims
 from quillspark.functions import text as T
-from quillspark.runtime import scratch_file
+from quillspark.runtime import scratch_file, stage
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,3 +131,49 @@ class Index:
         weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(w))) for f, w in weights.items()])
         fields = scored.groupBy("id", "field").agg(F.sum("part").alias("s")).select("id", (F.col("s") * weight).alias("s"))
         return fields.groupBy("id").agg((F.max("s") * boost).alias("score"))
+
+
+def _among(terms: list[str]) -> Callable[[Column], Column]:
+    return lambda x: x.isin(terms)
+
+
+@dataclass(frozen=True)
+class Scan:
+    """The searches of an ``Index`` over a table of few questions: only the counts of a question's terms are written.
+
+    ``df`` has one row per id. Later searches for the same terms use the same counts.
+    """
+
+    df: DataFrame
+    id_col: str
+    fields: list[str]
+    synonyms: bool = False
+    _counts: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
+
+    def counts(self, terms: list[str]) -> DataFrame:
+        """``id`` and, for each field, the number ``dl`` of its tokens and ``tf`` of each term; one pass over the texts."""
+        if tuple(terms) not in self._counts:
+            at = range(len(self.fields))
+            words = [T.tokens(expand_synonyms(F.col(f)) if self.synonyms else F.col(f)).alias(f"words{i}") for i, f in enumerate(self.fields)]
+            hits = self.df.select(F.col(self.id_col).alias("id"), *words).select("id", *[F.size(f"words{i}").cast("long").alias(f"dl{i}") for i in at], *[F.filter(f"words{i}", _among(terms)).alias(f"hits{i}") for i in at])
+            tf = [F.array(*[F.size(F.filter(f"hits{i}", _equals(t))) for t in terms]).alias(f"tf{i}") for i in at]
+            self._counts[tuple(terms)] = stage(hits.select("id", *[f"dl{i}" for i in at], *tf), "counts")
+        return self._counts[tuple(terms)]
+
+    def search(self, question: str, weights: dict[str, float], boost: float = 1.0, k1: float = dims.BM25_K1, b: float = dims.BM25_B) -> DataFrame:
+        """``id, score``, as ``Index.search`` gives them."""
+        terms = query_terms(question, self.synonyms) or [""]
+        rows = self.counts(terms)
+        used = [(i, float(weights[f])) for i, f in enumerate(self.fields) if f in weights]
+        tf = lambda i, j: F.get(f"tf{i}", F.lit(j))
+        averages = [F.avg(f"dl{i}").alias(f"avgdl{i}") for i, _ in used]
+        stats = rows.agg(F.count("*").alias("n"), *averages, *[F.count_if(tf(i, j) > 0).alias(f"df{i}_{j}") for i, _ in used for j in range(len(terms))])
+        parts = []
+        for i, weight in used:
+            total = F.lit(0.0)
+            for j in range(len(terms)):
+                part = idf(F.col("n"), F.col(f"df{i}_{j}")) * tf(i, j) * (k1 + 1) / (tf(i, j) + k1 * (1 - b + b * F.col(f"dl{i}") / F.col(f"avgdl{i}")))
+                total = total + F.when(tf(i, j) > 0, part).otherwise(F.lit(0.0))
+            parts.append(F.when(F.array_max(f"tf{i}") > 0, total * weight))
+        scored = rows.join(F.broadcast(stats)).select("id", (F.array_max(F.array(*parts)) * boost).alias("score"))
+        return scored.where("score is not null")

@@ -21,7 +21,11 @@ def literal_vector(values: list[float]) -> Column:
 def knn(df: DataFrame, query: list[float], k: int, id_col: str, vector_col: str, where: Column | None = None) -> DataFrame:
     """``id, score``: the ``k`` rows of the greatest dot product with a constant query vector, filtered first."""
     rows = df.where(where) if where is not None else df
-    scored = rows.select(F.col(id_col).alias("id"), V.dot(F.col(vector_col), literal_vector(query)).alias("score"))
+    return best_scores(rows.select(F.col(id_col).alias("id"), V.dot(F.col(vector_col), literal_vector(query)).alias("score")), k)
+
+
+def best_scores(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` greatest of ``id, score``; rows without a score drop out."""
     return scored.where("score is not null and not isnan(score)").orderBy(F.desc("score"), "id").limit(k)
 
 

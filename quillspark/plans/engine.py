@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark import dims
@@ -25,7 +25,11 @@ VECTORS = ["content_vector", "token_vecs", "fde"]
 
 @dataclass
 class Engine:
-    """``index``: artifacts with ``content_vector``, ``token_vecs`` and ``fde`` (as ``functions.vectors.represent`` gives)."""
+    """``index``: artifacts, with ``content_vector``, ``token_vecs`` and ``fde`` (as ``functions.vectors.represent`` gives) or without.
+
+    A vector that the index lacks is made from the text of every row that is scored, by the embedder (sent to the
+    workers), and never stored. ``once``: few questions will be asked, so texts are scanned and no postings written.
+    """
 
     spark: SparkSession
     index: DataFrame
@@ -35,7 +39,8 @@ class Engine:
     parity: bool = False
     min_score: float = dims.MIN_SCORE
     names: tuple[str, ...] = ()
-    postings: lexical.Index | None = None
+    postings: lexical.Index | lexical.Scan | None = None
+    once: bool = False
     _names: set[str] | None = None
 
     def intent(self, question: str) -> Intent:
@@ -43,11 +48,12 @@ class Engine:
             self._names = name_dictionary(self.index, configured=self.names)
         return intent_of(question, self._names, self.year, self.parity)
 
-    def lexical(self) -> lexical.Index:
-        """The postings of the artifacts, written once per engine unless given."""
+    def lexical(self) -> lexical.Index | lexical.Scan:
+        """The postings of the artifacts, written once per engine unless given, or a scan in their place."""
         if self.postings is None:
             texts = self.index.select("urn_id", "verbatim_text", "drug_name_generic", F.array_join("drug_name_brand", " ").alias("brands"))
-            self.postings = lexical.Index.build(texts, "urn_id", ["verbatim_text", "drug_name_generic", "brands"], synonyms=not self.parity)
+            make = lexical.Scan if self.once else lexical.Index.build
+            self.postings = make(texts, "urn_id", ["verbatim_text", "drug_name_generic", "brands"], synonyms=not self.parity)
         return self.postings
 
     def vectors(self, question: str) -> tuple[list[float], list[list[float]], list[float]]:
@@ -56,6 +62,20 @@ class Engine:
         tokens = tokens / (np.linalg.norm(tokens, axis=1, keepdims=True) + 1e-9)
         return self.embedder([question])[0].tolist(), tokens.tolist(), V.pooled_encoding(tokens).tolist()
 
+    def closeness(self, query: list[float], column: str) -> Column:
+        """The dot product with a vector of the index's rows, stored or made."""
+        if column in self.index.columns:
+            return V.dot(F.col(column), retrieval.literal_vector(query))
+        embedder = self.embedder
+        return V.similarity(query, column, lambda: embedder)(F.col("verbatim_text"))
+
+    def with_tokens(self, hits: DataFrame) -> DataFrame:
+        """The few rows of ``hits`` with their ``token_vecs``, stored or made, and no other vector."""
+        if "token_vecs" not in hits.columns:
+            embedder = self.embedder
+            hits = hits.withColumn("token_vecs", V.token_vectors(lambda: embedder)(F.col("verbatim_text")))
+        return hits.drop("content_vector", "fde")
+
     def retrieve(self, intent: Intent, hard_dates: bool = False, k: int = 50, best: int = 10, mode: str = "fde") -> DataFrame:
         """Re-ranked hits of all pools, each key in its first pool. ``mode='content'`` scores the text vector instead, filtered by layout only."""
         content, tokens, fde = self.vectors(intent.question)
@@ -75,10 +95,10 @@ class Engine:
             if hard_dates:
                 inside = inside & ingest.label_date(F.col("label_version_date").cast("string")).cast("string").between(intent.date_from, intent.date_to)
         query, column = (fde, "fde") if mode == "fde" else (content, "content_vector")
-        dot = V.dot(F.col(column), retrieval.literal_vector(query))
-        vector_scores = rows.where(inside).select("pool", F.col("urn_id").alias("id"), dot.alias("score")).where("score is not null")
+        vector_scores = rows.where(inside).select("pool", F.col("urn_id").alias("id"), self.closeness(query, column).alias("score"))
         w = Window.partitionBy("pool").orderBy(F.desc("score"), "id")
-        vector_scores = vector_scores.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+        # Nulls come last. Dropped here, not before, they don't have each score computed twice.
+        vector_scores = vector_scores.withColumn("r", F.row_number().over(w)).where((F.col("r") <= k) & F.col("score").isNotNull()).drop("r")
 
         text_rows = (rows.where(inside) if self.filter_text_branch else rows).select(F.col("urn_id").alias("id"), "pool", F.col("label_version_date").cast("string").alias("d"))
         weights = {"verbatim_text": dims.FIELD_WEIGHTS["text"], "drug_name_generic": dims.FIELD_WEIGHTS["generic"], "brands": dims.FIELD_WEIGHTS["brand"]}
@@ -90,7 +110,7 @@ class Engine:
         scored = both.select("pool", "id", (F.coalesce("vs", F.lit(0.0)) + F.coalesce("ts", F.lit(0.0))).alias("score"))
         top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         hits = self.index.join(F.broadcast(top.withColumnRenamed("id", "urn_id")), "urn_id")
-        ranked = retrieval.rerank(hits.drop("content_vector", "fde"), tokens, "token_vecs", best, ["pool"])
+        ranked = retrieval.rerank(self.with_tokens(hits), tokens, "token_vecs", best, ["pool"])
         order = F.array_position(F.array(*map(F.lit, pools)), F.col("pool"))
         first = retrieval.union_first(ranked.withColumn("pool_ord", order), "urn_id", ["pool_ord", "pool_rank"])
         position = F.row_number().over(Window.orderBy("pool_ord", "pool_rank", "urn_id"))
@@ -102,9 +122,11 @@ class Engine:
         if name == "parents":
             return assemble.parents(hits, plain)
         near = assemble.class_neighbours(self.index, hits, intent.preferred)
-        top = retrieval.knn(near, self.vectors(intent.question)[2], 30, "urn_id", "fde").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-        found = near.drop("content_vector", "fde").join(F.broadcast(top.withColumnRenamed("id", "urn_id")), "urn_id").withColumn("pool", F.lit("neighbours"))
-        return retrieval.rerank(found, self.vectors(intent.question)[1], "token_vecs", 5, ["pool"]).drop("pool").withColumn("origin", F.lit("class"))
+        _, tokens, fde = self.vectors(intent.question)
+        scored = near.select(F.col("urn_id").alias("id"), self.closeness(fde, "fde").alias("score"))
+        top = retrieval.best_scores(scored, 30).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+        found = near.join(F.broadcast(top.withColumnRenamed("id", "urn_id")), "urn_id").withColumn("pool", F.lit("neighbours"))
+        return retrieval.rerank(self.with_tokens(found), tokens, "token_vecs", 5, ["pool"]).drop("pool").withColumn("origin", F.lit("class"))
 
     def ask(self, question: str, max_rounds: int = dims.MAX_ROUNDS) -> tuple[DataFrame, list[dict], Intent]:
         """``section, ...`` evidence of a question, the reports of its rounds, and the final intent. One round is the plain pipeline."""
